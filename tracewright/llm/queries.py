@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import url_filter
+from tracewright.llm import mixing, url_filter
 
-MODULES = (url_filter,)
+MODULES = (url_filter, mixing)
 
 
 def queries() -> dict:
