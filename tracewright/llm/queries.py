@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import mixing, url_filter
+from tracewright.llm import language, mixing, url_filter
 
-MODULES = (url_filter, mixing)
+MODULES = (url_filter, mixing, language)
 
 
 def queries() -> dict:
