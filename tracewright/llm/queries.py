@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import language, mixing, url_filter
+from tracewright.llm import language, mixing, quality, url_filter
 
-MODULES = (url_filter, mixing, language)
+MODULES = (url_filter, mixing, language, quality)
 
 
 def queries() -> dict:
