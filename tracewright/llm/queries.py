@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import language, mixing, quality, url_filter
+from tracewright.llm import language, mixing, near_duplicates, quality, url_filter
 
-MODULES = (url_filter, mixing, language, quality)
+MODULES = (url_filter, mixing, language, quality, near_duplicates)
 
 
 def queries() -> dict:
