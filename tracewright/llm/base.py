@@ -24,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that later stages survive the loss of any executor."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None, per_file: int = 250_000) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that later stages survive the loss of any executor.
+
+    rows: about how many there will be, where that is known; small tables then get few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if rows is not None and rows // per_file < 64:
+        df = df.coalesce(rows // per_file + 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tracewright.llm.base import materialize
 
@@ -11,7 +11,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _watched(edges: DataFrame, seen: Observation) -> DataFrame:
+    """Counts the edges and sums a hash of them while they are written."""
+    return edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of an edge; the component is its smallest node.
 
@@ -29,13 +34,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """
     ends = edges.select(F.col(u).alias("_a"), F.col(v).alias("_b")).filter("_a is not null and _b is not null and _a <> _b")
     e = ends.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v"))
-    state, mark = materialize(e.distinct(), "edges"), None
+    seen = Observation()
+    state, mark = materialize(_watched(e.distinct(), seen), "edges"), None
     for _ in range(max_rounds):
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(seen.get.values())
         if now == mark or not now[0]:
             break
-        mark = now
-        state = materialize(_small_star(_large_star(state)), "edges")
+        mark, seen = now, Observation()
+        state = materialize(_watched(_small_star(_large_star(state)), seen), "edges", rows=2 * now[0])
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

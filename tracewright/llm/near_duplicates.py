@@ -33,6 +33,8 @@ _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)[:, None]
 SLACK = 0.15
 #: Members of a star, or of a tie, in one block.
 STAR_BLOCK, TIE_BLOCK = 400, 512
+#: Of a broadcast that narrows texts down to candidates; beyond so many candidates it only narrows less.
+SLOTS = 1 << 20
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -93,6 +95,14 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def pick(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of these nodes. A broadcast of at most SLOTS hashed slots first drops most others before their texts are shuffled."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int")
+    slots = nodes.select(slot.alias("_slot")).distinct()
+    close = rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return close.join(nodes.hint("merge"), "node", "left_semi")
+
+
 def by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Keeps pairs (node, center) whose signatures, and sizes, leave room for the similarity."""
     least = percent / 100 - SLACK
@@ -132,7 +142,7 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     return rows.select("center", "role", "node", "text").mapInArrow(run, "node long, center long")
 
 
-def confirm_ties(tied: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between different components of a tie.
 
     tied: (tie, component, node). A tie's classes outside its largest component are cut into blocks, and so are all of its
@@ -142,7 +152,7 @@ def confirm_ties(tied: DataFrame, classes: DataFrame, texts: DataFrame, words: i
     per = tied.groupBy("tie", "component").count()
     largest = per.groupBy("tie").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("rest"))
     largest = largest.select("tie", "main", F.ceil(F.col("all") / TIE_BLOCK).alias("ys"), F.ceil(F.col("rest") / (TIE_BLOCK // 2)).alias("xs"))
-    rows = tied.join(largest, "tie").join(classes.select("node", "n", "sig"), "node").join(texts, "node")
+    rows = tied.join(largest, "tie").join(candidates, "node")
     data = ["component", "node", "n", "sig", "text"]
     block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     x = rows.filter("component <> main").select("tie", F.pmod(block, F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"), F.lit(0).alias("role"), *data)
@@ -198,12 +208,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = real.groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     members = materialize(members, "classes")
     classes = materialize(real.join(members.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "sig"), "signatures")
-    texts = real.select(F.col("row").alias("node"), "text")
-
     buckets = bucket_rows(classes)
     shared = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last").drop("last")
     stars = materialize(buckets.join(shared, "key").filter("node <> center").select("node", "center").distinct(), "stars")
-    likely = materialize(by_signature(stars, classes, percent), "likely")
+    candidates = materialize(pick(real.select(F.col("row").alias("node"), "n", "sig", "text"), stars.select("node").union(stars.select("center")).distinct()), "candidates")
+    texts = candidates.select("node", "text")
+    likely = materialize(by_signature(stars, candidates, percent), "likely")
     links = materialize(confirm_stars(likely, texts, words, percent), "links")
     first = connected_components(links, "node", "center")
 
@@ -213,9 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bridges = placed(placed(stars, "node", "c1"), "center", "c2").filter("c1 <> c2").select("c1", "c2").distinct()
     ties = connected_components(bridges, "c1", "c2").select(F.col("node").alias("component"), F.col("component").alias("tie"))
-    everyone = placed(stars.select("node").union(stars.select("center")).distinct(), "node", "component")
+    everyone = placed(candidates.select("node"), "node", "component")
     tied = materialize(everyone.join(ties, "component").select("tie", "component", "node"), "tied")
-    more = materialize(confirm_ties(tied, classes, texts, words, percent), "more")
+    more = materialize(confirm_ties(tied, candidates, words, percent), "more")
     final = connected_components(links.select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(more))
 
     named = members.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
