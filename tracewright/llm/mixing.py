@@ -183,6 +183,7 @@ def mix_documents(
     costs: tuple[int, ...] = (1, 4),
     seed: int = 17,
     keep: tuple[str, ...] = ("doc_id",),
+    id_col: str = "doc_id",
 ) -> tuple[DataFrame, Mix]:
     """Returns (documents, plan): one row for each input row with the columns of keep, _members, _size and _copies.
 
@@ -192,8 +193,7 @@ def mix_documents(
     Empty tables give empty results. The same rows and seed give the same result however they are partitioned.
     """
     used = docs.select(*keep, F.transform(F.array_sort(F.array_distinct(members)), lambda s: s.cast("string")).alias("_members"), word_count(F.col(text_col)).alias("_size"))
-    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keep)], "_members", "_size"))
-    sized = materialize(used.withColumn("_hash", F.xxhash64(F.lit(seed), key)).withColumn("_row", F.monotonically_increasing_id()), "sized")
+    sized = materialize(used.withColumn("_hash", F.xxhash64(F.lit(seed), id_col, "_members", "_size")).withColumn("_row", F.monotonically_increasing_id()), "sized")
     found = sized.groupBy("_members").agg(F.sum("_size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")

@@ -58,8 +58,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(row, id, text, n, h1, h2, sig) for each input row; h1 and h2 stand for the set."""
+def describe(docs: DataFrame, id_col: str, text_col: str, words: int, carry: tuple[str, ...]) -> DataFrame:
+    """(row, id, text, carried, n, h1, h2, sig) for each input row; h1 and h2 stand for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,12 +74,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                         h2.append(int(mixed(s * np.uint64(3) + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                     sig.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["row", "id", "text", "n", "h1", "h2", "sig"]
+                    [*b.columns, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["row", "id", "text", "carried", "n", "h1", "h2", "sig"]
                 )
 
-    used = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return used.mapInArrow(run, f"row long, id {kind}, text string, n long, h1 long, h2 long, sig binary")
+    carried = F.struct(*carry) if carry else F.lit(None).cast("string")
+    used = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
+    kinds = {f.name: f.dataType.simpleString() for f in used.schema}
+    return used.mapInArrow(run, f"row long, id {kinds['id']}, text string, carried {kinds['carried']}, n long, h1 long, h2 long, sig binary")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
     one = classes.select("node", F.col("n").alias("n1"), F.col("sig").alias("s1"))
     two = classes.select(F.col("node").alias("center"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
-    sized = pairs.join(one, "node").join(two, "center").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    sized = pairs.join(one.hint("merge"), "node").join(two.hint("merge"), "center").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
     return sized.select("node", "center", "s1", "s2").mapInArrow(run, "node long, center long")
 
 
@@ -135,8 +136,8 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
 
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("_blocks"))
     salted = pairs.join(sizes, "center").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_blocks"))).drop("_blocks")
-    members = salted.join(texts, "node").select("center", "salt", F.lit(1).alias("role"), "node", "text")
-    centers = salted.select("center", "salt").distinct().join(texts.withColumnRenamed("node", "center"), "center")
+    members = salted.join(texts.hint("merge"), "node").select("center", "salt", F.lit(1).alias("role"), "node", "text")
+    centers = salted.select("center", "salt").distinct().join(texts.withColumnRenamed("node", "center").hint("merge"), "center")
     centers = centers.select("center", "salt", F.lit(0).alias("role"), F.col("center").alias("node"), "text")
     rows = centers.unionByName(members).repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
     return rows.select("center", "role", "node", "text").mapInArrow(run, "node long, center long")
@@ -152,7 +153,7 @@ def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: in
     per = tied.groupBy("tie", "component").count()
     largest = per.groupBy("tie").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("rest"))
     largest = largest.select("tie", "main", F.ceil(F.col("all") / TIE_BLOCK).alias("ys"), F.ceil(F.col("rest") / (TIE_BLOCK // 2)).alias("xs"))
-    rows = tied.join(largest, "tie").join(candidates, "node")
+    rows = tied.join(largest, "tie").join(candidates.hint("merge"), "node")
     data = ["component", "node", "n", "sig", "text"]
     block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     x = rows.filter("component <> main").select("tie", F.pmod(block, F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"), F.lit(0).alias("role"), *data)
@@ -195,15 +196,16 @@ def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: in
     return x.unionByName(y).groupBy("tie", "x", "y").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(row, id, text, n, component, component_id) for each input row; n is the size of its shingle set.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, id, text, carried, n, component, component_id) for each input row; n is the size of its shingle set.
 
     Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
     links reach. Null and empty texts, and those without words, are linked with nothing and are their own component
     (component is null there); null ids are never the smallest unless a component has no other. Rows with equal ids are rows
-    of their own. row numbers the input rows of this call. Other columns are not read. An empty table gives an empty result.
+    of their own. row numbers the input rows of this call. carried is a struct of the columns in carry;
+    others are not read. An empty table gives an empty result.
     """
-    described = materialize(describe(docs, id_col, text_col, words), "described")
+    described = materialize(describe(docs, id_col, text_col, words, carry), "described")
     real = described.filter("n > 0")
     members = real.groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     members = materialize(members, "classes")
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("h1", "h2", "n", "component_id", "component")
     rows = described.drop("sig").join(named, ["h1", "h2", "n"], "left")
-    return rows.select("row", "id", "text", "n", "component", F.coalesce("component_id", "id").alias("component_id"))
+    return rows.select("row", "id", "text", "carried", "n", "component", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(found: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import language, mixing, near_duplicates, pseudonyms, quality, token_files, top_k, url_filter
+from tracewright.llm import byte_bpe, language, mixing, near_duplicates, pseudonyms, quality, token_files, top_k, url_filter
 
-MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files)
+MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files, byte_bpe)
 
 
 def queries() -> dict:
