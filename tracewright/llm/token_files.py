@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -29,8 +30,8 @@ MAGIC = b"TWWM1\n"
 BLOCK_BITS = 512
 #: A file ends after the document that brings it to so many ids.
 SHARD_IDS = 1 << 21
-#: Encoded words that a task keeps.
-CACHE_WORDS = 800_000
+#: Encoded runs of text that a Python worker keeps.
+CACHE_WORDS = 1_200_000
 
 
 class WaveletMatrix:
@@ -161,37 +162,74 @@ def read_shard(blob: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pieces never cross white space: each distinct run between white space is encoded once.
+    """Encodes texts with a tokenizer whose words end in a mark of their own and never cross white space.
 
-    Texts with a control character that Python takes for white space and the tokenizer doesn't are encoded whole.
+    Each distinct run between white space is split into words, and each distinct word encoded, once: many words go to the
+    tokenizer as one text, and the end marks part their ids again. Whatever doesn't come back as it went in is encoded by itself.
     """
 
+    #: Control characters that Python takes for white space and the tokenizer doesn't.
     ODD = "\x1c\x1d\x1e\x1f"
+    MANY = 2000
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"]["end_of_word_suffix"]
+        self.pattern = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.most = most
 
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > self.most:
-            self.known.clear()
-            fresh = list(words)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
+    def _alone(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        groups = [words[at : at + self.MANY] for at in range(0, len(words), self.MANY)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group) or (len(ids) and stops[-1] != len(ids)):
+                self.words.update((w, self._alone(w)) for w in group)
+                continue
+            raw, last = ids.tobytes(), 0
+            for word, stop in zip(group, (4 * stops).tolist(), strict=True):
+                self.words[word] = raw[last:stop]
+                last = stop
+
+    def learn(self, runs: set[str]) -> None:
+        fresh = [r for r in runs if r not in self.runs]
+        if len(self.runs) + len(fresh) > self.most:
+            self.runs.clear()
+            self.words.clear()
+            fresh = list(runs)
+        if not fresh:
+            return
+        plain = [r for r in fresh if r.isascii()]
+        split = {r: [low] if (low := r.lower()).isalpha() else self.pattern.findall(low) for r in plain}
+        if len(plain) < len(fresh):
+            others = [r for r in fresh if not r.isascii()]
+            normal = self.tokenizer.normalizer.normalize_str("\n".join(others)).split(" ")
+            if len(normal) != len(others):
+                self.runs.update((r, self._alone(r)) for r in others)
+            else:
+                split.update(zip(others, map(self.pattern.findall, normal), strict=True))
+        self.learn_words([w for w in {w for s in split.values() for w in s} if w not in self.words])
+        known = self.words
+        for run, parts in split.items():
+            self.runs[run] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        self.learn({w for s in split if s is not None for w in s})
-        known = self.known
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        self.learn({r for s in split if s is not None for r in s})
+        known = self.runs
+        return [self._alone(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=1)
