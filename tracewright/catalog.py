@@ -74,19 +74,19 @@ on(T, "m12_transfer_features", """SELECT tx_id, CAST(month(ts) AS INT) AS month,
 # Aggregates
 
 on(T, "a02_smurfing", """SELECT src, dst, n, total, mean, first_ts, last_ts, CASE WHEN n > 50 THEN 0.9 WHEN n > 30 THEN 0.7 WHEN n > 20 THEN 0.5 ELSE 0.3 END AS confidence FROM
-  (SELECT src, dst, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM transfers GROUP BY 1, 2)
+  (SELECT src, dst, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM transfers GROUP BY 1, 2)
   WHERE n > 1 AND last_ts - first_ts < INTERVAL 365 DAY""")(lambda t: profiles.repeated_pairs(t, 1, 365))
-on(T, "a03_smurfing_top10", "SELECT src, dst, count(*) AS n, round(sum(value), 2) AS total FROM transfers GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 10")(
-    lambda t: t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).orderBy(F.desc("n"), "src", "dst").limit(10)
+on(T, "a03_smurfing_top10", "SELECT src, dst, count(*) AS n, round(sum(value), 4) AS total FROM transfers GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 10")(
+    lambda t: t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).orderBy(F.desc("n"), "src", "dst").limit(10)
 )
-on(T, "a04_high_frequency", "SELECT src, n, total, CASE WHEN n > 80 THEN 'HIGH' WHEN n > 60 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT src, count(*) AS n, round(sum(value), 2) AS total FROM transfers GROUP BY 1) WHERE n > 40")(
+on(T, "a04_high_frequency", "SELECT src, n, total, CASE WHEN n > 80 THEN 'HIGH' WHEN n > 60 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT src, count(*) AS n, round(sum(value), 4) AS total FROM transfers GROUP BY 1) WHERE n > 40")(
     lambda t: profiles.senders_by_count(t, 40, 80, 60)
 )
-on(T, "a05_structuring", "SELECT src, count(*) AS n, round(sum(value), 2) AS total FROM transfers WHERE value >= 8000 AND value < 10000 GROUP BY 1 HAVING count(*) >= 3")(lambda t: profiles.structuring(t, 3))
-on(T, "a06_smurf_targets", "SELECT dst, count(DISTINCT src) AS sources, count(*) AS n, round(sum(value), 2) AS total FROM transfers GROUP BY 1 HAVING count(DISTINCT src) >= 20 AND count(*) >= 50")(
+on(T, "a05_structuring", "SELECT src, count(*) AS n, round(sum(value), 4) AS total FROM transfers WHERE value >= 8000 AND value < 10000 GROUP BY 1 HAVING count(*) >= 3")(lambda t: profiles.structuring(t, 3))
+on(T, "a06_smurf_targets", "SELECT dst, count(DISTINCT src) AS sources, count(*) AS n, round(sum(value), 4) AS total FROM transfers GROUP BY 1 HAVING count(DISTINCT src) >= 20 AND count(*) >= 50")(
     lambda t: profiles.smurf_targets(t, 20, 50)
 )
-on(T, "a07_velocity", "SELECT src, count(*) AS n, round(sum(value), 2) AS total, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours FROM transfers GROUP BY 1 HAVING count(*) > 30 AND round(sum(value), 2) > 1000000")(
+on(T, "a07_velocity", "SELECT src, count(*) AS n, round(sum(value), 4) AS total, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours FROM transfers GROUP BY 1 HAVING count(*) > 30 AND round(sum(value), 4) > 1000000")(
     lambda t: profiles.velocity(t, 30, 1e6)
 )
 on(U, "a08_hourly_peaks", """WITH h AS (SELECT src, date_trunc('hour', ts) AS hour, count(*) AS n FROM user_flow GROUP BY 1, 2),
@@ -122,17 +122,17 @@ on(T, "a23_bridge_usage", """WITH b AS (SELECT *, CASE WHEN dst IN ('S1', 'S2',
     + CASE WHEN m > 50000 THEN 20 WHEN m > 10000 THEN 10 ELSE 0 END) AS BIGINT) AS risk FROM g""")(lambda t: profiles.bridge_usage(t, ["S1", "S2", "S3"]))
 on(T, "a24_whale_tiers", """WITH g AS (SELECT src AS wallet, sum(value) AS s, sum(CASE WHEN value >= 90000 THEN 1 ELSE 0 END)::BIGINT AS n_large, max(ts) AS last_active, count(DISTINCT chain) AS chains FROM transfers GROUP BY 1)
   SELECT wallet, round(s, 2) AS total, n_large, last_active, chains, CASE WHEN s >= 2000000 THEN 'TIER1' WHEN s >= 1000000 THEN 'TIER2' ELSE 'ACTIVE' END AS tier FROM g WHERE s >= 1000000 OR n_large > 0""")(lambda t: profiles.whale_tiers(t, 2e6, 1e6, 9e4))
-on(T, "a25_movement_stats", """SELECT tx_type, chain, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, grouping(tx_type, chain)::BIGINT AS level FROM transfers GROUP BY CUBE (tx_type, chain)""")(profiles.movement_stats)
+on(T, "a25_movement_stats", """SELECT tx_type, chain, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, grouping(tx_type, chain)::BIGINT AS level FROM transfers GROUP BY CUBE (tx_type, chain)""")(profiles.movement_stats)
 on(B, "a28_a29_holder_concentration", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY amount, wallet) AS i, row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS k, count(*) OVER (PARTITION BY token) AS n FROM balances),
   g AS (SELECT token, max(n) AS holders, sum(amount) AS s, sum(i * amount) AS w, sum(CASE WHEN k <= greatest(1, floor(n * 0.01)) THEN amount ELSE 0.0 END) AS t1, sum(CASE WHEN k <= greatest(1, floor(n * 0.1)) THEN amount ELSE 0.0 END) AS t10 FROM r GROUP BY 1),
   o AS (SELECT token, holders, round(2 * w / (holders * s) - (holders + 1) / holders, 4) AS gini, round(100 * t1 / s, 2) AS top1_pct, round(100 * t10 / s, 2) AS top10_pct FROM g)
   SELECT *, CAST(least(10, CASE WHEN gini > 0.7 THEN 5 WHEN gini > 0.5 THEN 3 ELSE 0 END + CASE WHEN top1_pct > 50 THEN 4 WHEN top1_pct > 20 THEN 2 ELSE 0 END + CASE WHEN top10_pct > 80 THEN 3 WHEN top10_pct > 50 THEN 1 ELSE 0 END) AS BIGINT) AS risk FROM o""")(profiles.holder_concentration)
 on(B, "w10_top_holders", "SELECT * FROM (SELECT wallet, token, amount, CAST(row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS INT) AS rank FROM balances) WHERE rank <= 5")(profiles.top_holders)
-on(T, "a35_related_addresses", """SELECT address, partner, sum(o)::BIGINT AS n_out, sum(1 - o)::BIGINT AS n_in, round(sum(value), 2) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM
+on(T, "a35_related_addresses", """SELECT address, partner, sum(o)::BIGINT AS n_out, sum(1 - o)::BIGINT AS n_in, round(sum(value), 4) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM
   (SELECT src AS address, dst AS partner, 1 AS o, value, ts FROM transfers UNION ALL SELECT dst, src, 0, value, ts FROM transfers) GROUP BY 1, 2""")(profiles.related_addresses)
-on(T, "a37_chain_dominance", "SELECT chain, round(sum(value), 2) AS total, round(100 * sum(value) / (SELECT sum(value) FROM transfers), 4) AS pct FROM transfers GROUP BY 1")(lambda t: profiles.dominance(t, "chain"))
-on(T, "a33_token_rollup", "SELECT token, round(sum(value), 2) AS volume, count(DISTINCT src) AS senders, count(DISTINCT dst) AS receivers FROM transfers GROUP BY 1")(
-    lambda t: t.groupBy("token").agg(F.round(F.sum("value"), 2).alias("volume"), F.countDistinct("src").alias("senders"), F.countDistinct("dst").alias("receivers"))
+on(T, "a37_chain_dominance", "SELECT chain, round(sum(value), 4) AS total, round(100 * sum(value) / (SELECT sum(value) FROM transfers), 4) AS pct FROM transfers GROUP BY 1")(lambda t: profiles.dominance(t, "chain"))
+on(T, "a33_token_rollup", "SELECT token, round(sum(value), 4) AS volume, count(DISTINCT src) AS senders, count(DISTINCT dst) AS receivers FROM transfers GROUP BY 1")(
+    lambda t: t.groupBy("token").agg(F.round(F.sum("value"), 4).alias("volume"), F.countDistinct("src").alias("senders"), F.countDistinct("dst").alias("receivers"))
 )
 on(T, "a43_net_positions", """WITH g AS (SELECT token, chain, sum(CASE WHEN tx_type = 'N' THEN value END) AS b, sum(CASE WHEN tx_type <> 'N' THEN value END) AS s, count(CASE WHEN tx_type = 'N' THEN 1 END) AS buys, count(CASE WHEN tx_type <> 'N' THEN 1 END) AS sells FROM transfers GROUP BY 1, 2)
   SELECT token, chain, round(b, 2) AS bought, round(s, 2) AS sold, buys, sells FROM g WHERE buys > 1 AND sells > 1 AND abs(b - s) < 0.1 * greatest(b, s)""")(lambda t: profiles.net_positions(t, 1))
@@ -242,7 +242,7 @@ on(source("events"), "st14_rate_peaks", """SELECT user_id, max(n) AS peak FROM (
 
 # Graphs
 
-on(T, "g01_build", "SELECT src, dst, count(*) AS n, round(sum(value), 2) AS value, min(ts) AS first_ts FROM transfers WHERE src <> dst AND transfers.value >= 1000 GROUP BY 1, 2")(lambda t: graph.build(t, 1000))
+on(T, "g01_build", "SELECT src, dst, count(*) AS n, round(sum(value), 4) AS value, min(ts) AS first_ts FROM transfers WHERE src <> dst AND transfers.value >= 1000 GROUP BY 1, 2")(lambda t: graph.build(t, 1000))
 on(T, "g12_degrees", "SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, count(*) AS degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM transfers UNION ALL SELECT dst, 1, 0 FROM transfers) GROUP BY 1")(graph.degrees)
 query("g02_reach", """WITH RECURSIVE r(node, hop) AS (SELECT 0, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN nation_flow e ON r.node = e.src WHERE r.hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY 1""")(
     lambda s, d: graph.reach(N(s, d), s.createDataFrame([(0,)], "node int"), 3)
@@ -268,7 +268,7 @@ query("g15_risk_spread", """WITH nodes AS (SELECT src AS node FROM nation_flow U
 on(N, "g19_triangles", """WITH u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM nation_flow), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
   c AS (SELECT node, count(*) AS triangles FROM (SELECT p AS node FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY 1)
   SELECT d.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS clustering FROM d LEFT JOIN c ON d.node = c.node""")(graph.triangles)
-on(N, "g22_components", """WITH RECURSIVE b AS (SELECT src, dst FROM nation_flow UNION SELECT dst, src FROM nation_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")(lambda e: graph.components(e, 6))
+on(N, "g22_components", """WITH RECURSIVE b AS (SELECT src, dst FROM nation_flow UNION SELECT dst, src FROM nation_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")(lambda e: graph.components(e))
 query("a47_label_pairs", """SELECT a.r_name AS from_label, b.r_name AS to_label, count(*) AS n FROM nation_flow e JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) a ON e.src = a.n_nationkey
   JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) b ON e.dst = b.n_nationkey GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 100""")(
     lambda s, d: graph.label_pairs(N(s, d), table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("node"), F.col("r_name").alias("label")))
@@ -308,8 +308,8 @@ query("v01_cosine_knn", f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, r
 on(source("documents"), "v07_keyword_search", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0)) AS t, contains(lower(text), 'the and') AS direct FROM documents),
   s AS (SELECT doc_id, round(CASE WHEN direct THEN 0.9 WHEN len(list_intersect(t, ['the', 'and'])) > 0 THEN 0.5 + 0.4 * len(list_intersect(t, ['the', 'and'])) / 2 END, 6) AS score FROM w)
   SELECT doc_id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20""")(lambda t: retrieval.keyword_search(t, "the and", "doc_id", "text", 20))
-on(source("documents"), "v06_chunks", """WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 201) + 1, 800)) AS at FROM documents WHERE length(text) > 0)
-  SELECT doc_id, CAST(at / 800 AS INT) AS chunk_index, substr(text, CAST(at + 1 AS INT), 1000) AS content FROM c""")(lambda t: retrieval.chunks(t, "doc_id", "text"))
+on(source("documents"), "v06_chunks", """WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 201) + 1, 800)) AS pos FROM documents WHERE length(text) > 0)
+  SELECT doc_id, CAST(pos // 800 AS INT) AS chunk_index, substr(text, CAST(pos + 1 AS INT), 1000) AS content FROM c""")(lambda t: retrieval.chunks(t, "doc_id", "text"))
 on(source("events"), "m14_evidence_quality", """SELECT event_id, round(0.5 + 0.2 * least(1, value / 100) + 0.1 * CASE event_type WHEN 'signup' THEN 0.9 WHEN 'purchase' THEN 0.8 ELSE 0.5 END + 0.2 * (0.4 * 1 + 0.4 * CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END + 0.2), 6) AS quality FROM events""")(
     lambda e: e.select("event_id", evaluation.evidence_quality(F.least(F.lit(1.0), F.col("value") / 100), F.when(F.col("event_type") == "signup", "human").when(F.col("event_type") == "purchase", "external").otherwise("llm"), F.lit(True), F.pmod("user_id", F.lit(2)) == 0, F.lit(True)).alias("quality"))
 )
@@ -326,9 +326,9 @@ PATTERNS = (
 )
 
 
-@query("g36_patterns", """SELECT 'STRUCT_001' AS pattern, 'HIGH' AS risk, src AS key, count(*) AS n, round(sum(value), 2) AS total, 'ALERT,SCORE' AS actions FROM transfers WHERE value >= 8000 AND value < 10000 GROUP BY src HAVING count(*) >= 3
-  UNION ALL SELECT 'SMURF_001', 'HIGH', dst, count(*), round(sum(value), 2), 'ALERT' FROM transfers WHERE value < 20000 GROUP BY dst HAVING count(*) >= 20
-  UNION ALL SELECT 'BURST_001', 'MEDIUM', src || '|' || chain, count(*), round(sum(value), 2), 'SCORE' FROM transfers WHERE ts >= (SELECT max(ts) FROM transfers) - INTERVAL 365 DAY GROUP BY src, chain HAVING count(*) >= 2 AND sum(value) > 50000 AND epoch_us(max(ts)) - epoch_us(min(ts)) <= 2592000000000""")
+@query("g36_patterns", """SELECT 'STRUCT_001' AS pattern, 'HIGH' AS risk, src AS key, count(*) AS n, round(sum(value), 4) AS total, 'ALERT,SCORE' AS actions FROM transfers WHERE value >= 8000 AND value < 10000 GROUP BY src HAVING count(*) >= 3
+  UNION ALL SELECT 'SMURF_001', 'HIGH', dst, count(*), round(sum(value), 4), 'ALERT' FROM transfers WHERE value < 20000 GROUP BY dst HAVING count(*) >= 20
+  UNION ALL SELECT 'BURST_001', 'MEDIUM', src || '|' || chain, count(*), round(sum(value), 4), 'SCORE' FROM transfers WHERE ts >= (SELECT max(ts) FROM transfers) - INTERVAL 365 DAY GROUP BY src, chain HAVING count(*) >= 2 AND sum(value) > 50000 AND epoch_us(max(ts)) - epoch_us(min(ts)) <= 2592000000000""")
 def g36_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T(spark, sf_dir)
     first, *rest = [compile_pattern(p, t) for p in PATTERNS]

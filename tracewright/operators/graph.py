@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright.lineage import written
+
 Cut = Callable[[DataFrame], DataFrame]
 
 
@@ -19,7 +21,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 def build(t: DataFrame, least: float = 0.0) -> DataFrame:
     """One edge for each ordered pair: number and sum of transfers, first time; loops and smaller transfers are dropped."""
-    return t.filter((F.col("src") != F.col("dst")) & (F.col("value") >= least)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.min("ts").alias("first_ts"))
+    return t.filter((F.col("src") != F.col("dst")) & (F.col("value") >= least)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.min("ts").alias("first_ts"))
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -116,16 +118,22 @@ def risk_spread(e: DataFrame, seeds: DataFrame, rounds: int = 3, decay: float =
     return now
 
 
-def components(e: DataFrame, rounds: int, cut: Cut = keep) -> DataFrame:
-    """(node, component): the smallest node that so many rounds of minima over neighbours reach, with a jump each round."""
-    both = e.select("src", "dst").union(e.select("dst", "src")).distinct()
-    label = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+def components(e: DataFrame, cut: Cut = written, most: int = 60) -> DataFrame:
+    """(node, component): the smallest node that is reachable, by rounds of minima over neighbours and a jump to the component's own.
+
+    Rounds go on until no node changes; each is cut, since it reads the one before three times.
+    """
+    both = cut(e.select("src", "dst").union(e.select("dst", "src")).distinct())
+    label = cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    for _ in range(most):
         near = both.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near")).withColumnRenamed("src", "node")
-        least = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = least.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        label = cut(least.join(jump, F.col("component") == F.col("_n"), "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component")))
-    return label
+        least = label.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        jump = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        now = cut(least.join(jump, F.col("component") == F.col("_n"), "left").select("node", "was", F.least("component", F.coalesce("_c", "component")).alias("component")))
+        label = now.select("node", "component")
+        if now.filter("component <> was").isEmpty():
+            return label
+    raise RuntimeError(f"components have not settled after {most} rounds")
 
 
 def triangles(e: DataFrame) -> DataFrame:

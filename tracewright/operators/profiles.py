@@ -66,29 +66,29 @@ def flow_metrics(t: DataFrame) -> DataFrame:
 
 def repeated_pairs(t: DataFrame, least: int, span_days: int) -> DataFrame:
     """Pairs with more than least transfers inside so many days: count, sum, mean, and a band of confidence (smurfing)."""
-    g = t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    g = t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     near = micros(F.col("last_ts")) - micros(F.col("first_ts")) < span_days * 24 * HOUR_US
     return g.filter((F.col("n") > least) & near).withColumn("confidence", ladder(F.col("n"), [(50, 0.9), (30, 0.7), (20, 0.5)], 0.3))
 
 
 def senders_by_count(t: DataFrame, least: int, high: int, middle: int) -> DataFrame:
     """Senders of more than least transfers, with a band."""
-    g = t.groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    g = t.groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.filter(F.col("n") > least).withColumn("band", ladder(F.col("n"), [(high, "HIGH"), (middle, "MEDIUM")], "LOW"))
 
 
 def structuring(t: DataFrame, least: int, key: str = "src") -> DataFrame:
     """Keys with at least so many transfers just under the threshold."""
-    return t.filter(structuring_band(F.col("value"))).groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).filter(F.col("n") >= least)
+    return t.filter(structuring_band(F.col("value"))).groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).filter(F.col("n") >= least)
 
 
 def smurf_targets(t: DataFrame, sources: int, count: int) -> DataFrame:
-    g = t.groupBy("dst").agg(F.countDistinct("src").alias("sources"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    g = t.groupBy("dst").agg(F.countDistinct("src").alias("sources"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.filter((F.col("sources") >= sources) & (F.col("n") >= count))
 
 
 def velocity(t: DataFrame, count: int, total: float) -> DataFrame:
-    g = t.groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round((F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / HOUR_US, 4).alias("span_hours"))
+    g = t.groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round((F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / HOUR_US, 4).alias("span_hours"))
     return g.filter((F.col("n") > count) & (F.col("total") > total))
 
 
@@ -132,7 +132,7 @@ def whale_tiers(t: DataFrame, tier1: float, tier2: float, large: float) -> DataF
 
 def movement_stats(t: DataFrame) -> DataFrame:
     """Counts, sums and means by kind and chain, with subtotals."""
-    g = t.cube("tx_type", "chain").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.grouping_id().cast("long").alias("level"))
+    g = t.cube("tx_type", "chain").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.grouping_id().cast("long").alias("level"))
     return g
 
 
@@ -163,7 +163,7 @@ def related_addresses(t: DataFrame) -> DataFrame:
     a = t.select(F.col("src").alias("address"), F.col("dst").alias("partner"), F.lit(1).alias("o"), "value", "ts")
     b = t.select(F.col("dst").alias("address"), F.col("src").alias("partner"), F.lit(0).alias("o"), "value", "ts")
     return a.unionByName(b).groupBy("address", "partner").agg(
-        F.sum("o").cast("long").alias("n_out"), F.sum(1 - F.col("o")).cast("long").alias("n_in"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        F.sum("o").cast("long").alias("n_out"), F.sum(1 - F.col("o")).cast("long").alias("n_in"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
 

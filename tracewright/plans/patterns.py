@@ -73,5 +73,5 @@ def compile_pattern(p: Pattern, t: DataFrame) -> DataFrame:
     if p.within:
         groups = groups.filter(F.col("_span") <= iso_duration_seconds(p.within) * 1_000_000)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in p.group_by])
-    kept = [F.round(F.col(n), 2).alias(n) if a in ("sum", "avg") else F.col(n) for n, (a, _, _) in p.having.items()]
+    kept = [F.round(F.col(n), 4).alias(n) if a in ("sum", "avg") else F.col(n) for n, (a, _, _) in p.having.items()]
     return groups.select(F.lit(p.name).alias("pattern"), F.lit(p.risk).alias("risk"), key.alias("key"), *kept, F.lit(",".join(p.actions)).alias("actions"))
