@@ -18,6 +18,8 @@ from tracewright.llm.base import WORD, materialize, table
 MAX_PATTERNS = 100_000
 #: A pattern's documents fall into so many seeded bins; only the bin at the cut is sorted.
 BINS = 65_536
+#: Passes that fill the gap at the cut, and the part of a take that is near enough. Large patterns need one or two passes.
+FILLS, NEAR = 12, 1000
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,8 @@ def select_seeded(sized: DataFrame, takes: list[tuple[int, int, int]]) -> DataFr
 
     takes: (pattern, words, take). Every row gets take // words copies; rows in the order of their seeded hash
     get one more until the rest is used up. A histogram over the hash finds the bin of the cut, so no task
-    sorts a whole pattern. Two more passes give the gap that is left to the largest rows that fit it.
+    sorts a whole pattern. A few more passes give the gap that is left to the largest row that fits it or, where none fits,
+    to the smallest that leaves a smaller gap; they end when the gap is under a NEAR-th of the take.
     """
     spark = sized.sparkSession
     rows = [(p, take // words, take % words) for p, words, take in takes if words]
@@ -153,18 +156,21 @@ def select_seeded(sized: DataFrame, takes: list[tuple[int, int, int]]) -> DataFr
     chosen = materialize(sure.unionByName(close).select("_row", "_pattern", "_hash", "_size", "_base", "_rest", F.coalesce("_more", F.lit(0)).alias("_more")), "mix")
     used = chosen.groupBy("_pattern").agg(F.first("_rest").alias("_rest"), F.sum(F.col("_more") * F.col("_size")).alias("_used"))
     gaps = {r["_pattern"]: r["_rest"] - r["_used"] for r in used.collect() if r["_rest"] is not None}
-    extra: dict[int, int] = {}  # at most two rows for each pattern
-    for _ in range(2):
-        open_ = [(p, g) for p, g in gaps.items() if g > 0]
+    close_enough = {p: take // NEAR for p, _, take in takes}
+    extra: list[int] = []  # a few rows for each pattern
+    for _ in range(FILLS):
+        open_ = [(p, g) for p, g in gaps.items() if g > close_enough[p]]
         if not open_:
             break
         fits = chosen.filter("_more = 0 AND _size > 0").join(F.broadcast(spark.createDataFrame(open_, "_pattern long, _gap long")), "_pattern")
-        fits = fits.filter(F.col("_size") <= F.col("_gap"))
+        fits = fits.filter(F.col("_size") < 2 * F.col("_gap"))  # a row that goes over brings the words nearer, too
         if extra:
             fits = fits.join(F.broadcast(spark.createDataFrame([(r,) for r in extra], "_row long")), "_row", "left_anti")
-        best = fits.groupBy("_pattern").agg(F.max(F.struct("_size", "_hash", "_row")).alias("_best")).collect()
+        under = F.col("_size") <= F.col("_gap")
+        order = F.struct(under.alias("under"), F.when(under, F.col("_size")).otherwise(-F.col("_size")).alias("near"), "_hash", "_size", "_row")
+        best = fits.groupBy("_pattern").agg(F.max(order).alias("_best")).collect()
         for r in best:
-            extra[r["_best"]["_row"]] = 1
+            extra.append(r["_best"]["_row"])
             gaps[r["_pattern"]] -= r["_best"]["_size"]
         if not best:
             break

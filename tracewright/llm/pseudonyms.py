@@ -265,7 +265,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple
             found = F.when(kind == k.name, F.coalesce(k.replace(m, key), m)).otherwise(found)
         return found
 
-    some = F.regexp_like(text, F.lit("[0-9@=:]")) & F.regexp_like(text, F.lit(whole))  # every kind has one of these marks
+    some = F.regexp_like(text, F.lit("[0-9@=:]|AKIA")) & F.regexp_like(text, F.lit(whole))  # every kind has one of these marks
     staged = docs.withColumn("_pii", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))))
     made = F.transform("_pii", lambda x: new(x["m"], x["k"]))
     gaps = F.split(text, whole, -1)
