@@ -74,7 +74,7 @@ on(T, "m12_transfer_features", """SELECT tx_id, CAST(month(ts) AS INT) AS month,
 # Aggregates
 
 on(T, "a02_smurfing", """SELECT src, dst, n, total, mean, first_ts, last_ts, CASE WHEN n > 50 THEN 0.9 WHEN n > 30 THEN 0.7 WHEN n > 20 THEN 0.5 ELSE 0.3 END AS confidence FROM
-  (SELECT src, dst, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM transfers GROUP BY 1, 2)
+  (SELECT src, dst, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM transfers GROUP BY 1, 2)
   WHERE n > 1 AND last_ts - first_ts < INTERVAL 365 DAY""")(lambda t: profiles.repeated_pairs(t, 1, 365))
 on(T, "a03_smurfing_top10", "SELECT src, dst, count(*) AS n, round(sum(value), 4) AS total FROM transfers GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 10")(
     lambda t: t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).orderBy(F.desc("n"), "src", "dst").limit(10)
@@ -104,7 +104,7 @@ on(U, "j25_outside_usual_hours", """WITH h AS (SELECT src, hour(ts) AS h, count(
 on(T, "a10_a14_flow_profile", """WITH o AS (SELECT src AS address, count(*) AS n_out, sum(value) AS ov, count(DISTINCT dst) AS partners_out FROM transfers GROUP BY 1),
   i AS (SELECT dst AS address, count(*) AS n_in, sum(value) AS iv, count(DISTINCT src) AS partners_in FROM transfers GROUP BY 1)
   SELECT coalesce(o.address, i.address) AS address, coalesce(n_out, 0) AS n_out, coalesce(partners_out, 0) AS partners_out, coalesce(n_in, 0) AS n_in, coalesce(partners_in, 0) AS partners_in,
-  round(coalesce(ov, 0.0), 2) AS out_value, round(coalesce(iv, 0.0), 2) AS in_value, round(coalesce(iv, 0.0) - coalesce(ov, 0.0), 2) AS net_flow FROM o FULL JOIN i ON o.address = i.address""")(profiles.flow_profile)
+  round(coalesce(ov, 0.0), 4) AS out_value, round(coalesce(iv, 0.0), 4) AS in_value, round(coalesce(iv, 0.0) - coalesce(ov, 0.0), 4) AS net_flow FROM o FULL JOIN i ON o.address = i.address""")(profiles.flow_profile)
 on(T, FLAGSHIP, """WITH s AS (SELECT src AS address, 0.0 AS i, value AS o, chain, ts FROM transfers UNION ALL SELECT dst, value, 0.0, chain, ts FROM transfers),
   r AS (SELECT address, sum(i) AS i, sum(o) AS o, count(*) AS n_tx, sum(CASE WHEN i > 0 THEN 1 ELSE 0 END) AS n_in, sum(CASE WHEN o > 0 THEN 1 ELSE 0 END) AS n_out,
     string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains, count(DISTINCT chain) AS nc, min(ts) AS first_seen, max(ts) AS last_seen FROM s GROUP BY 1)
@@ -237,7 +237,7 @@ on(P, "m02_iqr_outliers", """WITH g AS (SELECT token, quantile_cont(price, 0.25)
 on(P, "m05_threshold_outliers", "WITH g AS (SELECT token, avg(price) AS m, stddev_samp(price) AS d FROM price_series GROUP BY 1) SELECT p.day, p.token FROM price_series p JOIN g ON p.token = g.token WHERE abs(price - m) > 3 * d")(lambda s: series.threshold_outliers(s, "token", "day", "price"))
 on(P, "m05_quantile_outliers", "WITH g AS (SELECT token, quantile_cont(price, 0.05) AS lo, quantile_cont(price, 0.95) AS hi FROM price_series GROUP BY 1) SELECT p.day, p.token FROM price_series p JOIN g ON p.token = g.token WHERE price < lo OR price > hi")(lambda s: series.quantile_outliers(s, "token", "day", "price"))
 on(P, "a40_growth", """WITH w AS (SELECT *, 100 * (price / lag(price) OVER (PARTITION BY token ORDER BY day) - 1) AS pct FROM price_series),
-  g AS (SELECT token, arg_min(price, day) AS f, arg_max(price, day) AS l, stddev_pop(pct) AS v FROM w GROUP BY 1) SELECT token, round(f, 4) AS first, round(l, 4) AS last, round(l - f, 4) AS change, round(100 * (l / f - 1), 4) AS change_pct, round(v, 4) AS volatility FROM g""")(series.growth)
+  g AS (SELECT token, arg_min(price, day) AS f, arg_max(price, day) AS l, stddev_pop(pct) AS v FROM w GROUP BY 1) SELECT token, round(f, 6) AS first, round(l, 6) AS last, round(l - f, 6) AS change, round(100 * (l / f - 1), 6) AS change_pct, round(v, 6) AS volatility FROM g""")(series.growth)
 on(source("events"), "st14_rate_peaks", """SELECT user_id, max(n) AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""")(lambda e: series.rate_peaks(e, "user_id", "ts", "event_id", 3600))
 
 # Graphs

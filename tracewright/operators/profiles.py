@@ -18,9 +18,9 @@ def flow_profile(t: DataFrame) -> DataFrame:
     return both.select(
         "address",
         *[v.cast("long").alias(c) for c, v in zero.items()],
-        F.round(F.coalesce("out_value", F.lit(0.0)), 2).alias("out_value"),
-        F.round(F.coalesce("in_value", F.lit(0.0)), 2).alias("in_value"),
-        F.round(F.coalesce("in_value", F.lit(0.0)) - F.coalesce("out_value", F.lit(0.0)), 2).alias("net_flow"),
+        F.round(F.coalesce("out_value", F.lit(0.0)), 4).alias("out_value"),
+        F.round(F.coalesce("in_value", F.lit(0.0)), 4).alias("in_value"),
+        F.round(F.coalesce("in_value", F.lit(0.0)) - F.coalesce("out_value", F.lit(0.0)), 4).alias("net_flow"),
     )
 
 
@@ -66,7 +66,7 @@ def flow_metrics(t: DataFrame) -> DataFrame:
 
 def repeated_pairs(t: DataFrame, least: int, span_days: int) -> DataFrame:
     """Pairs with more than least transfers inside so many days: count, sum, mean, and a band of confidence (smurfing)."""
-    g = t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    g = t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     near = micros(F.col("last_ts")) - micros(F.col("first_ts")) < span_days * 24 * HOUR_US
     return g.filter((F.col("n") > least) & near).withColumn("confidence", ladder(F.col("n"), [(50, 0.9), (30, 0.7), (20, 0.5)], 0.3))
 

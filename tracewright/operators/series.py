@@ -87,7 +87,7 @@ def growth(s: DataFrame) -> DataFrame:
     w = Window.partitionBy("token").orderBy("day")
     pct = 100 * (F.col("price") / F.lag("price").over(w) - 1)
     g = s.withColumn("pct", pct).groupBy("token").agg(F.min_by("price", "day").alias("first"), F.max_by("price", "day").alias("last"), F.stddev_pop("pct").alias("vol"))
-    return g.select("token", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"), F.round(F.col("last") - F.col("first"), 4).alias("change"), F.round(100 * (F.col("last") / F.col("first") - 1), 4).alias("change_pct"), F.round("vol", 4).alias("volatility"))
+    return g.select("token", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round(F.col("last") - F.col("first"), 6).alias("change"), F.round(100 * (F.col("last") / F.col("first") - 1), 6).alias("change_pct"), F.round("vol", 6).alias("volatility"))
 
 
 def recency(e: DataFrame, key: str, ts: str) -> DataFrame:

@@ -65,7 +65,7 @@ def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each wallet holds of each token: wallet, token, amount."""
-    return transfers(spark, sf_dir).groupBy(F.col("dst").alias("wallet"), "token").agg(F.round(F.sum("value"), 2).alias("amount"))
+    return transfers(spark, sf_dir).groupBy(F.col("dst").alias("wallet"), "token").agg(F.round(F.sum("value"), 4).alias("amount"))
 
 
 SQL = {
@@ -82,7 +82,7 @@ SQL = {
       WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE r <= 3""",
     "price_series": """SELECT p_brand AS token, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price, sum(l_quantity) AS volume
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
-    "balances": """SELECT dst AS wallet, token, round(sum(value), 2) AS amount FROM transfers GROUP BY 1, 2""",
+    "balances": """SELECT dst AS wallet, token, round(sum(value), 4) AS amount FROM transfers GROUP BY 1, 2""",
 }
 
 
