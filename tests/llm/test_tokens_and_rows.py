@@ -98,6 +98,22 @@ def test_pseudonyms_keep_form_and_links(spark):
     assert pseudonyms.pseudonymize(df.limit(0), "k").isEmpty()
 
 
+def test_adjacent_numbers_hide_nothing(spark):
+    card, visa, iban, phone = "4111 1111 1111 1111", "4111111111111111", "BE68 5390 0754 7034", "555-123-4567"
+    cases = [
+        (f"{card} 12/26", ["card"]), (f"{card} 123", ["card"]), (f"{visa} 123", ["card"]), ("4111-1111 11111111 12/26", ["card"]), (f"1234 {card}", ["card"]), (f"{card} {card}", ["card", "card"]), (f"{visa} {visa}", ["card", "card"]),
+        (f"{phone} 555-987-6543", ["phone", "phone"]), (f"{phone} {card}", ["phone", "card"]), (f"{phone} 123 Main Street", ["phone"]), (f"+1 555 010 4477 {card}", ["phone", "card"]), (f"+1 555 010 4477 {phone}", ["phone", "phone"]), (f"+44 20 7946 0958 {phone}", ["phone", "phone"]),
+        (f"{iban} EUR", ["iban"]), ("BE68539007547034 IBAN", ["iban"]), (f"AB13 {iban}", ["iban"]), (f"{iban} {iban}", ["iban", "iban"]), (f"{iban} {card}", ["iban", "card"]), (f"2021-02-30 {card}", ["card"]), (f"123-45-6789 {card} jane@example.com {phone}", ["ssn", "card", "mail", "phone"]),
+    ]
+    alone = {v: r["text"] for v, r in zip((card, visa, iban, phone), pseudonyms.pseudonymize(spark.createDataFrame([(v,) for v in (card, visa, iban, phone)], "text string"), "k").collect(), strict=True)}
+    df = spark.createDataFrame([(i, f"é {t}, x") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(df, "k").collect()}
+    for i, (text, kinds) in enumerate(cases):
+        assert (text, got[i]["pii_found"]) == (text, kinds) and len(got[i]["text"]) == len(f"é {text}, x")
+        for value, other in alone.items():
+            assert value not in got[i]["text"] and got[i]["text"].count(other) == text.count(value)
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

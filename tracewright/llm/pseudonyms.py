@@ -212,12 +212,19 @@ def _drawn(text: Column, digest: Column, key: str) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: Java regular expression without capturing groups. sound: which matches count. replace: the new text."""
+    """pattern: Java regular expression without capturing groups. sound: which matches count. replace: the new text.
+
+    level: kinds of a lower level are looked for first, in all of the text. cuts: marks at which a match may end earlier, where
+    its longest form isn't sound. prefer: (match, the two characters behind it) to whether it goes before the longer ones.
+    """
 
     name: str
     pattern: str
     sound: Callable[[Column], Column]
     replace: Callable[[Column, str], Column]
+    level: int = 1
+    cuts: str = ""
+    prefer: Callable[[Column, Column], Column] | None = None
 
 
 def _any(m: Column) -> Column:
@@ -228,48 +235,154 @@ def _real_day(form: str) -> Callable[[Column], Column]:
     return lambda m: F.try_to_date(m, form).between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
 
 
-#: In order of precedence where several could match at one place.
+#: Length of an IBAN, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _country_length(m: Column, after: Column) -> Column:
+    lengths = F.map_from_arrays(F.array(*[F.lit(c) for s in IBAN_LENGTHS.values() for c in s.split()]), F.array(*[F.lit(n) for n, s in IBAN_LENGTHS.items() for _ in s.split()]))
+    return F.coalesce(F.length(F.regexp_replace(m, " ", "")) == F.try_element_at(lengths, F.substring(m, 1, 2)), F.lit(False))
+
+
+def _card_layouts() -> list[Kind]:
+    """Cards as they are printed. Groups of 16 go before those of 19, for a code of three digits often follows."""
+    layouts = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)]
+    forms = ["(?:" + "|".join(mark.join(f"[0-9]{{{n}}}" for n in groups) for mark in (" ", "-")) + ")" for groups in layouts]
+    return [Kind("card", f"(?<![0-9]){form}(?![0-9])", is_card, card) for form in [*forms, "[0-9]{13,19}"]]
+
+
+_IS_PHONE = lambda m: F.length(digits_of(m)).between(7, 15)
+
+#: By level, and then in order of precedence where several could match at one place.
 KINDS = (
-    Kind("secret", r"""\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key|apikey)\s*[=:]\s*["']?[^\s"']{6,}""", _any, secret),
-    Kind("mail", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}", _any, mail),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", is_iban, iban),
+    Kind("secret", r"""\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key|apikey)\s*[=:]\s*["']?[^\s"']{6,}""", _any, secret, 0),
+    Kind("mail", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}", _any, mail, 0),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", is_iban, iban, cuts=" ", prefer=_country_length),
     Kind("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])", _any, address),
     Kind("day_iso", r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])", _real_day("yyyy-MM-dd"), lambda m, k: day(m, k, "yyyy-MM-dd")),
     Kind("day_dot", r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])", _real_day("dd.MM.yyyy"), lambda m, k: day(m, k, "dd.MM.yyyy")),
     Kind("day_slash", r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])", _real_day("MM/dd/yyyy"), lambda m, k: day(m, k, "MM/dd/yyyy")),
     Kind("ssn", r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])", _any, social),
-    Kind("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", is_card, card),
-    Kind("phone", r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])", lambda m: F.length(digits_of(m)).between(7, 15), phone),
+    *_card_layouts(),
+    Kind("phone", r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])", _any, phone, 2),
+    # an end inside of what marks join, as of the 555 in "+44 20 7946 0958 555-123-4567", is the last choice
+    Kind("phone", r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9])", _IS_PHONE, phone, 2, " .-", lambda m, after: ~F.regexp_like(after, F.lit(r"^[.\-][0-9]"))),
+    Kind("phone", r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])", _any, phone, 2),
+    Kind("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", is_card, card, 3, " -", lambda m, after: F.length(digits_of(m)) == 16),
 )
 
+#: Longer than any match from level 1 on, with what its pattern looks at behind it.
+REACH = 60
+_TOKENS = "array<struct<t:string,k:string>>"
+
+
+def _token(text: Column, kind: Column) -> Column:
+    return F.struct(text.alias("t"), kind.alias("k"))
+
+
+def _best(around: Column, kinds: list[Kind]) -> Column:
+    """The first sound match of kinds behind the first character of around, as (t, k), or null."""
+
+    def one(k: Kind) -> Column:
+        def chosen(m: Column) -> Column:
+            if not k.cuts:
+                return F.when((m != "") & k.sound(m), m)
+            ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda e: (e == F.length(m)) | F.lit(k.cuts).contains(F.substring(m, e + 1, F.lit(1))))
+            parts = F.transform(ends, lambda e: F.struct(F.substring(m, F.lit(1), e).alias("m"), F.substring(around, e + 2, F.lit(2)).alias("after")))
+            fit = F.filter(parts, lambda x: F.regexp_like(x["m"], F.lit(f"^(?:{k.pattern})$")) & k.sound(x["m"]))
+            order = (lambda a: F.coalesce(F.get(F.filter(a, lambda x: k.prefer(x["m"], x["after"])), F.lit(0)), F.get(a, F.lit(0)))) if k.prefer else (lambda a: F.get(a, F.lit(0)))
+            return F.when(m != "", let(fit, order)["m"])
+
+        found = let(F.regexp_extract(around, f"(?s)^.({k.pattern})", 1), chosen)
+        return let(found, lambda m: F.when(m.isNotNull(), _token(m, F.lit(k.name))))
+
+    return F.coalesce(*[one(k) for k in kinds])
+
+
+def _scan(text: Column, before: Column, behind: Column, kinds: list[Kind]) -> Column:
+    """text cut into tokens: sound matches, from left to right and without overlap, and what lies between (of no kind).
+
+    Every place where a kind could begin is tried that no earlier match covers, so a match that isn't sound hides nothing.
+    """
+    starts = "(?s)(?<=.)(?=" + "|".join(f"(?:{k.pattern})" for k in kinds) + ")"
+    edge = lambda c: F.when(F.regexp_like(c, F.lit(r"^\w")), F.lit("_")).otherwise(F.lit("\n"))
+
+    def state(gap: Column, last: Column, skip: Column, out: Column) -> Column:
+        return F.struct(gap.alias("gap"), last.alias("last"), skip.cast("int").alias("skip"), out.cast(_TOKENS).alias("out"))
+
+    def turn(s: Column, x: Column) -> Column:
+        n, last = F.length(x["p"]), F.substring(x["p"], F.lit(-1), F.lit(1))
+        plain = state(F.concat(s["gap"], F.substring(x["p"], s["skip"] + 1, n)), last, F.greatest(s["skip"] - n, F.lit(0)), s["out"])
+
+        def after(b: Column) -> Column:
+            long_ = F.length(b["t"])
+            hit = state(F.substring(x["p"], long_ + 1, n), last, F.greatest(long_ - n, F.lit(0)), F.concat(s["out"], F.array(_token(s["gap"], F.lit("")), b)))
+            return F.when(b.isNotNull(), hit).otherwise(plain)
+
+        return F.when(s["skip"] > 0, plain).otherwise(let(_best(F.concat(s["last"], x["w"]), kinds), after))
+
+    def cut(full: Column) -> Column:
+        windows = F.regexp_extract_all(full, F.lit(f"{starts}(?=(.{{1,{REACH}}}))"), F.lit(1))
+
+        def fold(pieces: Column) -> Column:
+            rest = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces)), windows, lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+            head = F.get(pieces, F.lit(0))
+            first = state(F.substring(head, F.lit(2), F.length(head)), F.substring(head, F.lit(-1), F.lit(1)), F.lit(0), F.array())
+            return F.aggregate(rest, first, turn, lambda s: F.concat(s["out"], F.array(_token(F.substring(s["gap"], F.lit(1), F.length(s["gap"]) - 1), F.lit("")))))
+
+        return let(F.split(full, starts, -1), fold)
+
+    return let(F.concat(edge(before), text, edge(behind)), cut)
+
+
+def _search(tokens: Column, kinds: list[Kind]) -> Column:
+    """tokens with those of no kind cut further at matches of kinds."""
+    whole = F.lit("|".join(f"(?:{k.pattern})" for k in kinds))
+
+    def one(all_: Column, x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.substring(F.get(all_, i - 1)["t"], F.lit(-1), F.lit(1)))
+        behind = F.substring(F.get(all_, i + 1)["t"], F.lit(1), F.lit(1))
+        return F.when((x["k"] == "") & F.regexp_like(x["t"], whole), _scan(x["t"], F.coalesce(before, F.lit("")), F.coalesce(behind, F.lit("")), kinds)).otherwise(F.array(x))
+
+    return let(tokens, lambda all_: F.flatten(F.transform(all_, lambda x, i: one(all_, x, i))))
+
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, found_col: str = "pii_found", count_col: str = "n_pii") -> DataFrame:
     """docs with text_col rewritten, found_col (the kinds met, in order of place) and count_col.
 
-    Null stays null and empty stays empty, with no kinds and a count of 0. Where matches of several kinds could begin at one
-    place, the first of kinds wins; a match that isn't sound stays as it is. Columns named found_col or count_col are replaced.
-    Rows are handled alone: nothing is shuffled, and repeated rows get the same text.
+    Null stays null and empty stays empty, with no kinds and a count of 0. Lower levels go first; within a level, the match
+    that begins first wins, and of several at one place the first of kinds. A match that isn't sound stays as it is, but what
+    overlaps it is still tried. Kinds of level 0 have no checks and no bound of length. Columns named found_col or count_col
+    are replaced. Rows are handled alone: nothing is shuffled, and repeated rows get the same text.
     """
     whole = "|".join(f"(?:{k.pattern})" for k in kinds)
     text = F.col(text_col)
 
-    def kind_of(m: Column) -> Column:
-        found = F.lit("")
-        for k in reversed(kinds):
-            found = F.when(F.regexp_like(m, F.lit(f"^(?:{k.pattern})$")) & k.sound(m), k.name).otherwise(found)
-        return found
-
     def new(m: Column, kind: Column) -> Column:
         found = m
-        for k in kinds:
-            found = F.when(kind == k.name, F.coalesce(k.replace(m, key), m)).otherwise(found)
+        for name, replace in {k.name: k.replace for k in kinds}.items():
+            found = F.when(kind == name, F.coalesce(replace(m, key), m)).otherwise(found)
         return found
 
+    plain = [k for k in kinds if k.level == 0]
+    tokens = F.array(_token(text, F.lit("")))
+    if plain:
+        either = "|".join(f"(?:{k.pattern})" for k in plain)
+
+        def named(m: Column) -> Column:
+            return F.coalesce(*[F.when(F.regexp_like(m, F.lit(f"^(?:{k.pattern})$")), F.lit(k.name)) for k in plain], F.lit(plain[-1].name))
+
+        pairs = F.zip_with(F.split(text, either, -1), F.regexp_extract_all(text, F.lit(either), F.lit(0)), lambda g, m: F.array(_token(g, F.lit("")), _token(F.coalesce(m, F.lit("")), F.when(m.isNull(), F.lit("")).otherwise(named(m)))))
+        tokens = F.flatten(pairs)
+    for level in sorted({k.level for k in kinds} - {0}):
+        tokens = _search(tokens, [k for k in kinds if k.level == level])
     some = F.regexp_like(text, F.lit("[0-9@=:]|AKIA")) & F.regexp_like(text, F.lit(whole))  # every kind has one of these marks
-    staged = docs.withColumn("_pii", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))))
-    made = F.transform("_pii", lambda x: new(x["m"], x["k"]))
-    gaps = F.split(text, whole, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, made, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+    staged = docs.withColumn("_pii", F.when(some, tokens))
+    joined = F.array_join(F.transform("_pii", lambda x: new(x["t"], x["k"])), "")
     names = F.coalesce(F.filter(F.transform("_pii", lambda x: x["k"]), lambda k: k != ""), F.array().cast("array<string>"))
     order = [c for c in docs.columns if c not in (found_col, count_col)]
     out = staged.withColumn(text_col, F.when(F.col("_pii").isNotNull(), joined).otherwise(text)).withColumn(found_col, names)
