@@ -120,3 +120,17 @@ def test_mix_of_odd_rows_and_overlaps(spark):
     assert mixing.mix_documents(df.limit(0), F.array("source"))[0].isEmpty()
     plan = mixing.plan_mix([(("a",), 100), (("a", "b"), 100), (("b",), 100)], (1, 1), 1.0, 2, (1, 4))
     assert sum(plan.flows.values()) == 300 and plan.taken == {("a",): 100, ("a", "b"): 100, ("b",): 100}
+
+
+def test_mix_fills_the_gap_that_long_documents_leave(spark):
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(1400).select("id", F.lit(500).cast("long").alias("size")).union(spark.range(1400, 1401).select("id", F.lit(300_000).cast("long")))
+    in_the_middle = F.when(F.col("id") == 1400, F.lit(1 << 62)).otherwise(F.xxhash64("id"))
+    rows = sizes.select(F.col("id").alias("_row"), F.lit(0).cast("long").alias("_pattern"), in_the_middle.alias("_hash"), F.col("size").alias("_size"))
+    for take in (400_000, 500_000, 640_000, 1_000_000 + 400_000):
+        done = mixing.select_seeded(rows, [(0, 1_000_000, take)]).join(rows, "_row")
+        assert done.count() == 1401
+        assert abs(done.agg(F.sum(F.col("copies") * F.col("_size"))).first()[0] - take) <= max(take // 1000, 250)
+    few = spark.createDataFrame([(0, 0, 5, 90), (1, 0, 6, 40), (2, 0, 7, 30), (3, 0, 8, 0)], "_row long, _pattern long, _hash long, _size long")
+    assert {tuple(r) for r in mixing.select_seeded(few, [(0, 160, 88)]).collect()} == {(0, 1), (1, 0), (2, 0), (3, 0)}

@@ -18,8 +18,8 @@ from tracewright.llm.base import WORD, materialize, table
 MAX_PATTERNS = 100_000
 #: A pattern's documents fall into so many seeded bins; only the bin at the cut is sorted.
 BINS = 65_536
-#: Passes that fill the gap at the cut, and the part of a take that is near enough. Large patterns need one or two passes.
-FILLS, NEAR = 12, 1000
+#: The part of a take that is near enough.
+NEAR = 1000
 
 
 @dataclass(frozen=True)
@@ -134,49 +134,67 @@ def select_seeded(sized: DataFrame, takes: list[tuple[int, int, int]]) -> DataFr
 
     takes: (pattern, words, take). Every row gets take // words copies; rows in the order of their seeded hash
     get one more until the rest is used up. A histogram over the hash finds the bin of the cut, so no task
-    sorts a whole pattern. A few more passes give the gap that is left to the largest row that fits it or, where none fits,
-    to the smallest that leaves a smaller gap; they end when the gap is under a NEAR-th of the take.
+    sorts a whole pattern. The row at the cut doesn't fit; further passes cut the rows left that fit the gap in the same way,
+    until the gap is under a NEAR-th of the take or no row fits. Where a row that goes over brings the words nearer than all
+    that later passes took, it stands in their place. Rows without words get take // words copies only.
     """
     spark = sized.sparkSession
-    rows = [(p, take // words, take % words) for p, words, take in takes if words]
-    cut = spark.createDataFrame(rows or [(-1, 0, 0)], "_pattern long, _base long, _rest long")
+    bases = {p: take // words for p, words, take in takes if words}
+    gaps = {p: take % words for p, words, take in takes if words}
+    near = {p: take // NEAR for p, _, take in takes}
+    cuts: dict[int, list] = {p: [] for p in bases}
+    over: dict[int, list] = {p: [] for p in bases}  # (words too many, cuts before it, row)
+    extra: dict[int, int] = {}
+    key = F.struct(F.col("_bin").alias("bin"), F.col("_hash").alias("hash"), F.col("_size").alias("size"), F.col("_row").alias("row"))
     binned = sized.withColumn("_bin", F.shiftrightunsigned(F.col("_hash"), 48))
-    ordered = Window.partitionBy("_pattern").orderBy("_bin")
-    bins = binned.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("_words"))
-    bins = bins.withColumn("_before", F.sum("_words").over(ordered) - F.col("_words")).join(F.broadcast(cut), "_pattern")
-    edge = bins.filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words")))
-    edge = edge.select("_pattern", F.col("_bin").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_left"))
-    cut = cut.join(edge, "_pattern", "left").select("_pattern", "_base", "_rest", F.coalesce("_edge", F.lit(-1)).alias("_edge"), F.coalesce("_left", F.lit(0)).alias("_left"))
-    cut = spark.createDataFrame(cut.collect(), cut.schema)  # a row for each pattern
-    cut_rows = binned.join(F.broadcast(cut), "_pattern", "left")
-    sure = cut_rows.filter(~F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False)))
-    sure = sure.withColumn("_more", (F.col("_bin") < F.col("_edge")).cast("long"))
-    inside = Window.partitionBy("_pattern").orderBy("_hash", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    close = cut_rows.filter(F.col("_bin") == F.col("_edge")).withColumn("_more", (F.sum("_size").over(inside) <= F.col("_left")).cast("long"))
-    chosen = materialize(sure.unionByName(close).select("_row", "_pattern", "_hash", "_size", "_base", "_rest", F.coalesce("_more", F.lit(0)).alias("_more")), "mix")
-    used = chosen.groupBy("_pattern").agg(F.first("_rest").alias("_rest"), F.sum(F.col("_more") * F.col("_size")).alias("_used"))
-    gaps = {r["_pattern"]: r["_rest"] - r["_used"] for r in used.collect() if r["_rest"] is not None}
-    close_enough = {p: take // NEAR for p, _, take in takes}
-    extra: list[int] = []  # a few rows for each pattern
-    for _ in range(FILLS):
-        open_ = [(p, g) for p, g in gaps.items() if g > close_enough[p]]
-        if not open_:
-            break
-        fits = chosen.filter("_more = 0 AND _size > 0").join(F.broadcast(spark.createDataFrame(open_, "_pattern long, _gap long")), "_pattern")
-        fits = fits.filter(F.col("_size") < 2 * F.col("_gap"))  # a row that goes over brings the words nearer, too
-        if extra:
-            fits = fits.join(F.broadcast(spark.createDataFrame([(r,) for r in extra], "_row long")), "_row", "left_anti")
-        under = F.col("_size") <= F.col("_gap")
-        order = F.struct(under.alias("under"), F.when(under, F.col("_size")).otherwise(-F.col("_size")).alias("near"), "_hash", "_size", "_row")
-        best = fits.groupBy("_pattern").agg(F.max(order).alias("_best")).collect()
-        for r in best:
-            extra.append(r["_best"]["_row"])
-            gaps[r["_pattern"]] -= r["_best"]["_size"]
-        if not best:
-            break
-    more = spark.createDataFrame([(r, 1) for r in extra] or [(-1, 0)], "_row long, _extra long")
-    done = chosen.join(F.broadcast(more), "_row", "left")
-    return done.select("_row", (F.coalesce("_base", F.lit(0)) + F.col("_more") + F.coalesce("_extra", F.lit(0))).alias("copies"))
+
+    def placed(patterns: list[int]) -> DataFrame:
+        """The rows of patterns and whether a cut has taken them; a row for each pattern is sent along."""
+        state = [(p, bases[p], gaps[p], cuts[p], extra.get(p)) for p in patterns] or [(-1, 0, 0, [], None)]
+        known = spark.createDataFrame(state, "_pattern long, _base long, _gap long, _cuts array<struct<gap:long,key:struct<bin:long,hash:long,size:long,row:long>>>, _extra long")
+        taken = F.exists("_cuts", lambda c: (F.col("_size") > 0) & (F.col("_size") <= c["gap"]) & (key <= c["key"]))
+        return binned.join(F.broadcast(known), "_pattern", "left" if len(patterns) == len(bases) else "inner").withColumn("_taken", F.coalesce(taken, F.lit(False)))
+
+    open_ = [p for p, g in gaps.items() if g > 0]
+    while open_:
+        left = placed(open_).filter("not _taken and _size > 0 and _gap is not null")
+        fits = F.col("_size") <= F.col("_gap")
+        bins = left.groupBy("_pattern", "_bin").agg(F.first("_gap").alias("_gap"), F.sum(F.when(fits, F.col("_size")).otherwise(0)).alias("_words"), F.min(F.when(~fits, F.struct("_size", "_row"))).alias("_over"))
+        ordered = Window.partitionBy("_pattern").orderBy("_bin")
+        bins = bins.withColumn("_before", F.sum("_words").over(ordered) - F.col("_words"))
+        edge = (F.col("_before") <= F.col("_gap")) & (F.col("_gap") < F.col("_before") + F.col("_words"))
+        found = bins.groupBy("_pattern").agg(F.min("_over").alias("over"), F.sum("_words").alias("words"), F.max(F.when(edge, F.struct("_bin", "_before"))).alias("edge")).collect()
+        at = {r["_pattern"]: (r["edge"]["_bin"], r["edge"]["_before"]) for r in found if r["edge"] is not None}
+        inner = {}
+        if at:
+            edges = spark.createDataFrame([(p, b, gaps[p] - before) for p, (b, before) in at.items()], "_pattern long, _bin long, _left long")
+            inside = Window.partitionBy("_pattern").orderBy("_hash", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+            close = left.filter(fits).join(F.broadcast(edges), ["_pattern", "_bin"]).withColumn("_sum", F.sum("_size").over(inside)).filter("_sum <= _left")
+            inner = {r["_pattern"]: r for r in close.groupBy("_pattern").agg(F.max(key).alias("key"), F.max("_sum").alias("sum")).collect()}
+        still = []
+        for r in found:
+            p, gap = r["_pattern"], gaps[r["_pattern"]]
+            if r["over"] is not None:
+                over[p].append((r["over"]["_size"] - gap, len(cuts[p]), r["over"]["_row"]))
+            if not r["words"]:
+                continue
+            if p not in at:
+                cut, used = (BINS, 0, 0, 0), r["words"]
+            elif p in inner:
+                cut, used = tuple(inner[p]["key"]), at[p][1] + inner[p]["sum"]
+            else:
+                cut, used = (at[p][0], -(1 << 63), -1, -1), at[p][1]
+            cuts[p].append((gap, cut))
+            gaps[p] -= used
+            if gaps[p] > near[p]:
+                still.append(p)
+        open_ = still
+    for p, found in over.items():
+        if found and min(found)[0] < gaps[p]:
+            _, kept, extra[p] = min(found)
+            cuts[p] = cuts[p][:kept]
+    done = placed(list(bases))
+    return done.select("_row", (F.coalesce("_base", F.lit(0)) + F.col("_taken").cast("long") + F.coalesce(F.col("_extra") == F.col("_row"), F.lit(False)).cast("long")).alias("copies"))
 
 
 def mix_documents(
