@@ -55,6 +55,21 @@ def test_token_files_as_tokenizers(spark, docs, tmp_path):
     assert token_files.read_tokens(spark, f"{out}-none").isEmpty()
 
 
+def test_token_query_as_the_untouched_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*TEXTS, "a<|endoftext|>b  c", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "é\x1c<|endoftext|≯ <|endoftext|>", "< |endoftext|>", "no literal"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    done = token_files.op5_token_files(spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in done.collect()) == want
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, most in ((0, 1), (1, 1), (513, 2), (3000, 70_000)):

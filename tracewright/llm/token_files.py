@@ -166,13 +166,15 @@ class WordEncoder:
 
     Each distinct run between white space is split into words, and each distinct word encoded, once: many words go to the
     tokenizer as one text, and the end marks part their ids again. Whatever doesn't come back as it went in is encoded by itself.
+    added: what is written like a token added to the vocabulary ("<|endoftext|>") becomes its id, as by the library's default;
+    such texts are encoded by themselves. Otherwise it is split as ordinary text.
     """
 
     #: Control characters that Python takes for white space and the tokenizer doesn't.
     ODD = "\x1c\x1d\x1e\x1f"
     MANY = 2000
 
-    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -185,6 +187,21 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.most = most
+        literals = [(t["content"], t["normalized"]) for t in rules["added_tokens"]] if added else []
+        self.raw, self.normal = [c for c, n in literals if not n], [c for c, n in literals if n]
+        self.path, self.untouched = path, None
+
+    def _has_added(self, text: str) -> bool:
+        if any(c in text for c in self.raw):
+            return True
+        return bool(self.normal) and any(c in seen for seen in (text, self.tokenizer.normalizer.normalize_str(text)) for c in self.normal)
+
+    def _with_added(self, text: str) -> bytes:
+        if self.untouched is None:
+            from tokenizers import Tokenizer
+
+            self.untouched = Tokenizer.from_file(self.path)
+        return array("I", self.untouched.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -226,28 +243,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        own = {i: self._with_added(t) for i, t in enumerate(texts) if self._has_added(t)}
+        split = [None if i in own or any(c in t for c in self.ODD) else t.split() for i, t in enumerate(texts)]
         self.learn({r for s in split if s is not None for r in s})
         known = self.runs
-        return [self._alone(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        return [own[i] if i in own else self._alone(t) if s is None else b"".join(map(known.__getitem__, s)) for i, (t, s) in enumerate(zip(texts, split, strict=True))]
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, added: bool) -> WordEncoder:
     """One for each Python worker, so that later tasks find the words of earlier ones."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, added=added)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """(part, id, wide, ids): the ids with end_id last, as little-endian uint16 or, if wide, uint32.
 
     part: how many of bounds are at most the id; -1 for a null id. Null texts are empty and have the end id alone.
+    added: see WordEncoder.
     """
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, added)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -262,15 +281,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "part int, id long, wide boolean, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, added: bool = False) -> None:
     """Writes shards under path: rows (part, shard, n_tokens, doc_ids, file), in ascending order of the documents' ids.
 
     Parts are ranges of ids (whole numbers), in order, from quantiles of the ids alone; a task cuts its parts into shards as their
     rows stream by. Null ids come first; rows with equal ids follow the bytes of their tokens. An empty table writes no shard.
+    added: see WordEncoder.
     """
     many = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / many for k in range(1, many)], 10 * many)).first()[0]
-    encoded = encode_documents(docs, tokenizer, end_id, sorted(set(found or [])), id_col, text_col)
+    encoded = encode_documents(docs, tokenizer, end_id, sorted(set(found or [])), id_col, text_col, added)
     names = ["part", "shard", "n_tokens", "doc_ids", "file"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +354,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2, added=True)
     return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
