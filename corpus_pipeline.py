@@ -16,8 +16,13 @@ from tracewright.llm.pseudonyms import DEMO_KEY, pseudonymize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be determined (no text, or no letter in it) go; a missing language is filled in."""
+    """Documents whose language can't be determined (no text, or no letter in it) go; a missing language is filled in.
+
+    Where no document to learn from names its language there is no network: texts with a letter stay, a missing language stays null.
+    """
     network = fit_languages(docs.filter(docs["doc_id"].isNull() | (fold_of("doc_id", 3) != 1)))
+    if network is None:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
     known = predict_languages(docs, network).filter(F.col("lang_pred") != UNDETERMINED)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -172,3 +172,13 @@ def test_pipeline_of_no_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_pipeline_keeps_texts_where_no_language_is_named(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).withColumn("lang", F.lit(None).cast("string")).cache()
+    odd = docs.limit(2).withColumn("text", F.when(F.col("doc_id") >= 0, F.lit("1234 5678")))
+    done = corpus_pipeline.language(spark, docs.unionByName(odd), sf_dir)
+    assert done.columns == docs.columns and done.filter("lang is not null").isEmpty()
+    assert done.count() == docs.filter(r"text rlike '\\p{L}'").count() > 0
