@@ -1,37 +1,46 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-A word (a match of the split pattern) is an array of one-byte pieces, with bytes written as the characters of the same number.
-An aggregate joins the leftmost pair of lowest rank, again and again; ranks come from a literal map, cut into hashed buckets
-because Spark searches a map from its start. Words that many tasks meet are folded once and sent to all tasks, at most
-SHARED of them; every other word is folded once in each block of documents that has it. Decoding joins binary pieces.
+A word is a match of the split pattern, its bytes written as the characters of the same number. Texts are cut into blocks that
+hold their distinct words and, for each text, references to them. Words are dealt out by a hash, each distinct one is folded once,
+and its ids go back to the blocks that have it, so that shuffles carry words and ids, never texts.
+
+The fold: all pieces of a word that have a rank, sorted by rank and place, are tried in that order. One is merged where just two
+pieces make it up. Ranks come from a literal map, cut into hashed buckets because Spark searches a map from its start. A merge
+after which a lower rank could have become possible (see `reopening`) starts the order anew, so any rank file gives the
+ids of merging the leftmost pair of lowest rank again and again. Words advance by WINDOW bytes: the window is merged
+together with the last pieces before it, and the result stands where the first of these comes out the same; otherwise more
+pieces are taken, in the end all. That is exact, for a sequence of pieces is the encoding of its bytes if each two
+neighbours are the encoding of theirs. Decoding joins the pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tracewright.llm.base import materialize, table
+from tracewright.llm.base import shared_dir, table
 
-#: The buckets of the rank map.
-BUCKETS = 1 << 16
-#: The most words that are encoded beforehand and broadcast.
-SHARED = 1_000_000
-#: Characters of text in a block.
-BLOCK_CHARS = 16_000_000
-#: Words of more bytes are merged with a heap: an array fold would take the square of their length.
-LONG_WORD = 400
-#: Distinct words that a task gathers before it hands them on.
-GATHERED = 400_000
-UNKNOWN = 1 << 31
-END = 1 << 20
+#: Buckets of the rank map.
+BUCKETS = 1 << 15
+#: Bytes by which the fold of a word advances.
+WINDOW = 32
+#: Pieces before a window that are merged with it, as many as it takes.
+TAILS = (2, 8, 64, 1 << 30)
+#: Characters of text in a block, after which its task starts another.
+BLOCK_CHARS = 24_000_000
+#: Parts that the words of a block are dealt to.
+PARTS = 2048
+#: Bytes of ids in a batch that goes back to Spark.
+BATCH_BYTES = 4_000_000
 
 
 def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
@@ -50,78 +59,90 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def reopening(ranks: dict[bytes, int]) -> set[bytes]:
+    """Pieces that, once merged, may be half of a piece of lower rank. Files written by training have none.
+
+    A piece is only ever merged from the two that its own bytes end with when merged alone.
+    """
+    found = set()
+    for piece, rank in ranks.items():
+        halves = [piece[i : i + 1] for i in range(len(piece))]
+        while len(halves) > 2:
+            low, i = min((ranks.get(a + b, len(ranks) << 1), i) for i, (a, b) in enumerate(zip(halves, halves[1:])))
+            if low == len(ranks) << 1:
+                break
+            halves[i : i + 2] = [halves[i] + halves[i + 1]]
+        if len(halves) == 2:
+            found |= {half for half in halves if ranks[half] > rank}
+    return found
+
+
 def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """An array of BUCKETS maps from pieces to ranks; from_json of a literal becomes a literal."""
-    pieces = spark.createDataFrame([(k.decode("latin-1"), v) for k, v in ranks.items()], "piece string, rank int")
+    """An array of BUCKETS maps from pieces to twice their rank, and one more if reopening; from_json of a literal becomes a literal."""
+    again = reopening(ranks)
+    pieces = spark.createDataFrame([(k.decode("latin-1"), 2 * v + (k in again)) for k, v in ranks.items()], "piece string, value int")
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for r in pieces.select("piece", "rank", F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")).collect():
-        buckets[r["bucket"]][r["piece"]] = r["rank"]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+    for r in pieces.select("piece", "value", F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")).collect():
+        buckets[r["bucket"]][r["piece"]] = r["value"]
+    return F.from_json(F.lit(json.dumps([b or None for b in buckets], separators=(",", ":"))), "array<map<string,int>>")
 
 
 def fold_merges(word: Column, literal: Column) -> Column:
     """The ids of a word (array<int>)."""
+    zero, one = F.lit(0), F.lit(1)
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(literal, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
+    def fold(ranks: Column) -> Column:
+        def value(piece: Column) -> Column:
+            return F.try_element_at(F.get(ranks, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
 
-    def pair(a: Column, b: Column) -> Column:
-        return let(F.concat(a, b), rank)
+        def candidates(text: Column, n: Column) -> Column:
+            def at(start: Column, size: Column) -> Column:
+                return let(value(F.substring(text, start + 1, size)), lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), start.alias("start"), size.alias("size"))))
 
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]  # r[i] is the rank of p[i - 1] and p[i]; both its ends are null
+            every = F.transform(F.sequence(zero, n - 2), lambda start: F.transform(F.sequence(F.lit(2), n - start), lambda size: at(start, size)))
+            return F.when(n < 2, F.array().cast("array<struct<value:int,start:int,size:int>>")).otherwise(F.sort_array(F.filter(F.flatten(every), lambda c: c.isNotNull())))
 
-        def merge(j: Column) -> Column:
-            def with_new(new: Column) -> Column:
-                pieces = F.concat(F.slice(p, F.lit(1), j - 2), F.array(new), F.slice(p, j + 1, F.lit(END)))
-                around = F.array(pair(F.get(p, j - 3), new), pair(new, F.get(p, j)))
-                return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), j - 2), around, F.slice(r, j + 2, F.lit(END))).alias("r"))
+        def merge(state: Column, c: Column) -> Column:  # marks: one for each place between bytes, 1 where a piece ends or starts
+            two_pieces = F.rlike(F.substring(state["marks"], c["start"] + 1, c["size"] + 1), F.lit("^10*10*1$"))
+            merged = F.overlay(state["marks"], F.repeat(F.lit("0"), c["size"] - 1), c["start"] + 2)
+            return F.when(state["again"], state).when(two_pieces, F.struct(merged.alias("marks"), (c["value"] % 2 == 1).alias("again"))).otherwise(state)
 
-            return F.when(j.isNull(), state).otherwise(let(F.concat(F.get(p, j - 2), F.get(p, j - 1)), with_new))
+        def marks(n: Column, ordered: Column) -> Column:
+            def once(state: Column, _: Column) -> Column:
+                fresh = F.struct(state["marks"].alias("marks"), F.lit(False).alias("again"))
+                return F.when(state["again"], F.aggregate(ordered, fresh, merge)).otherwise(state)
 
-        return let(F.array_position(r, F.array_min(r)).cast("int"), merge)
+            apart = F.struct(F.repeat(F.lit("1"), n + 1).alias("marks"), F.lit(True).alias("again"))
+            return F.aggregate(F.sequence(one, n), apart, once, lambda state: state["marks"])
 
-    def run(p: Column) -> Column:
-        none = F.array(F.lit(None).cast("int"))
-        r = F.concat(none, F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.lit(END)), pair), none)
-        return F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), r.alias("r")), step, lambda s: F.transform(s["p"], rank))
+        def cut(text: Column, n: Column, marked: Column) -> Column:
+            bounds = F.filter(F.sequence(zero, n), lambda i: F.substring(marked, i + 1, one) == "1")
+            return let(bounds, lambda b: F.zip_with(F.slice(b, one, F.size(b) - 1), F.slice(b, F.lit(2), F.size(b)), lambda i, j: F.substring(text, i + 1, j - i)))
 
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return let(latin, lambda w: let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(w, ""), run))))
+        def pieces(text: Column) -> Column:
+            return let(text, lambda t: let(F.length(t), lambda n: let(marks(n, candidates(t, n)), lambda m: cut(t, n, m))))
 
+        def advance(whole: Column) -> Column:
+            def step(done: Column, at: Column) -> Column:
+                def attempt(found: Column, most: Column) -> Column:
+                    def joined(tail: Column) -> Column:
+                        stands = lambda new: (F.size(tail) == F.size(done)) | (F.get(new, zero) == F.get(tail, zero))
+                        before = F.slice(done, one, F.size(done) - F.size(tail))
+                        return let(pieces(F.concat(F.array_join(tail, ""), F.substring(whole, at, F.lit(WINDOW)))), lambda new: F.when(stands(new), F.concat(before, new)))
 
-def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for one long word, in n log n."""
-    import heapq
+                    return F.when(found.isNotNull(), found).otherwise(let(F.slice(done, F.greatest(F.size(done) - most + 1, one), most), joined))
 
-    n = len(word)
-    end = list(range(1, n + 1))  # of the piece that starts at an index, while it does
-    before = list(range(-1, n))
-    live = [True] * n
-    queue: list[tuple[int, int, int]] = []
+                return F.aggregate(F.array(*map(F.lit, TAILS)), F.lit(None).cast("array<string>"), attempt)
 
-    def offer(a: int) -> None:
-        if a >= 0 and end[a] < n and (r := ranks.get(word[a : end[end[a]]])) is not None:
-            heapq.heappush(queue, (r, a, end[end[a]]))
+            return F.aggregate(F.sequence(one, F.length(whole), F.lit(WINDOW)), F.array().cast("array<string>"), step)
 
-    for a in range(n - 1):
-        offer(a)
-    while queue:
-        _, a, z = heapq.heappop(queue)
-        if not live[a] or end[a] >= n or end[end[a]] != z:
-            continue
-        b = end[a]
-        live[b] = False
-        end[a] = z
-        if z < n:
-            before[z] = a
-        offer(before[a])
-        offer(a)
-    out, a = [], 0
-    while a < n:
-        out.append(ranks[word[a : end[a]]])
-        a = end[a]
-    return out
+        def ids(parts: Column) -> Column:
+            return F.transform(parts, lambda piece: F.shiftright(value(piece), 1))
+
+        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        return let(latin, lambda w: let(value(w), lambda known: F.when(known.isNotNull(), F.array(F.shiftright(known, 1))).otherwise(ids(advance(w)))))
+
+    return let(literal, fold)
 
 
 class Splitter:
@@ -143,179 +164,158 @@ def _splitter(pattern: str) -> Splitter:
     return Splitter(pattern)
 
 
-def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """(word): what each task has met, once or a few times."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed uint32 numbers, bytes of equal weight together."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.compress(planes, "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(pattern)
-        met: set[str] = set()
-        runs: set[str] = set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if met:
-                yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
-                met.clear()
-                runs.clear()
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                parts = split.runs(text or "")
-                if parts is None:
-                    met.update(split.words.findall(text))
-                    continue
-                met.update(split.words.findall(parts[0]))
-                for run_ in set(parts[1:]) - runs:
-                    runs.add(run_)
-                    met.update(split.words.findall(" " + run_))
-                if len(met) > GATHERED or len(runs) > 2 * GATHERED:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select(text_col).mapInArrow(run, "word string")
-
-
-def shared_words(docs: DataFrame, text_col: str, pattern: str, literal: Column) -> dict[str, bytes]:
-    """Ids, as uint32, of the words that at least so many tasks meet, where so many is the least that leaves at most SHARED words."""
-    counted = materialize(distinct_words(docs, text_col, pattern).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
-    left, least = SHARED, None
-    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        left -= r["words"]
-        if left < 0:
-            break
-        least = r["n"]
-    if least is None:
-        return {}
-    many = counted.filter((F.col("n") >= least) & (F.octet_length("word") <= LONG_WORD))
-    folded = materialize(many.repartition(F.col("word")).select("word", fold_merges(F.col("word"), literal).alias("ids")), "shared")
-    return {r["word"]: np.array(r["ids"], np.uint32).tobytes() for r in folded.toLocalIterator()}
 
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(blob, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids_col (binary, little-endian uint32) in place of text_col.
 
-    Null texts are empty and have no ids. Special tokens are ordinary text. Documents keep their partition: nothing but distinct
-    words is shuffled. Repeated rows get equal ids; a column named ids_col is replaced. All 256 bytes must have ranks.
+class Block:
+    """Texts of a task, their distinct words, and the words of each text as numbers."""
+
+    def __init__(self, split: Splitter) -> None:
+        self.split = split
+        self.words: dict[str, int] = {}
+        self.runs: dict[str, bytes] = {}
+        self.texts: list[bytes] = []
+        self.rows: list[pa.RecordBatch] = []
+        self.chars = 0
+
+    def number(self, words: list[str]) -> bytes:
+        return b"".join([self.words.setdefault(w, len(self.words)).to_bytes(4, "little") for w in words])
+
+    def add(self, text: str) -> None:
+        self.chars += len(text)
+        parts = self.split.runs(text)
+        if parts is None:
+            self.texts.append(self.number(self.split.words.findall(text)))
+            return
+        out = [self.number(self.split.words.findall(parts[0]))]
+        for run in parts[1:]:
+            found = self.runs.get(run)
+            if found is None:
+                self.runs[run] = found = self.number(self.split.words.findall(" " + run))
+            out.append(found)
+        self.texts.append(b"".join(out))
+
+    def close(self, number: int, kept: list[str]) -> pa.RecordBatch:
+        """One row; its words are in order of part and word, and numbered so."""
+        listed = sorted((zlib.crc32(w.encode()) % PARTS, w) for w in self.words)
+        new = np.zeros(len(listed), np.uint32)
+        new[[self.words[w] for _, w in listed]] = np.arange(len(listed), dtype=np.uint32)
+        counts = np.array([len(t) // 4 for t in self.texts], np.int32)
+        refs = new[np.frombuffer(b"".join(self.texts), "<u4")] if counts.sum() else np.zeros(0, np.uint32)
+        part = np.array([p for p, _ in listed], np.int32)
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array([*starts, len(listed)], pa.int32()), pa.array([w for _, w in listed], pa.string()))
+        words = pa.StructArray.from_arrays([pa.array(part[starts], pa.int32()), lists], names=["part", "words"])
+        rows = pa.Table.from_batches(self.rows).combine_chunks()
+        docs = pa.StructArray.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns), pa.array(counts)], names=[*kept, "_words"])
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(words), one(docs), pa.array([pack(refs)], pa.binary())], names=["block", "words", "docs", "refs"])
+
+
+def cut_blocks(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> DataFrame:
+    """(block, words: array of (part, words), docs: array of the kept columns and the number of words, refs), read from the shared folder.
+
+    Written in buckets by block, so that a later join on it moves only what it is joined with.
     """
     spark = docs.sparkSession
-    ranks = ranks_at(ranks_path)
-    if any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("the ranks lack a byte")
-    literal = rank_literal(spark, ranks)
-    known = spark.sparkContext.broadcast(shared_words(docs, text_col, pattern, literal))
-    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
-    keep_type = docs.select(*kept).schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, have, own = _splitter(pattern), known.value, ranks_at(ranks_path)
-        unknown: dict[str, int] = {}
-        runs: dict[str, bytes] = {}
-
-        def word_ids(word: str) -> bytes:
-            found = have.get(word)
-            if found is None:
-                raw = word.encode()
-                if len(raw) > LONG_WORD:
-                    return np.array(heap_merge(raw, own), np.uint32).tobytes()
-                found = (UNKNOWN + unknown.setdefault(word, len(unknown))).to_bytes(4, "little")
-            return found
-
-        def encode(text: str) -> bytes:
-            parts = split.runs(text)
-            if parts is None:
-                return b"".join(map(word_ids, split.words.findall(text)))
-            out = [*map(word_ids, split.words.findall(parts[0]))]
-            for run_ in parts[1:]:
-                found = runs.get(run_)
-                if found is None:
-                    runs[run_] = found = b"".join(map(word_ids, split.words.findall(" " + run_)))
-                out.append(found)
-            return b"".join(out)
-
-        rows: list[pa.RecordBatch] = []
-        bodies: list[bytes] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            kept_rows = pa.Table.from_batches(rows).combine_chunks()
-            docs_ = pa.StructArray.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept_rows.columns), pa.array(bodies, pa.binary())], names=[*kept_rows.column_names, "_body"])
-            words = pa.array([list(unknown)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)], names=["words", "docs"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, made = TaskContext.get().partitionId() << 32, 0
+        block = Block(_splitter(pattern))
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                texts = b.column(b.schema.get_field_index("_text")).to_pylist()
-                bodies += [encode(t or "") for t in texts]
-                rows.append(b.select(kept))
-                size += sum(len(t or "") for t in texts)
-                if size >= BLOCK_CHARS:
-                    yield close()
-                    rows, bodies, size = [], [], 0
-                    unknown.clear()
-                    runs.clear()
-        if rows:
-            yield close()
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                lists = b.column(0).slice(i, 1).flatten()
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, np.int64)
-                starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                rows = b.column(1).slice(i, 1).flatten()
-                out = []
-                for body in rows.field("_body").to_pylist():
-                    ids = np.frombuffer(body, np.uint32)
-                    holes = ids >= UNKNOWN
-                    if holes.any():
-                        word = ids[holes] - np.uint32(UNKNOWN)
-                        many = np.ones(len(ids), np.int64)
-                        many[holes] = ends[word] - starts[word]
-                        whole = np.repeat(ids, many)
-                        gaps = np.repeat(holes, many)
-                        length = many[holes]
-                        whole[gaps] = flat[np.repeat(starts[word] - np.cumsum(length) + length, length) + np.arange(length.sum())]
-                        ids = whole
-                    out.append(ids.astype("<u4").tobytes())
-                for at in range(0, len(out), 2000):
-                    part = rows.slice(at, 2000)
-                    yield pa.RecordBatch.from_arrays([*(part.field(c) for c in kept), pa.array(out[at : at + 2000], pa.binary())], names=[*kept, ids_col])
-
-    kind = keep_type.simpleString()[len("struct<") : -1]
-    inner = f"struct<{kind}{',' if kind else ''}_body:binary>"
-    blocks = docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(cut, f"words array<string>, docs array<{inner}>")
-    folded = blocks.select(F.transform("words", lambda w: fold_merges(w, literal)).alias("ids"), "docs")
-    return folded.mapInArrow(join, f"{kind.replace(':', ' ')}{', ' if kind else ''}{ids_col} binary")
+                for text in b.column(len(kept)).to_pylist():
+                    block.add(text or "")
+                block.rows.append(b.select(kept))
+                if block.chars >= BLOCK_CHARS:
+                    yield block.close(first + made, kept)
+                    block, made = Block(block.split), made + 1
+        if block.rows:
+            yield block.close(first + made, kept)
+
+    fields = [*docs.select(*kept).schema, T.StructField("_words", T.IntegerType())]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))), T.StructField("docs", T.ArrayType(T.StructType(fields))), T.StructField("refs", T.BinaryType())])
+    blocks = docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    name = f"blocks_{uuid.uuid4().hex}"
+    writer = blocks.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    written = spark.table(name)
+    written.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return written
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """encoded with text_col (binary): the pieces of the ids, one after the other. Null ids decode to null."""
-    from pyspark.sql import types as T
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with ids_col (array<int>) and <ids_col>_bytes (the same as little-endian uint32) in place of text_col.
+
+    Null texts are empty and have no ids. Special tokens are ordinary text. Repeated rows get equal ids; columns of the
+    two names are replaced. All 256 bytes must have ranks. A word is folded once, however many blocks have it.
+    """
+    ranks = ranks_at(ranks_path)
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the ranks lack a byte")
+    bytes_col = f"{ids_col}_bytes"
+    kept = [c for c in docs.columns if c not in (text_col, ids_col, bytes_col)]
+    blocks = cut_blocks(docs, pattern, text_col, kept)
+
+    dealt = blocks.select("block", F.inline("words")).repartition("part")
+    words = dealt.select("block", "part", F.posexplode("words").alias("place", "word")).groupBy("part", "word").agg(F.collect_list(F.struct("block", "place")).alias("places"))
+    folded = words.select("part", "places", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks)).alias("ids"))
+    back = folded.select("part", "ids", F.inline("places")).groupBy("block", "part").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
+    ids = back.select("block", "part", F.transform("found", lambda f: F.size(f["ids"])).alias("sizes"), F.flatten(F.col("found.ids")).alias("ids"))
+
+    fields = [*docs.select(*kept).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]
+
+    def join(block: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("part").combine_chunks()
+        flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks)])
+        sizes, all_ids = flat("sizes").astype(np.int64), flat("ids").astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for listed, blob in zip(block.column("docs").combine_chunks(), block.column("refs").to_pylist(), strict=True):
+            rows = listed.values
+            counts = rows.field("_words").to_numpy(zero_copy_only=False).astype(np.int64)
+            refs = unpack(blob, int(counts.sum())).astype(np.int64)
+            ends = np.cumsum(counts)
+            tokens = np.concatenate(([0], np.cumsum(sizes[refs])))[np.concatenate(([0], ends))]  # where the ids of each text start
+            at = 0
+            while at < len(rows):
+                to = max(at + 1, int(np.searchsorted(tokens, tokens[at] + BATCH_BYTES // 4, "right")) - 1)
+                r = refs[ends[at] - counts[at] : ends[to - 1]]
+                many = sizes[r]
+                total = int(many.sum())
+                mine = all_ids[np.repeat(starts[r] - np.cumsum(many) + many, many) + np.arange(total)] if total else np.zeros(0, np.int32)
+                bounds = tokens[at : to + 1] - tokens[at]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(mine, pa.int32()))
+                raw = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(mine.astype("<i4"))])
+                part = rows.slice(at, to - at)
+                out.append(pa.Table.from_arrays([*(part.field(c) for c in kept), lists, raw], names=[*kept, ids_col, bytes_col]))
+                at = to
+        return pa.concat_tables(out)
+
+    return blocks.select("block", "docs", "refs").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(join, T.StructType(fields))
 
-    kept = [c for c in encoded.columns if c != text_col]
-    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(text_col, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sorted((rank, piece) for piece, rank in ranks_at(ranks_path).items())
-        table_ = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
-        sizes = np.zeros(pieces[-1][0] + 1, np.int64)
-        sizes[[r for r, _ in pieces]] = [len(p) for _, p in pieces]
-        first = np.cumsum(sizes) - sizes
-        for b in batches:
-            out = []
-            for raw in b.column(b.schema.get_field_index(ids_col)).to_pylist():
-                if raw is None:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(raw, "<u4")
-                n = sizes[ids]
-                stops = np.cumsum(n)
-                total = int(stops[-1]) if len(n) else 0
-                out.append(table_[np.repeat(first[ids] - stops + n, n) + np.arange(total)].tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, text_col])
-
-    return encoded.select(*kept).mapInArrow(run, schema)
+def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """encoded with text_col (binary): the pieces of the ids, one after the other. Null ids decode to null.
+
+    Pieces are joined as characters of the same number as their bytes, and become bytes in the end.
+    """
+    pieces = {rank: piece.decode("latin-1") for piece, rank in ranks_at(ranks_path).items()}
+    literal = F.from_json(F.lit(json.dumps([pieces.get(i) for i in range(max(pieces) + 1)])), "array<string>")
+    text = let(literal, lambda known: F.array_join(F.transform(ids_col, lambda i: F.get(known, i)), ""))
+    return encoded.withColumn(text_col, F.encode(text, "ISO-8859-1"))
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
@@ -324,9 +324,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return decode_documents(encoded, path).select(
-        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return decode_documents(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
