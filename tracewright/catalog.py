@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright import views
 from tracewright.functions import scalars as X
 from tracewright.operators import evaluation, graph, matching, profiles, retrieval, series, upserts
 from tracewright.plans.patterns import Pattern, compile_pattern
-from tracewright.views import table, with_views
+from tracewright.registry import ORACLES, QUERIES, on, query, source  # noqa: F401
+from tracewright.views import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "a20_node_rollup"
 
-
-def query(name: str, sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = with_views(sql)
-        return f
-
-    return add
-
-
-def on(view: Callable[[SparkSession, str], DataFrame], name: str, sql: str | None) -> Callable[[Callable[[DataFrame], DataFrame]], None]:
-    """Registers a query that takes one view alone."""
-
-    def add(f: Callable[[DataFrame], DataFrame]) -> None:
-        query(name, sql)(lambda spark, sf_dir: f(view(spark, sf_dir)))
-
-    return add
-
-
 T, U, N, P, B = views.transfers, views.user_flow, views.nation_flow, views.price_series, views.balances
 
 
-def source(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: table(spark, sf_dir, name)
-
-
 # Filters and projections
 
 on(T, "f06_threshold", "SELECT tx_id, src, dst, round(value, 4) AS value FROM transfers WHERE value >= 50000 AND value <= 90000")(
@@ -136,8 +108,8 @@ on(T, "a33_token_rollup", "SELECT token, round(sum(value), 4) AS volume, count(D
 )
 on(T, "a43_net_positions", """WITH g AS (SELECT token, chain, sum(CASE WHEN tx_type = 'N' THEN value END) AS b, sum(CASE WHEN tx_type <> 'N' THEN value END) AS s, count(CASE WHEN tx_type = 'N' THEN 1 END) AS buys, count(CASE WHEN tx_type <> 'N' THEN 1 END) AS sells FROM transfers GROUP BY 1, 2)
   SELECT token, chain, round(b, 2) AS bought, round(s, 2) AS sold, buys, sells FROM g WHERE buys > 1 AND sells > 1 AND abs(b - s) < 0.1 * greatest(b, s)""")(lambda t: profiles.net_positions(t, 1))
-on(source("events"), "a48_latency", """SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""")(
-    lambda e: evaluation.latency(e, "event_type", "value")
+on(source("events"), "a48_latency", """SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS failed_share, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""")(
+    lambda e: evaluation.latency(e, "user_id", "value", F.col("event_type") == "error")
 )
 on(source("events"), "a55_event_trend", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(
     lambda e: e.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), "event_type").agg(F.count("*").alias("n"))
@@ -199,10 +171,10 @@ on(T, "j19_buyers_without_sellers", """WITH b AS (SELECT token, count(DISTINCT s
 query("j24_same_label_targets", """SELECT e.src, sum(CASE WHEN a.n_regionkey = b.n_regionkey THEN 1 ELSE 0 END)::BIGINT AS alike, count(*) AS n FROM nation_flow e JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey GROUP BY 1""")(
     lambda s, d: graph.neighbours_alike(N(s, d), table(s, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label")))
 )
-on(T, "j27_shared_tokens", """WITH o AS (SELECT DISTINCT src AS wallet, token FROM transfers WHERE src LIKE 'C1%'), n AS (SELECT wallet, count(*) AS n FROM o GROUP BY 1),
+on(T, "j27_shared_tokens", """WITH o AS (SELECT DISTINCT src AS wallet, token FROM transfers), n AS (SELECT wallet, count(*) AS n FROM o GROUP BY 1),
   c AS (SELECT a.wallet AS wallet1, b.wallet AS wallet2, count(*) AS common FROM o a JOIN o b ON a.token = b.token AND a.wallet < b.wallet GROUP BY 1, 2 HAVING count(*) >= 3)
   SELECT wallet1, wallet2, common, round(common / greatest(x.n, y.n), 6) AS overlap, round(common / (x.n + y.n - common), 6) AS jaccard FROM c JOIN n x ON wallet1 = x.wallet JOIN n y ON wallet2 = y.wallet""")(
-    lambda t: matching.overlapping_holders(t.filter(F.col("src").startswith("C1")).select(F.col("src").alias("wallet"), "token"), 3)
+    lambda t: matching.overlapping_holders(t.select(F.col("src").alias("wallet"), "token"), 3)
 )
 on(T, "w12_latest_transfer", "SELECT src, tx_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts DESC, tx_id) AS r FROM transfers) WHERE r = 1")(
     lambda t: matching.latest(t, "src", [F.desc("ts"), F.col("tx_id")]).select("src", "tx_id", "ts")
@@ -277,15 +249,15 @@ query("a47_label_pairs", """SELECT a.r_name AS from_label, b.r_name AS to_label,
 # Sets and upserts
 
 on(T, "u01_addresses", "SELECT count(DISTINCT a) AS addresses FROM (SELECT src AS a FROM transfers UNION SELECT dst FROM transfers)")(lambda t: t.select(F.explode(F.array("src", "dst")).alias("a")).agg(F.countDistinct("a").alias("addresses")))
-_OLD, _NEW = "SELECT c_custkey AS k, c_mktsegment AS a, c_acctbal AS b FROM customer WHERE c_custkey % 3 <> 0", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS a, c_acctbal + 1 AS b FROM customer WHERE c_custkey % 4 = 0"
+_OLD = "SELECT o_custkey AS k, min(o_orderpriority) AS a, min(o_totalprice) AS b FROM orders WHERE o_totalprice > 250000 GROUP BY 1"
+_NEW = "SELECT c_custkey AS k, CASE WHEN c_acctbal > 3000 THEN upper(c_name) END AS a, c_acctbal + 1 AS b FROM customer WHERE c_mktsegment <> 'BUILDING'"
 
 
 def _old_new(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = table(s, d, "customer")
-    k = F.col("c_custkey")
-    return c.filter(F.pmod(k, F.lit(3)) != 0).select(k.alias("k"), F.col("c_mktsegment").alias("a"), F.col("c_acctbal").alias("b")), c.filter(F.pmod(k, F.lit(4)) == 0).select(
-        k.alias("k"), F.when(F.pmod(k, F.lit(2)) == 0, F.upper("c_name")).alias("a"), (F.col("c_acctbal") + 1).alias("b")
-    )
+    """Customers known by large orders, and new rows of those outside one segment."""
+    old = table(s, d, "orders").filter("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("a"), F.min("o_totalprice").alias("b"))
+    c = table(s, d, "customer").filter("c_mktsegment <> 'BUILDING'")
+    return old, c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 3000, F.upper("c_name")).alias("a"), (F.col("c_acctbal") + 1).alias("b"))
 
 
 query("k05_merge", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT k, a, b FROM n UNION ALL SELECT k, a, b FROM o WHERE k NOT IN (SELECT k FROM n)")(lambda s, d: upserts.merge(*_old_new(s, d), ["k"]))
@@ -335,3 +307,6 @@ def g36_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in rest:
         first = first.unionByName(r)
     return first
+
+
+from tracewright import catalog_flows, catalog_loads  # noqa: E402, F401  they register their queries

@@ -64,3 +64,14 @@ def iso_duration_seconds(text: str) -> int:
         raise ValueError(f"no duration: {text!r}")
     d, h, mi, s = (int(g or 0) for g in m.groups())
     return ((d * 24 + h) * 60 + mi) * 60 + s
+
+
+def rule_severity(rules: dict[str, dict[str, float]], other: str = "LOW") -> Column:
+    """The first severity of which all named columns reach their bound."""
+    found = F.lit(other)
+    for name, bounds in reversed(rules.items()):
+        hit = F.lit(True)
+        for column, bound in bounds.items():
+            hit = hit & (F.col(column) >= bound)
+        found = F.when(hit, F.lit(name)).otherwise(found)
+    return found

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that the driver and all executors see. Unset is an error: a folder of one machine would lose rows on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written under spark.checkpoint.dir (a folder of this machine where that is unset, as in tests) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    """df, written under spark.checkpoint.dir and read back."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tracewright.operators.quantiles import counted, quantiles
 
 
 def evidence_quality(confidence: Column, source: Column, raw: Column, provenance: Column, tags: Column) -> Column:
@@ -27,17 +29,21 @@ def confusion(p: DataFrame) -> DataFrame:
 
 
 def roc_auc(p: DataFrame) -> DataFrame:
-    """Area under the curve from mid-ranks: scores are counted first, so the ordered window runs over distinct scores."""
-    g = p.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    a = g.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return a.select(F.round(F.try_divide(F.col("w"), F.col("p") * F.col("n")), 6).alias("auc"))
-
-
-def latency(e: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, mean, median and percentiles (interpolated), share of errors."""
-    g = e.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), *[F.round(F.percentile(value, q), 4).alias(f"p{int(100 * q)}") for q in (0.5, 0.95, 0.99)])
-    return g
+    """Area under the curve from mid-ranks. Scores are counted and ranked in parts by range, so no task orders all of them."""
+    one = p.filter(F.col("score").isNotNull()).withColumn("_k", F.lit(0))
+    rank = counted(one, "_k", "score").select(F.col("score").alias("_s"), "before", "n")
+    pos = one.groupBy("score").agg(F.sum("label").cast("double").alias("pos"))
+    ranked = pos.join(rank, F.col("score") == F.col("_s")).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum("n").cast("double").alias("n"))
+    won = F.col("r") - F.col("p") * (F.col("p") + 1) / 2
+    return ranked.select(F.round(F.try_divide(won, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
+
+
+def latency(e: DataFrame, key: str, value: str, failed: Column | None = None) -> DataFrame:
+    """Count, mean, least, most, median and percentiles (interpolated) of each key, and the share of rows that failed, if told which."""
+    share = [F.round(F.avg(failed.cast("double")), 6).alias("failed_share")] if failed is not None else []
+    g = e.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.min(value), 4).alias("least"), F.round(F.max(value), 4).alias("most"), *share)
+    q = quantiles(e, key, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return g.join(q.select(key, *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")]), key)
 
 
 def pattern_risk(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.scalars import is_round_amount, just_below, ladder, micros, structuring_band
+from tracewright.operators.quantiles import quantiles
 
 HOUR_US = 3_600_000_000
 
@@ -190,3 +191,102 @@ def net_positions(t: DataFrame, least: int) -> DataFrame:
     )
     even = F.abs(F.col("b") - F.col("s")) < 0.1 * F.greatest("b", "s")
     return g.filter((F.col("buys") > least) & (F.col("sells") > least) & even).select("token", "chain", F.round("b", 2).alias("bought"), F.round("s", 2).alias("sold"), "buys", "sells")
+
+
+def of_tenant(t: DataFrame, column: str, tenant: object) -> DataFrame:
+    """Rows of one tenant; rows without a tenant belong to none."""
+    return t.filter(F.col(column).isNotNull() & (F.col(column) == F.lit(tenant)))
+
+
+def recent_blocks(t: DataFrame, block: str, hours: int) -> DataFrame:
+    """Rows of blocks (times) within so many hours of the newest."""
+    number = F.floor(F.unix_micros(F.col(block).cast("timestamp")) / 3_600_000_000)
+    last = t.agg(F.max(number).alias("_last"))
+    return t.crossJoin(F.broadcast(last)).filter(number >= F.col("_last") - hours).drop("_last")  # one row
+
+
+def token_counts(t: DataFrame) -> DataFrame:
+    """Of each address: distinct tokens on either side, transfers out and in."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("address"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("address"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")
+    return t.select("token", ends).groupBy("e.address").agg(F.countDistinct("token").alias("tokens"), F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
+
+
+def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, nulls, distinct_, low, high, mean, median, deviation): one row for each numeric column, in one pass over long rows."""
+    long_ = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*")
+    r = lambda c, n: F.round(c, 6).alias(n)
+    g = long_.groupBy("name").agg(F.count_if(F.col("v").isNull()).alias("nulls"), F.countDistinct("v").alias("distinct_"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"), r(F.avg("v"), "mean"), r(F.stddev_samp("v"), "deviation"))
+    return g.join(quantiles(long_, "name", "v", {"median": 0.5}).select("name", r("median", "median")), "name")
+
+
+def top_values(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(name, value, n): the n most frequent values of each column, ties to the smaller."""
+    long_ = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("e")).select("e.*")
+    counts = long_.groupBy("name", "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))).filter(F.col("_r") <= n).drop("_r")
+
+
+def wallet_risk(t: DataFrame, low: Column, approval: Column, big: Column) -> DataFrame:
+    """(wallet, score, level) from holdings of low liquidity, approvals, large sends and transfers a day."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = t.groupBy(F.col("src").alias("wallet")).agg(F.count("*").alias("n"), F.count_if(low).alias("low"), F.count_if(approval).alias("app"), F.count_if(big).alias("big"), ((F.max(us) - F.min(us)) / 1e6).alias("span"))
+    pace = F.coalesce(F.try_divide(F.col("n"), F.col("span")) * 86400 > 20, F.lit(False)) & (F.col("n") >= 2)
+    points = 2 * F.col("low") + F.when(F.col("low") > 0.5 * F.col("n"), 3).otherwise(0) + F.when(F.col("app") > 5, 2).otherwise(0) + F.col("big") + F.when(pace, 2).otherwise(0)
+    return g.select("wallet", F.least(F.lit(100), 5 * points).cast("long").alias("score"), F.when(5 * points >= 75, "HIGH").when(5 * points >= 40, "MEDIUM").otherwise("LOW").alias("level"))
+
+
+def token_risk(low: Column, pool: Column, least: float, name: Column, price: Column) -> Column:
+    """3 for low liquidity, 2 for a small pool, 1 for a missing name, 1 for a price of next to nothing; at most 5."""
+    return F.least(F.lit(5), F.when(low, 3).otherwise(0) + F.when(pool < least, 2).otherwise(0) + F.when(name.isNull() | (name == ""), 1).otherwise(0) + F.when(price < 1e-6, 1).otherwise(0)).cast("long")
+
+
+def wallet_summary(t: DataFrame) -> DataFrame:
+    """First and last transfer of each sender, its tokens, and how many tokens it moved last (ties to the larger tx_id)."""
+    owner = t.groupBy("token").agg(F.max_by("src", F.struct("ts", "tx_id")).alias("wallet")).groupBy("wallet").agg(F.count("*").alias("owned"))
+    g = t.groupBy(F.col("src").alias("wallet")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("token").alias("tokens"))
+    return g.join(owner, "wallet", "left").fillna({"owned": 0})
+
+
+def counts_by(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, name, n): rows by each of several columns, in one pass."""
+    long_ = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name")) for k, c in kinds.items()])).alias("e")).select("e.*")
+    return long_.groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def alerts(t: DataFrame, least: float, high: float = 10.0) -> DataFrame:
+    """Transfers of at least so much; HIGH from high times that on."""
+    return t.filter(F.col("value") >= least).withColumn("level", F.when(F.col("value") >= high * least, "HIGH").otherwise("MEDIUM"))
+
+
+def top_by_metric(nodes: DataFrame, key: str, metrics: list[str], n: int) -> DataFrame:
+    """(metric, key, rank): the n best of each metric, ties to the smaller key."""
+    found = None
+    for m in metrics:
+        best = nodes.orderBy(F.desc(m), key).limit(n)
+        ranked = best.select(F.lit(m).alias("metric"), key, F.row_number().over(Window.orderBy(F.desc(m), key)).alias("rank"))  # n rows
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
+
+
+def shared_hours(t: DataFrame) -> DataFrame:
+    """(a, b, jaccard): pairs that have a transfer between them, by the hours of the day in which each sends."""
+    hours = t.groupBy("src").agg(F.collect_set(F.hour("ts")).alias("hours"))
+    pairs = t.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    j = pairs.join(hours.select(F.col("src").alias("a"), F.col("hours").alias("x")), "a").join(hours.select(F.col("src").alias("b"), F.col("hours").alias("y")), "b")
+    return j.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+
+
+def first_bundle(bundles: list[DataFrame], key: str) -> DataFrame:
+    """The rows of several bundles, of each key that of the first bundle that has it."""
+    found = None
+    for place, b in enumerate(bundles):
+        b = b.withColumn("_place", F.lit(place))
+        found = b if found is None else found.unionByName(b)
+    rest = [c for c in bundles[0].columns if c != key]
+    return found.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_place", *rest)).alias("_row")).select(key, "_row.*")
+
+
+def whale_candidates(t: DataFrame, least: float, known: list[str]) -> DataFrame:
+    """(wallet): known ones and both ends of large transfers."""
+    ends = t.filter(F.col("value") >= least).select(F.explode(F.array("src", "dst")).alias("wallet"))
+    return ends.union(t.sparkSession.createDataFrame([(k,) for k in known], "wallet string")).distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.functions.scalars import micros, severity
+from tracewright.operators.quantiles import quantiles
 
 
 def moving_deviation(s: DataFrame, key: str, order: list[str], value: str, size: int, k: float) -> DataFrame:
@@ -65,7 +66,7 @@ def zscores(t: DataFrame, key: str, id_col: str, value: str, k: float, least: in
 
 def iqr_outliers(t: DataFrame, key: str, id_col: str, value: str, c: float = 1.5) -> DataFrame:
     """Rows beyond c interquartile ranges (interpolated), with their distance in ranges."""
-    g = t.groupBy(key).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    g = quantiles(t, key, value, {"q1": 0.25, "q3": 0.75})
     r = t.join(g, key).withColumn("iqr", F.col("q3") - F.col("q1")).filter("iqr > 0")
     off = F.when(F.col(value) > F.col("q3"), F.col(value) - F.col("q3")).otherwise(F.col("q1") - F.col(value)) / F.col("iqr")
     return r.withColumn("off", off).filter(F.col("off") > c).select(id_col, key, F.round("off", 4).alias("score"))
@@ -78,7 +79,8 @@ def threshold_outliers(t: DataFrame, key: str, id_col: str, value: str, k: float
 
 
 def quantile_outliers(t: DataFrame, key: str, id_col: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    g = t.groupBy(key).agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
+    """Rows outside two quantiles of their key (interpolated)."""
+    g = quantiles(t, key, value, {"lo": low, "hi": high})
     return t.join(g, key).filter((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))).select(id_col, key)
 
 
@@ -103,5 +105,82 @@ def rate_peaks(e: DataFrame, key: str, ts: str, id_col: str, seconds: int) -> Da
     return e.withColumn("_n", F.count("*").over(w)).groupBy(key).agg(F.max("_n").alias("peak"))
 
 
-def median(c: str) -> Column:
-    return F.percentile(c, 0.5)
+def sequences(e: DataFrame, key: str, order: list[str], kind: str, wanted: list[str]) -> DataFrame:
+    """Rows after which a key's next rows are of the wanted kinds, one after the other, the row itself being the first."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = e.withColumns({f"_k{i}": F.lead(kind, i).over(w) for i in range(1, len(wanted))})
+    hit = F.col(kind) == wanted[0]
+    for i in range(1, len(wanted)):
+        hit = hit & (F.col(f"_k{i}") == wanted[i])
+    return marked.filter(hit).drop(*[f"_k{i}" for i in range(1, len(wanted))])
+
+
+def chain_depths(t: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, depth, n): how far places follow one another from 0 without a gap, and how many rows that are there.
+
+    Instead of a join for each step, rank is held against place: they agree as far as the chain goes.
+    """
+    places = t.select(key, place).groupBy(key, place).agg(F.count("*").alias("_n"))
+    ranked = places.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(place)) - 1).filter(F.col("_r") == F.col(place))
+    return ranked.groupBy(key).agg(F.max(place).cast("int").alias("depth"), F.sum("_n").alias("n"))
+
+
+def summary(s: DataFrame, key: str, value: str, k: float) -> DataFrame:
+    """Of each key: rows, rows beyond k sample deviations, their share, lowest, highest, mean, exact median, deviation."""
+    g = s.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n"))
+    odd = s.join(g.select(key, "_m", "_d"), key).groupBy(key).agg(F.count_if(F.abs(F.col(value) - F.col("_m")) > k * F.col("_d")).alias("anomalies"))
+    r = lambda c, n: F.round(c, 4).alias(n)
+    return g.join(odd, key).join(quantiles(s, key, value, {"_mid": 0.5}), key).select(key, "n", "anomalies", r(100.0 * F.col("anomalies") / F.col("n"), "pct"), r("_lo", "low"), r("_hi", "high"), r("_m", "mean"), r("_mid", "median"), r("_d", "deviation"))
+
+
+def rates(e: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """(key, hour, increase, rate): how a running total grows in each hour that has rows, and by the second."""
+    h = e.groupBy(key, F.date_trunc("hour", F.col(ts).cast("timestamp")).alias("hour")).agg(F.sum(value).alias("_s"))
+    return h.select(key, "hour", F.round("_s", 4).alias("increase"), F.round(F.col("_s") / 3600, 8).alias("rate"))
+
+
+def bucket_quantiles(e: DataFrame, key: str, value: str, bounds: list[float], shares: list[float]) -> DataFrame:
+    """(key, q, value): quantiles from counts in buckets up to bounds, interpolated inside the bucket, as a histogram of a monitor gives them."""
+    le = F.lit(float(bounds[-1]))
+    for b in reversed(bounds[:-1]):
+        le = F.when(F.col(value) <= b, F.lit(float(b))).otherwise(le)
+    w = Window.partitionBy(key).orderBy("le")
+    b = e.groupBy(key, le.alias("le")).agg(F.count("*").alias("n"))
+    c = b.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(key))).withColumn("lo", F.coalesce(F.lag("le").over(w), F.lit(0.0)))
+    q = c.withColumn("q", F.explode(F.array(*map(F.lit, shares)))).filter(F.col("upto") >= F.col("q") * F.col("total"))
+    inside = F.col("lo") + (F.col("le") - F.col("lo")) * (F.col("q") * F.col("total") - (F.col("upto") - F.col("n"))) / F.col("n")
+    return q.groupBy(key, "q").agg(F.round(F.min(inside), 6).alias("value"))
+
+
+def mean_interval(e: DataFrame, key: str, value: str, z: float) -> DataFrame:
+    """(key, low, high): mean and z standard errors, inside 0 and 1; a single row has an interval of a tenth on both sides."""
+    g = e.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d"), F.count(value).alias("_n"))
+    off = F.when(F.col("_n") > 1, z * F.col("_d") / F.sqrt("_n")).otherwise(0.1)
+    return g.select(key, F.round(F.greatest(F.lit(0.0), F.col("_m") - off), 6).alias("low"), F.round(F.least(F.lit(1.0), F.col("_m") + off), 6).alias("high"))
+
+
+def _sides(s: DataFrame, key: str, order: str, size: int, f, value: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(order)
+    before, behind = w.rowsBetween(-size, -1), w.rowsBetween(0, size - 1)
+    both = s.withColumns({"_x": f(value).over(before), "_y": f(value).over(behind), "_a": F.count("*").over(before), "_b": F.count("*").over(behind)})
+    return both.filter((F.col("_a") == size) & (F.col("_b") == size))
+
+
+def level_shifts(s: DataFrame, key: str, order: str, value: str, size: int, share: float) -> DataFrame:
+    """Rows where the mean of the next size rows differs by a share from that of the size rows before."""
+    return _sides(s, key, order, size, F.avg, value).filter(F.abs(F.col("_y") - F.col("_x")) > share * F.col("_x")).select(key, order, F.round(F.col("_y") - F.col("_x"), 4).alias("shift"))
+
+
+def volatility_shifts(s: DataFrame, key: str, order: str, value: str, size: int, times: float) -> DataFrame:
+    """Rows where the deviation of the next size rows is so many times that of the size rows before."""
+    return _sides(s, key, order, size, F.stddev_samp, value).filter((F.col("_x") > 0) & (F.col("_y") > times * F.col("_x"))).select(key, order, F.round(F.col("_y") / F.col("_x"), 4).alias("ratio"))
+
+
+def seasonal_outliers(e: DataFrame, ts: str, c: float) -> DataFrame:
+    """(hour, residual): hours whose number of rows, less the mean of their hour of the day, lies beyond c interquartile ranges."""
+    h = e.groupBy(F.date_trunc("hour", F.col(ts).cast("timestamp")).alias("hour")).agg(F.count("*").alias("_n"))
+    m = h.groupBy(F.hour("hour").alias("_h")).agg(F.avg("_n").alias("_m"))
+    r = h.join(F.broadcast(m), F.hour("hour") == F.col("_h")).select("hour", (F.col("_n") - F.col("_m")).alias("_r"), F.lit(0).alias("_k"))  # 24 rows
+    q = quantiles(r, "_k", "_r", {"_a": 0.25, "_b": 0.75}).select("_a", "_b")
+    out = r.drop("_k").crossJoin(F.broadcast(q)).filter((F.col("_r") > F.col("_b") + c * (F.col("_b") - F.col("_a"))) | (F.col("_r") < F.col("_a") - c * (F.col("_b") - F.col("_a"))))  # one row
+    return out.select("hour", F.round("_r", 6).alias("residual"))

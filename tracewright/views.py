@@ -5,7 +5,7 @@ Each view exists twice: as a DataFrame, and as SQL text for the engine that resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,45 @@ def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers(spark, sf_dir).groupBy(F.col("dst").alias("wallet"), "token").agg(F.round(F.sum("value"), 4).alias("amount"))
 
 
+def _address(c: Column) -> Column:
+    text = c.cast("string")
+    return F.concat(F.lit("0x"), F.md5(text), F.substring(F.md5(F.concat(F.lit("x"), text)), 1, 8))
+
+
+def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a file of transfers holds them, all text, some of it broken: hash, from, to, value, timestamp, kind, token, chain."""
+    e = table(spark, sf_dir, "events")
+    every = lambda c, n: F.pmod(F.col(c), F.lit(n)) == 0
+    return e.select(
+        F.when(every("event_id", 29), None).otherwise(F.concat(F.lit("0x"), F.md5(F.col("event_id").cast("string")))).alias("hash"),
+        F.when(every("user_id", 31), F.concat(F.lit("bad"), F.col("user_id").cast("string"))).otherwise(_address(F.col("user_id"))).alias("from"),
+        _address(F.pmod("event_id", F.lit(97))).alias("to"),
+        F.when(every("event_id", 17), "n/a").when(every("event_id", 19), "-5").otherwise(F.round(F.col("value") * 100).cast("long").cast("string")).alias("value"),
+        F.when(every("event_id", 23), "unknown").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        F.when(F.col("event_type") == "click", "send").when(F.col("event_type") == "view", "receive").when(F.col("event_type") == "purchase", "swap").when(F.col("event_type") == "signup", "mint").otherwise("other").alias("kind"),
+        F.concat(F.lit("T"), F.pmod("event_id", F.lit(7)).cast("string")).alias("token"),
+        F.concat(F.lit("K"), F.pmod("user_id", F.lit(3)).cast("string")).alias("chain"),
+    )
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of transfers: id, label, nation, chain, segment (null for suppliers), balance."""
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    shape = lambda prefix, key, label, segment, balance: [F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit(label).alias("label"), F.col("n_name").alias("nation"), F.col("r_name").alias("chain"), segment.alias("segment"), F.col(balance).alias("balance")]
+    return c.select(*shape("C", "c_custkey", "Customer", F.col("c_mktsegment"), "c_acctbal")).unionByName(s.select(*shape("S", "s_suppkey", "Supplier", F.lit(None).cast("string"), "s_acctbal")))
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and errors as trades on exchanges: place, block, dex, trader, bought, sold, amount, ts, failed."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select(
+        F.col("event_id").alias("place"), F.date_trunc("hour", "ts").alias("block"), F.concat(F.lit("D"), F.pmod("event_id", F.lit(3)).cast("string")).alias("dex"), F.col("user_id").alias("trader"),
+        F.concat(F.lit("T"), F.pmod("event_id", F.lit(4)).cast("string")).alias("bought"), F.concat(F.lit("T"), F.pmod(F.col("event_id") + F.col("user_id"), F.lit(4)).cast("string")).alias("sold"), F.col("value").alias("amount"), "ts", (F.col("event_type") == "error").alias("failed"),
+    )
+
+
 SQL = {
     "transfers": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS tx_id, 'C' || o_custkey AS src, 'S' || l_suppkey AS dst,
       l_extendedprice * (1 - l_discount) AS value, l_shipdate AS ts, 'P' || l_partkey AS token, l_returnflag AS tx_type, r_name AS chain,
@@ -82,6 +121,18 @@ SQL = {
       WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE r <= 3""",
     "price_series": """SELECT p_brand AS token, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price, sum(l_quantity) AS volume
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    "raw_transfers": """SELECT CASE WHEN event_id % 29 = 0 THEN NULL ELSE '0x' || md5(CAST(event_id AS VARCHAR)) END AS hash,
+      CASE WHEN user_id % 31 = 0 THEN 'bad' || user_id ELSE '0x' || md5(CAST(user_id AS VARCHAR)) || substr(md5('x' || user_id), 1, 8) END AS "from",
+      '0x' || md5(CAST(event_id % 97 AS VARCHAR)) || substr(md5('x' || (event_id % 97)), 1, 8) AS "to",
+      CASE WHEN event_id % 17 = 0 THEN 'n/a' WHEN event_id % 19 = 0 THEN '-5' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS value,
+      CASE WHEN event_id % 23 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS timestamp,
+      CASE event_type WHEN 'click' THEN 'send' WHEN 'view' THEN 'receive' WHEN 'purchase' THEN 'swap' WHEN 'signup' THEN 'mint' ELSE 'other' END AS kind,
+      'T' || (event_id % 7) AS token, 'K' || (user_id % 3) AS chain FROM events""",
+    "graph_nodes": """SELECT 'C' || c_custkey AS id, 'Customer' AS label, n_name AS nation, r_name AS chain, c_mktsegment AS segment, c_acctbal AS balance
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT 'S' || s_suppkey, 'Supplier', n_name, r_name, NULL, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "trades": """SELECT event_id AS place, date_trunc('hour', ts) AS block, 'D' || (event_id % 3) AS dex, user_id AS trader, 'T' || (event_id % 4) AS bought,
+      'T' || ((event_id + user_id) % 4) AS sold, value AS amount, ts, event_type = 'error' AS failed FROM events""",
     "balances": """SELECT dst AS wallet, token, round(sum(value), 4) AS amount FROM transfers GROUP BY 1, 2""",
 }
 
