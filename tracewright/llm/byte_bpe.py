@@ -36,9 +36,9 @@ WINDOW = 32
 #: Pieces before a window that are merged with it, as many as it takes.
 TAILS = (2, 8, 64, 1 << 30)
 #: Characters of text in a block, after which its task starts another.
-BLOCK_CHARS = 24_000_000
-#: Parts that the words of a block are dealt to.
-PARTS = 2048
+BLOCK_CHARS = 32_000_000
+#: Parts that the words of a block are dealt to, by a hash of so many characters: words that begin alike compress together.
+PARTS, ALIKE = 2048, 5
 #: Bytes of ids in a batch that goes back to Spark.
 BATCH_BYTES = 4_000_000
 
@@ -59,7 +59,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def reopening(ranks: dict[bytes, int]) -> set[bytes]:
+def reopening(ranks: dict[bytes, int]) -> frozenset[bytes]:
     """Pieces that, once merged, may be half of a piece of lower rank. Files written by training have none.
 
     A piece is only ever merged from the two that its own bytes end with when merged alone.
@@ -74,7 +74,7 @@ def reopening(ranks: dict[bytes, int]) -> set[bytes]:
             halves[i : i + 2] = [halves[i] + halves[i + 1]]
         if len(halves) == 2:
             found |= {half for half in halves if ranks[half] > rank}
-    return found
+    return frozenset(found)
 
 
 def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
@@ -87,8 +87,8 @@ def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps([b or None for b in buckets], separators=(",", ":"))), "array<map<string,int>>")
 
 
-def fold_merges(word: Column, literal: Column) -> Column:
-    """The ids of a word (array<int>)."""
+def fold_merges(word: Column, literal: Column, again: bool = True) -> Column:
+    """The ids of a word (array<int>). again: whether the ranks have reopening pieces; without, one pass over the order is enough."""
     zero, one = F.lit(0), F.lit(1)
 
     def fold(ranks: Column) -> Column:
@@ -102,18 +102,29 @@ def fold_merges(word: Column, literal: Column) -> Column:
             every = F.transform(F.sequence(zero, n - 2), lambda start: F.transform(F.sequence(F.lit(2), n - start), lambda size: at(start, size)))
             return F.when(n < 2, F.array().cast("array<struct<value:int,start:int,size:int>>")).otherwise(F.sort_array(F.filter(F.flatten(every), lambda c: c.isNotNull())))
 
-        def merge(state: Column, c: Column) -> Column:  # marks: one for each place between bytes, 1 where a piece ends or starts
-            two_pieces = F.rlike(F.substring(state["marks"], c["start"] + 1, c["size"] + 1), F.lit("^10*10*1$"))
-            merged = F.overlay(state["marks"], F.repeat(F.lit("0"), c["size"] - 1), c["start"] + 2)
-            return F.when(state["again"], state).when(two_pieces, F.struct(merged.alias("marks"), (c["value"] % 2 == 1).alias("again"))).otherwise(state)
+        # marks: a character for each place between bytes, 1 where a piece ends or starts
+        def two_pieces(marks: Column, c: Column) -> Column:
+            return F.rlike(F.substring(marks, c["start"] + 1, c["size"] + 1), F.lit("^10*10*1$"))
+
+        def joined_up(marks: Column, c: Column) -> Column:
+            return F.overlay(marks, F.repeat(F.lit("0"), c["size"] - 1), c["start"] + 2)
+
+        def merge(marks: Column, c: Column) -> Column:
+            return F.when(two_pieces(marks, c), joined_up(marks, c)).otherwise(marks)
+
+        def merge_or_stop(state: Column, c: Column) -> Column:
+            done = F.struct(joined_up(state["marks"], c).alias("marks"), (c["value"] % 2 == 1).alias("again"))
+            return F.when(state["again"], state).when(two_pieces(state["marks"], c), done).otherwise(state)
 
         def marks(n: Column, ordered: Column) -> Column:
             def once(state: Column, _: Column) -> Column:
                 fresh = F.struct(state["marks"].alias("marks"), F.lit(False).alias("again"))
-                return F.when(state["again"], F.aggregate(ordered, fresh, merge)).otherwise(state)
+                return F.when(state["again"], F.aggregate(ordered, fresh, merge_or_stop)).otherwise(state)
 
-            apart = F.struct(F.repeat(F.lit("1"), n + 1).alias("marks"), F.lit(True).alias("again"))
-            return F.aggregate(F.sequence(one, n), apart, once, lambda state: state["marks"])
+            apart = F.repeat(F.lit("1"), n + 1)
+            if not again:
+                return F.aggregate(ordered, apart, merge)
+            return F.aggregate(F.sequence(one, n), F.struct(apart.alias("marks"), F.lit(True).alias("again")), once, lambda state: state["marks"])
 
         def cut(text: Column, n: Column, marked: Column) -> Column:
             bounds = F.filter(F.sequence(zero, n), lambda i: F.substring(marked, i + 1, one) == "1")
@@ -167,7 +178,7 @@ def _splitter(pattern: str) -> Splitter:
 def pack(numbers: np.ndarray) -> bytes:
     """Compressed uint32 numbers, bytes of equal weight together."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return pa.compress(planes, "zstd", asbytes=True)
+    return pa.Codec("zstd", 3).compress(planes, asbytes=True)
 
 
 def unpack(blob: bytes, n: int) -> np.ndarray:
@@ -205,7 +216,7 @@ class Block:
 
     def close(self, number: int, kept: list[str]) -> pa.RecordBatch:
         """One row; its words are in order of part and word, and numbered so."""
-        listed = sorted((zlib.crc32(w.encode()) % PARTS, w) for w in self.words)
+        listed = sorted((zlib.crc32(w[:ALIKE].encode()) % PARTS, w) for w in self.words)
         new = np.zeros(len(listed), np.uint32)
         new[[self.words[w] for _, w in listed]] = np.arange(len(listed), dtype=np.uint32)
         counts = np.array([len(t) // 4 for t in self.texts], np.int32)
@@ -271,7 +282,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     dealt = blocks.select("block", F.inline("words")).repartition("part")
     words = dealt.select("block", "part", F.posexplode("words").alias("place", "word")).groupBy("part", "word").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    folded = words.select("part", "places", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks)).alias("ids"))
+    folded = words.select("part", "places", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks), bool(reopening(ranks))).alias("ids"))
     back = folded.select("part", "ids", F.inline("places")).groupBy("block", "part").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
     ids = back.select("block", "part", F.transform("found", lambda f: F.size(f["ids"])).alias("sizes"), F.flatten(F.col("found.ids")).alias("ids"))
 
