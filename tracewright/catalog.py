@@ -158,8 +158,8 @@ query("j07_j08_sandwich", """WITH t AS (SELECT date_trunc('hour', ts) AS block,
         )
     )
 )
-on(N, "j11_money_rings", """SELECT x.src AS a, y.src AS b, z.src AS c, round(x.value + y.value + z.value, 2) AS total FROM nation_flow x JOIN nation_flow y ON x.dst = y.src JOIN nation_flow z ON y.dst = z.src AND z.dst = x.src
-  WHERE x.value > 1000 AND y.value > 1000 AND z.value > 1000 AND x.src < y.src AND x.src < z.src AND y.src <> z.src""")(lambda e: matching.rings(e, 1000))
+on(views.strong_flow, "j11_money_rings", """SELECT x.src AS a, y.src AS b, z.src AS c, round(x.value + y.value + z.value, 2) AS total FROM strong_flow x JOIN strong_flow y ON x.dst = y.src AND x.ts < y.ts JOIN strong_flow z ON y.dst = z.src AND z.dst = x.src AND y.ts < z.ts
+  WHERE x.value > 96 AND y.value > 96 AND z.value > 96""")(lambda e: matching.rings(e, 96))
 on(T, "j15_reversed_structuring", """WITH w AS (SELECT src AS account, max(ts) AS out_ts, round(max(value), 2) AS largest FROM transfers WHERE tx_type = 'R' AND value >= 60000 GROUP BY 1)
   SELECT d.src AS account, largest, count(*) AS n, round(sum(d.value), 2) AS total FROM transfers d JOIN w ON d.src = w.account AND d.ts < w.out_ts WHERE d.tx_type = 'N' AND d.value < 10000 GROUP BY 1, 2 HAVING count(*) >= 2""")(
     lambda t: matching.reversed_structuring(t.filter("tx_type = 'N'").withColumn("account", F.col("src")), t.filter("tx_type = 'R'").withColumn("account", F.col("src")), 10000, 60000, 2)
@@ -219,18 +219,25 @@ on(T, "g12_degrees", "SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_o
 query("g02_reach", """WITH RECURSIVE r(node, hop) AS (SELECT 0, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN nation_flow e ON r.node = e.src WHERE r.hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY 1""")(
     lambda s, d: graph.reach(N(s, d), s.createDataFrame([(0,)], "node int"), 3)
 )
-on(N, "g05_paths", """WITH RECURSIVE p(start_, end_, nodes, n) AS (SELECT src, dst, [src, dst], 1 FROM nation_flow UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), p.n + 1 FROM p JOIN nation_flow e ON p.end_ = e.src WHERE p.n < 3 AND NOT list_contains(p.nodes, e.dst))
-  SELECT start_ AS start, end_ AS "end", array_to_string(nodes, '>') AS path, n AS length FROM p WHERE n >= 2""")(lambda e: graph.simple_paths(e, 2, 3).select("start", "end", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length"))
-on(N, "g07_cycles", """WITH RECURSIVE p(start_, end_, nodes, vals, n) AS (SELECT src, dst, [src, dst], [value], 1 FROM nation_flow WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), list_append(p.vals, e.value), p.n + 1 FROM p JOIN nation_flow e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst))))
+S = views.strong_flow
+on(S, "g05_paths", """WITH RECURSIVE p(start_, end_, nodes, n) AS (SELECT src, dst, [src, dst], 1 FROM strong_flow UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 4 AND NOT list_contains(p.nodes, e.dst))
+  SELECT start_ AS start, end_ AS "end", array_to_string(nodes, '>') AS path, n AS length FROM p WHERE n >= 2""")(lambda e: graph.simple_paths(e, 2, 4).select("start", "end", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length"))
+on(S, "g07_cycles", """WITH RECURSIVE p(start_, end_, nodes, vals, n) AS (SELECT src, dst, [src, dst], [value], 1 FROM strong_flow WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), list_append(p.vals, e.value), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst))))
   SELECT array_to_string(nodes[1:n], '>') AS path, n AS length, round(list_sum(vals), 2) AS total, list_stddev_pop(vals) / list_avg(vals) < 0.2 AS balanced FROM p WHERE end_ = start_ AND n >= 2""")(
     lambda e: graph.cycles(e, 2, 5).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length", "total", "balanced")
 )
-on(U, "g10_peel_chains", None)(lambda t: graph.decaying_paths(t.filter("src % 4 = 0 AND dst % 4 = 0 AND src <> dst"), 0.7, 4, 4).select("start", "end", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "confidence", "risk"))
-on(T, "g11_hubs", None)(lambda t: graph.hubs(t.select("src", "dst", "value", "ts").union(t.select(F.col("dst").alias("src"), F.concat(F.lit("X"), F.substring("src", -1, 1)).alias("dst"), "value", "ts"))))
-on(N, "g13_pagerank", """WITH RECURSIVE nodes AS (SELECT src AS node FROM nation_flow UNION SELECT dst FROM nation_flow), k AS (SELECT src, count(*) AS k FROM nation_flow GROUP BY 1), c AS (SELECT count(*) AS n FROM nodes),
-  r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, c), i0 AS (SELECT coalesce(sum(rank), 0) AS idle FROM r0 WHERE node NOT IN (SELECT src FROM k)), g0 AS (SELECT dst, sum(rank / k) AS got FROM nation_flow e JOIN k ON e.src = k.src JOIN r0 ON r0.node = e.src GROUP BY 1),
-  r1 AS (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(got, 0) + idle / n) AS rank FROM nodes LEFT JOIN g0 ON nodes.node = g0.dst, c, i0), i1 AS (SELECT coalesce(sum(rank), 0) AS idle FROM r1 WHERE node NOT IN (SELECT src FROM k)), g1 AS (SELECT dst, sum(rank / k) AS got FROM nation_flow e JOIN k ON e.src = k.src JOIN r1 ON r1.node = e.src GROUP BY 1)
-  SELECT nodes.node, round(0.15 / n + 0.85 * (coalesce(got, 0) + idle / n), 8) AS rank FROM nodes LEFT JOIN g1 ON nodes.node = g1.dst, c, i1""")(lambda e: graph.pagerank(e, 2).select("node", F.round("rank", 8).alias("rank")))
+on(U, "g10_peel_chains", """WITH RECURSIVE p(start_, end_, nodes, last, last_ts, n) AS (SELECT src, dst, [src, dst], value, ts, 2 FROM user_flow WHERE src <> dst AND value >= 50
+    UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), e.value, e.ts, p.n + 1 FROM p JOIN user_flow e ON p.end_ = e.src AND e.src <> e.dst AND e.value <= 0.7 * p.last AND e.ts > p.last_ts AND epoch_us(e.ts) - epoch_us(p.last_ts) <= 7200000000 WHERE p.n < 10 AND NOT list_contains(p.nodes, e.dst))
+  SELECT start_ AS start, end_ AS "end", array_to_string(nodes, '>') AS path, round(least(0.95, 0.5 + 0.1 * (n - 4)), 2) AS confidence, CAST(least(100, 50 + 10 * (n - 4)) AS BIGINT) AS risk FROM p WHERE n >= 4""")(
+    lambda t: graph.decaying_paths(t.filter("src <> dst"), 0.7, 4, 10, 7200, 50.0).select("start", "end", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "confidence", "risk")
+)
+on(U, "g11_hubs", """WITH i AS (SELECT dst AS node, count(*) AS n_in, sum(value) AS vi, epoch_us(min(ts)) AS i0, epoch_us(max(ts)) AS i1 FROM user_flow GROUP BY 1), o AS (SELECT src AS node, count(*) AS n_out, sum(value) AS vo, epoch_us(min(ts)) AS o0, epoch_us(max(ts)) AS o1 FROM user_flow GROUP BY 1),
+  b AS (SELECT i.node, n_in, n_out, least(vi, vo) / greatest(vi, vo) AS r, CASE WHEN i1 <= o0 THEN 0.9 ELSE 0.7 * (1 - greatest(0, least(i1, o1) - greatest(i0, o0)) / (greatest(i1, o1) - least(i0, o0))) END AS c FROM i JOIN o ON i.node = o.node WHERE n_in >= 2 AND n_out >= 2)
+  SELECT node, n_in, n_out, round(r, 6) AS ratio, round(c, 6) AS confidence, round(least(100, 50 + 30 * c + 20 * r), 2) AS risk FROM b WHERE c >= 0.0001 AND r >= 0.7""")(lambda t: graph.hubs(t, ratio=0.7, sure=0.0001))
+_RANKS = ", ".join(f"i{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS idle FROM r{k} WHERE node NOT IN (SELECT src FROM k)), r{k + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(got, 0) + idle / n) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM strong_flow e JOIN k ON e.src = k.src JOIN r{k} ON r{k}.node = e.src GROUP BY 1) g ON nodes.node = g.dst, c, i{k})" for k in range(40))
+on(S, "g13_pagerank", f"""WITH nodes AS MATERIALIZED (SELECT src AS node FROM strong_flow UNION SELECT dst FROM strong_flow), k AS MATERIALIZED (SELECT src, count(*) AS k FROM strong_flow GROUP BY 1), c AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM nodes, c), {_RANKS} SELECT node, round(rank, 6) AS rank FROM r40""")(
+    lambda e: graph.pagerank(e, tolerance=1e-10).select("node", F.round("rank", 6).alias("rank"))
+)
 query("g15_risk_spread", """WITH nodes AS (SELECT src AS node FROM nation_flow UNION SELECT dst FROM nation_flow), k AS (SELECT src, count(*) AS k FROM nation_flow GROUP BY 1), s AS (SELECT node, CASE WHEN node IN (1, 5) THEN 1.0 ELSE 0.0 END AS seed FROM nodes),
   a AS (SELECT s.node, 0.5 * seed + 0.5 * coalesce((SELECT sum(x.seed / k.k) FROM nation_flow e JOIN k ON e.src = k.src JOIN s x ON x.node = e.src WHERE e.dst = s.node), 0) AS risk FROM s),
   b AS (SELECT s.node, 0.5 * seed + 0.5 * coalesce((SELECT sum(x.risk / k.k) FROM nation_flow e JOIN k ON e.src = k.src JOIN a x ON x.node = e.src WHERE e.dst = s.node), 0) AS risk FROM s)
@@ -309,4 +316,4 @@ def g36_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
-from tracewright import catalog_flows, catalog_loads  # noqa: E402, F401  they register their queries
+from tracewright import catalog_flows, catalog_graphs, catalog_loads  # noqa: E402, F401  they register their queries

@@ -68,7 +68,7 @@ query("j16_owned_accounts", """SELECT c_nationkey AS owner, count(DISTINCT o_cus
     .groupBy(F.col("c_nationkey").alias("owner")).agg(F.countDistinct("o_custkey").alias("accounts"), F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")).filter("n >= 3")
 )
 on(T, "j17_insiders", """WITH h AS (SELECT token, src AS wallet, min(ts) AS first_ts FROM transfers GROUP BY 1, 2), k AS (SELECT token, max(value / quantity) AS peak FROM transfers GROUP BY 1)
-  SELECT t.token, t.src AS wallet, count(*) AS n, round(sum(t.value), 2) AS sold, round(max(t.value / t.quantity / peak), 6) AS of_peak FROM transfers t JOIN h ON t.token = h.token AND t.src = h.wallet JOIN k ON t.token = k.token WHERE t.ts > first_ts AND t.value / t.quantity >= 0.8 * peak GROUP BY 1, 2""")(
+  SELECT t.token, t.src AS wallet, count(*) AS n, round(sum(t.value), 4) AS sold, round(max(t.value / t.quantity / peak), 6) AS of_peak FROM transfers t JOIN h ON t.token = h.token AND t.src = h.wallet JOIN k ON t.token = k.token WHERE t.ts > first_ts AND t.value / t.quantity >= 0.8 * peak GROUP BY 1, 2""")(
     lambda t: fraud.insiders(t.groupBy("token", F.col("src").alias("wallet")).agg(F.min("ts").alias("first_ts")), t.select("token", F.col("src").alias("wallet"), "ts", (F.col("value") / F.col("quantity")).alias("price"), F.col("value").alias("amount")), t.select("token", (F.col("value") / F.col("quantity")).alias("price")), 0.8)
 )
 on(T, "j20_abandoned", """WITH s AS (SELECT token, min(ts) AS a FROM transfers GROUP BY 1), e AS (SELECT max(ts) AS z FROM transfers), g AS (SELECT t.token, count(CASE WHEN t.ts <= a + INTERVAL 365 DAY THEN 1 END) AS early, count(CASE WHEN t.ts >= z - INTERVAL 365 DAY THEN 1 END) AS late FROM transfers t JOIN s ON t.token = s.token, e GROUP BY 1)
@@ -107,8 +107,8 @@ on(source("events"), "a18_top_values", "SELECT name, value, n FROM (SELECT 'even
 )
 on(P, "a19_series_summary", """WITH g AS (SELECT token, avg(price) AS m, stddev_samp(price) AS d FROM price_series GROUP BY 1) SELECT p.token, count(*) AS n, count(CASE WHEN abs(price - m) > 2 * d THEN 1 END) AS anomalies, round(100.0 * count(CASE WHEN abs(price - m) > 2 * d THEN 1 END) / count(*), 4) AS pct,
   round(min(price), 4) AS low, round(max(price), 4) AS high, round(avg(price), 4) AS mean, round(median(price), 4) AS median, round(stddev_samp(price), 4) AS deviation FROM price_series p JOIN g ON p.token = g.token GROUP BY 1""")(lambda s: series.summary(s, "token", "price", 2.0))
-on(T, "a22_wallet_chains", "SELECT src AS wallet, chain, round(sum(value), 2) AS usd, count(DISTINCT token) AS tokens, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM transfers GROUP BY 1, 2")(
-    lambda t: t.groupBy(F.col("src").alias("wallet"), "chain").agg(F.round(F.sum("value"), 2).alias("usd"), F.countDistinct("token").alias("tokens"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+on(T, "a22_wallet_chains", "SELECT src AS wallet, chain, round(sum(value), 4) AS usd, count(DISTINCT token) AS tokens, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM transfers GROUP BY 1, 2")(
+    lambda t: t.groupBy(F.col("src").alias("wallet"), "chain").agg(F.round(F.sum("value"), 4).alias("usd"), F.countDistinct("token").alias("tokens"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 )
 on(T, "a26_whales_by_tier", """WITH g AS (SELECT src AS wallet, sum(value) AS s, count(CASE WHEN value >= 90000 THEN 1 END) AS k FROM transfers GROUP BY 1), w AS (SELECT wallet, CASE WHEN s >= 2000000 THEN 'TIER1' WHEN s >= 1000000 THEN 'TIER2' ELSE 'ACTIVE' END AS tier FROM g WHERE s >= 1000000 OR k > 0)
   SELECT tier, chain, count(DISTINCT w.wallet) AS wallets FROM w JOIN transfers t ON t.src = w.wallet WHERE tier <> 'ACTIVE' GROUP BY 1, 2""")(
@@ -121,8 +121,8 @@ on(T, "a27_wallet_risk", """WITH g AS (SELECT src AS wallet, count(*) AS n, coun
 query("a30_token_risk", """SELECT p_partkey AS token, CAST(least(5, CASE WHEN p_retailprice < 950 THEN 3 ELSE 0 END + CASE WHEN p_size < 10 THEN 2 ELSE 0 END + CASE WHEN p_name IS NULL OR p_name = '' THEN 1 ELSE 0 END + CASE WHEN p_retailprice < 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS risk FROM part""")(
     lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("token"), profiles.token_risk(F.col("p_retailprice") < 950, F.col("p_size"), 10, F.col("p_name"), F.col("p_retailprice")).alias("risk"))
 )
-on(T, "a31_portfolio", "SELECT dst AS wallet, chain, round(sum(value), 2) AS total, count(CASE WHEN tx_type = 'N' THEN 1 END) AS native, count(CASE WHEN tx_type <> 'N' THEN 1 END) AS other, grouping(chain)::BIGINT AS level FROM transfers GROUP BY GROUPING SETS ((dst, chain), (dst))")(
-    lambda t: t.groupingSets([["dst", "chain"], ["dst"]], "dst", "chain").agg(F.round(F.sum("value"), 2).alias("total"), F.count_if(F.col("tx_type") == "N").alias("native"), F.count_if(F.col("tx_type") != "N").alias("other"), F.grouping("chain").cast("long").alias("level")).withColumnRenamed("dst", "wallet")
+on(T, "a31_portfolio", "SELECT dst AS wallet, chain, round(sum(value), 4) AS total, count(CASE WHEN tx_type = 'N' THEN 1 END) AS native, count(CASE WHEN tx_type <> 'N' THEN 1 END) AS other, grouping(chain)::BIGINT AS level FROM transfers GROUP BY GROUPING SETS ((dst, chain), (dst))")(
+    lambda t: t.groupingSets([["dst", "chain"], ["dst"]], "dst", "chain").agg(F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("tx_type") == "N").alias("native"), F.count_if(F.col("tx_type") != "N").alias("other"), F.grouping("chain").cast("long").alias("level")).withColumnRenamed("dst", "wallet")
 )
 query("a32_collectibles", "SELECT s_nationkey AS wallet, p_brand AS collection, p_size % 2 AS standard, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY GROUPING SETS ((s_nationkey, p_brand), (s_nationkey, p_size % 2))")(
     lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("wallet"), F.col("p_brand").alias("collection"), (F.col("p_size") % 2).alias("standard"))

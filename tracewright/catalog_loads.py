@@ -120,13 +120,13 @@ def k12_write_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("k13_node_metrics", """WITH o AS (SELECT src AS id, count(*) AS n_out, sum(value) AS v_out FROM transfers GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n_in, sum(value) AS v_in FROM transfers GROUP BY 1)
-  SELECT n.id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, round(coalesce(v_in, 0.0) - coalesce(v_out, 0.0), 2) AS net_flow FROM graph_nodes n LEFT JOIN o ON n.id = o.id LEFT JOIN i ON n.id = i.id""")(
+  SELECT n.id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, round(coalesce(v_in, 0.0) - coalesce(v_out, 0.0), 4) AS net_flow FROM graph_nodes n LEFT JOIN o ON n.id = o.id LEFT JOIN i ON n.id = i.id""")(
     lambda s, d: upserts.keep_all(
         G(s, d).select("id"),
         T(s, d).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), (-F.col("value")).alias("v")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.col("value").alias("v")))).alias("e"))
         .groupBy("e.id").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"), F.sum("e.v").alias("net_flow")),
         "id", {"n_out": 0, "n_in": 0, "net_flow": 0.0},
-    ).select("id", "n_out", "n_in", F.round("net_flow", 2).alias("net_flow"))
+    ).select("id", "n_out", "n_in", F.round("net_flow", 4).alias("net_flow"))
 )
 query("k14_write_back", """WITH g AS (SELECT src AS id, count(DISTINCT dst) AS partners FROM transfers GROUP BY 1) SELECT n.id, n.label, coalesce(partners, 0) AS partners FROM graph_nodes n LEFT JOIN g ON n.id = g.id""")(
     lambda s, d: upserts.keep_all(G(s, d).select("id", "label"), T(s, d).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("partners")), "id", {"partners": 0})

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that the driver and all executors see. Unset is an error: a folder of one machine would lose rows on a cluster."""
+    """spark.checkpoint.dir, the folder that the driver and all executors see.
+
+    Where it is unset, a local master (one process, as in tests) gets a temporary folder; on a cluster that is an error, for
+    every executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -51,7 +51,7 @@ def insiders(holdings: DataFrame, sales: DataFrame, prices: DataFrame, share: fl
     """
     peak = prices.groupBy("token").agg(F.max("price").alias("peak"))
     late = sales.join(holdings, ["token", "wallet"]).filter("ts > first_ts").join(peak, "token").filter(F.col("price") >= share * F.col("peak"))
-    return late.groupBy("token", "wallet").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("sold"), F.round(F.max(F.col("price") / F.col("peak")), 6).alias("of_peak"))
+    return late.groupBy("token", "wallet").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("sold"), F.round(F.max(F.col("price") / F.col("peak")), 6).alias("of_peak"))
 
 
 def abandoned(t: DataFrame, key: str, first_days: int, last_days: int, share: float) -> DataFrame:

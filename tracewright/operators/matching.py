@@ -52,11 +52,10 @@ def cross_chain(t: DataFrame, seconds: int, least: float, known: list, id_col: s
 
 
 def rings(e: DataFrame, least: float) -> DataFrame:
-    """a -> b -> c -> a over edges of at least so much value, each ring once, from its smallest node."""
-    big = e.filter(F.col("value") > least).select("src", "dst", "value")
+    """a -> b -> c -> a over edges of more than so much value, each later than the one before, so a ring comes once, from its first edge."""
+    big = e.filter((F.col("value") > least) & (F.col("src") != F.col("dst"))).select("src", "dst", "value", "ts")
     x, y, z = (renamed(big, str(k)) for k in (1, 2, 3))
-    found = x.join(y, F.col("dst1") == F.col("src2")).join(z, (F.col("dst2") == F.col("src3")) & (F.col("dst3") == F.col("src1")))
-    found = found.filter((F.col("src1") < F.col("src2")) & (F.col("src1") < F.col("src3")) & (F.col("src2") != F.col("src3")))
+    found = x.join(y, (F.col("dst1") == F.col("src2")) & (F.col("ts1") < F.col("ts2"))).join(z, (F.col("dst2") == F.col("src3")) & (F.col("dst3") == F.col("src1")) & (F.col("ts2") < F.col("ts3")))
     return found.select(F.col("src1").alias("a"), F.col("src2").alias("b"), F.col("src3").alias("c"), F.round(F.col("value1") + F.col("value2") + F.col("value3"), 2).alias("total"))
 
 

@@ -1,4 +1,4 @@
-"""Domain tables over the source tables: transfers, flows between users and nations, daily prices, balances, executions.
+"""Domain tables over the source tables: transfers, flows between users and nations, daily prices, balances, trades.
 
 Each view exists twice: as a DataFrame, and as SQL text for the engine that results are compared with.
 """
@@ -38,10 +38,10 @@ def user_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("src"), nxt.alias("dst"), "value", "ts", F.col("event_type").alias("chain")).filter("dst is not null")
 
 
-def nation_flow(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFrame:
-    """The largest flows out of each nation: src, dst, n, value; no loops."""
+def nation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows between nations: src, dst, n, value; no loops."""
     line, orders, customer, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier"))
-    flows = (
+    return (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -49,8 +49,12 @@ def nation_flow(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFrame:
         .agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value"))
         .filter("src <> dst")
     )
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("value"), "dst"))
-    return flows.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")
+
+
+def strong_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between users by transfers of at least 95: src, dst, n, value, ts (the first); no loops. A sparse graph that grows with the table."""
+    big = user_flow(spark, sf_dir).filter("value >= 95 AND src <> dst")
+    return big.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.min("ts").alias("ts"))
 
 
 def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +119,10 @@ SQL = {
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "user_flow": """SELECT * FROM (SELECT event_id, user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst,
       value, ts, event_type AS chain FROM events) WHERE dst IS NOT NULL""",
-    "nation_flow": """SELECT src, dst, n, value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM (
-      SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value
+    "nation_flow": """SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-      WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE r <= 3""",
+      WHERE c_nationkey <> s_nationkey GROUP BY 1, 2""",
+    "strong_flow": """SELECT src, dst, count(*) AS n, round(sum(value), 2) AS value, min(ts) AS ts FROM user_flow WHERE value >= 95 AND src <> dst GROUP BY 1, 2""",
     "price_series": """SELECT p_brand AS token, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price, sum(l_quantity) AS volume
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "raw_transfers": """SELECT CASE WHEN event_id % 29 = 0 THEN NULL ELSE '0x' || md5(CAST(event_id AS VARCHAR)) END AS hash,
@@ -139,7 +143,8 @@ SQL = {
 
 def with_views(sql: str) -> str:
     """Puts the views that a query names before it, as common table expressions."""
-    used = [v for v in SQL if v in sql or (v == "transfers" and "balances" in sql)]
+    below = {"transfers": "balances", "user_flow": "strong_flow"}
+    used = [v for v in SQL if v in sql or (v in below and below[v] in sql)]
     ctes = ", ".join(f"{v} AS ({SQL[v]})" for v in used)
     body = sql.strip()
     if not ctes:
