@@ -156,6 +156,10 @@ def fold_merges(word: Column, literal: Column, again: bool = True) -> Column:
     return let(literal, fold)
 
 
+#: Fixed value: a public pattern whose matches in a run of letters, with a space before and marks behind, are known without a search.
+LETTERS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Splitter:
     """Splits texts by the pattern, a run between single spaces at a time where that is the same."""
 
@@ -164,10 +168,21 @@ class Splitter:
         plain = pattern.replace(r"[^\s", rf"[^{space}").replace(r"\s", space).replace(r"\S", r"\P{White_Space}")
         self.words = regex.compile(plain)
         self.odd = regex.compile(rf"(?:^|{space}) | (?:$|{space})")
+        self.known = pattern == LETTERS_FIRST
 
     def runs(self, text: str) -> list[str] | None:
         """The runs after the first, each with a space before it in the text; None where spaces are not single."""
-        return None if self.odd.search(text) else text.split(" ")
+        parts = text.split(" ")
+        single = "" not in parts and (text.isprintable() or not self.odd.search(text))  # printable: no white space but the space
+        return parts if single else None
+
+    def of_run(self, run: str) -> list[str]:
+        """The words of a run and the space before it."""
+        if self.known:
+            letters = run.rstrip(".,;:!?")
+            if letters.isalpha():
+                return [" " + letters] if len(letters) == len(run) else [" " + letters, run[len(letters) :]]
+        return self.words.findall(" " + run)
 
 
 @lru_cache(maxsize=2)
@@ -206,29 +221,34 @@ class Block:
         if parts is None:
             self.texts.append(self.number(self.split.words.findall(text)))
             return
-        out = [self.number(self.split.words.findall(parts[0]))]
-        for run in parts[1:]:
-            found = self.runs.get(run)
-            if found is None:
-                self.runs[run] = found = self.number(self.split.words.findall(" " + run))
-            out.append(found)
+        out = list(map(self.runs.get, parts))
+        out[0] = self.number(self.split.words.findall(parts[0]))
+        if None in out:
+            for i, run in enumerate(parts):
+                if out[i] is None:
+                    found = self.runs.get(run)
+                    if found is None:
+                        self.runs[run] = found = self.number(self.split.of_run(run))
+                    out[i] = found
         self.texts.append(b"".join(out))
 
     def close(self, number: int, kept: list[str]) -> pa.RecordBatch:
         """One row; its words are in order of part and word, and numbered so."""
-        listed = sorted((zlib.crc32(w[:ALIKE].encode()) % PARTS, w) for w in self.words)
+        words = sorted(self.words)
+        part = np.fromiter((zlib.crc32(w[:ALIKE].encode()) % PARTS for w in words), np.int32, len(words))
+        order = np.argsort(part, kind="stable")
+        listed, part = [words[i] for i in order.tolist()], part[order]
         new = np.zeros(len(listed), np.uint32)
-        new[[self.words[w] for _, w in listed]] = np.arange(len(listed), dtype=np.uint32)
+        new[np.fromiter(map(self.words.get, listed), np.int64, len(listed))] = np.arange(len(listed), dtype=np.uint32)
         counts = np.array([len(t) // 4 for t in self.texts], np.int32)
         refs = new[np.frombuffer(b"".join(self.texts), "<u4")] if counts.sum() else np.zeros(0, np.uint32)
-        part = np.array([p for p, _ in listed], np.int32)
         starts = np.flatnonzero(np.diff(part, prepend=-1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array([*starts, len(listed)], pa.int32()), pa.array([w for _, w in listed], pa.string()))
-        words = pa.StructArray.from_arrays([pa.array(part[starts], pa.int32()), lists], names=["part", "words"])
+        lists = pa.ListArray.from_arrays(pa.array([*starts, len(listed)], pa.int32()), pa.array(listed, pa.string()))
+        grouped = pa.StructArray.from_arrays([pa.array(part[starts], pa.int32()), lists], names=["part", "words"])
         rows = pa.Table.from_batches(self.rows).combine_chunks()
         docs = pa.StructArray.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns), pa.array(counts)], names=[*kept, "_words"])
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(words), one(docs), pa.array([pack(refs)], pa.binary())], names=["block", "words", "docs", "refs"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(grouped), one(docs), pa.array([pack(refs)], pa.binary())], names=["block", "words", "docs", "refs"])
 
 
 def cut_blocks(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> DataFrame:
