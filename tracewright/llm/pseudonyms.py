@@ -123,7 +123,19 @@ def phone(match: Column, key: str) -> Column:
 
 
 def social(match: Column, key: str) -> Column:
-    return let(permuted_digits(digits_of(match), key, "ssn"), lambda made: refill(match, made))
+    """Valid numbers are counted through (areas 001 to 665 and 667 to 899, groups from 01, serials from 0001) and permuted among themselves."""
+
+    def new(d: Column) -> Column:
+        area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+        place = ((area - F.when(area < 666, 1).otherwise(2)) * 99 + (group - 1)) * 9999 + (serial - 1)
+        return let(permuted(place, F.lit(898 * 99), F.lit(9999), key, "ssn"), written)
+
+    def written(v: Column) -> Column:
+        area = F.floor(v / (99 * 9999)).cast("long") + 1
+        parts = (area + F.when(area >= 666, 1).otherwise(0), F.pmod(F.floor(v / 9999).cast("long"), F.lit(99)) + 1, F.pmod(v, F.lit(9999)) + 1)
+        return F.concat(*[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)])
+
+    return let(let(digits_of(match), new), lambda made: refill(match, made))
 
 
 def address(match: Column, key: str) -> Column:
@@ -175,7 +187,8 @@ def mod97(text: Column) -> Column:
 
 
 def is_iban(match: Column) -> Column:
-    return let(F.regexp_replace(match, " ", ""), lambda b: mod97(F.concat(F.substring(b, F.lit(5), F.lit(40)), F.substring(b, 1, 4))) == 1)
+    """Check digits from 02 to 98 that are right; 00, 01 and 99 would be second ways to write others."""
+    return let(F.regexp_replace(match, " ", ""), lambda b: F.substring(b, 3, 2).between("02", "98") & (mod97(F.concat(F.substring(b, F.lit(5), F.lit(40)), F.substring(b, 1, 4))) == 1))
 
 
 def day(match: Column, key: str, form: str) -> Column:
@@ -186,28 +199,55 @@ def day(match: Column, key: str, form: str) -> Column:
     return F.when(date.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), new)
 
 
-def mail(match: Column, key: str) -> Column:
-    """The name becomes letters and digits of a keyed digest in the form of the old name; the domain stays."""
-    name, domain = F.regexp_extract(match, "^([^@]*)@", 1), F.regexp_extract(match, "(@.*)$", 1)
-    return let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(match), F.lit(key)), 256), lambda h: F.concat(_drawn(name, h, key), domain))
+def permuted_text(text: Column, key: str, kind: str, ranges: tuple[tuple[str, str], ...]) -> Column:
+    """Permutes a text among those of its form: each character stays in its range of characters, others stay themselves.
 
+    A Feistel network over the two halves of the characters: a round moves each character of one half along its range by a
+    byte of a digest of the other half, which can be taken back, so different texts of one form never meet. Halves of any length.
+    """
 
-def secret(match: Column, key: str) -> Column:
-    """What follows a leading AKIA, or the sign of an assignment, is drawn anew in its form."""
-    head = F.regexp_extract(match, r"""^(AKIA|[A-Za-z_]+\s*[=:]\s*["']?)""", 1)
-    return let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), match, F.lit(key)), 256), lambda h: F.concat(head, _drawn(F.substring(match, F.length(head) + 1, F.lit(1 << 20)), h, key)))
+    def moved(c: Column, by: Column) -> Column:
+        found = c
+        for low, high in ranges:
+            first, many = ord(low), ord(high) - ord(low) + 1
+            found = F.when(c.between(low, high), F.char(F.lit(first) + F.pmod(F.ascii(c) - first + by, F.lit(many)))).otherwise(found)
+        return found
+
+    def bytes_for(other: Column, n: Column, i: Column) -> Column:
+        """Twice n hexadecimal digits and more."""
+        said = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), n.cast("string"), F.array_join(other, ""), F.lit(key))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda k: F.sha2(F.concat_ws("|", said, k.cast("string")), 256)), "")
 
+    def half(own: Column, other: Column, i: Column) -> Column:
+        return let(bytes_for(other, F.size(own), i), lambda h: F.transform(own, lambda c, j: moved(c, F.conv(F.substring(h, 2 * j + 1, F.lit(2)), 16, 10).cast("int"))))
 
-def _drawn(text: Column, digest: Column, key: str) -> Column:
-    """Letters and digits of text drawn from a digest: small, capital and decimal each stay what they are, marks stay."""
+    def turn(s: Column, i: Column) -> Column:
+        odd = F.pmod(i, F.lit(2)) == 1
+        return F.struct(F.when(odd, s["a"]).otherwise(half(s["a"], s["b"], i)).alias("a"), F.when(odd, half(s["b"], s["a"], i)).otherwise(s["b"]).alias("b"))
+
+    def start(c: Column) -> Column:
+        middle = F.floor(F.size(c) / 2).cast("int")
+        return F.struct(F.slice(c, F.lit(1), middle).alias("a"), F.slice(c, middle + 1, F.size(c)).alias("b"))
+
+    rounds = F.array(*[F.lit(i) for i in range(ROUNDS)])
+    return F.when(text == "", text).otherwise(let(F.split(text, ""), lambda c: F.aggregate(rounds, start(c), turn, lambda s: F.array_join(F.concat(s["a"], s["b"]), ""))))
+
+
+def mail(match: Column, key: str) -> Column:
+    """The name is permuted among names of its form, whatever the case of its letters, which stays; the domain stays and counts."""
+    name, domain = F.regexp_extract(match, "^([^@]*)@", 1), F.regexp_extract(match, "(@.*)$", 1)
+
+    def cased(made: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(name, ""), F.split(made, ""), lambda old, new: F.when(old.between("A", "Z"), F.upper(new)).otherwise(new)), "")
 
-    def one(c: Column, i: Column) -> Column:
-        hexed = F.when(i < 60, F.substring(digest, i + 1, F.lit(4))).otherwise(F.substring(F.sha2(F.concat_ws("|", digest, i.cast("string"), F.lit(key)), 256), F.lit(1), F.lit(4)))
-        n = F.conv(hexed, 16, 10).cast("int")
-        letter = lambda first, many: F.char((F.lit(first) + F.pmod(n, F.lit(many))).cast("int"))
-        return F.when(c.between("0", "9"), letter(48, 10)).when(c.between("a", "f"), letter(97, 6)).when(c.between("g", "z"), letter(97, 26)).when(c.between("A", "Z"), letter(65, 26)).otherwise(c)
+    return F.concat(let(permuted_text(F.lower(name), key, "mail", (("0", "9"), ("a", "z"))), cased), domain)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+def secret(match: Column, key: str) -> Column:
+    """What follows a leading AKIA, or the sign of an assignment, is permuted in its form; hexadecimal stays hexadecimal."""
+    head = F.regexp_extract(match, r"""^(AKIA|[A-Za-z_]+\s*[=:]\s*["']?)""", 1)
+    body = F.substring(match, F.length(head) + 1, F.length(match))
+    return F.concat(head, permuted_text(body, key, "secret", (("0", "9"), ("a", "f"), ("g", "z"), ("A", "F"), ("G", "Z"))))
 
 
 @dataclass(frozen=True)
@@ -381,11 +421,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple
     for level in sorted({k.level for k in kinds} - {0}):
         tokens = _search(tokens, [k for k in kinds if k.level == level])
     some = F.regexp_like(text, F.lit("[0-9@=:]|AKIA")) & F.regexp_like(text, F.lit(whole))  # every kind has one of these marks
-    staged = docs.withColumn("_pii", F.when(some, tokens))
-    joined = F.array_join(F.transform("_pii", lambda x: new(x["t"], x["k"])), "")
-    names = F.coalesce(F.filter(F.transform("_pii", lambda x: x["k"]), lambda k: k != ""), F.array().cast("array<string>"))
+    staging = next(name for name in (f"_pii{'_' * k}" for k in range(len(docs.columns) + 1)) if name not in docs.columns)
+    staged = docs.withColumn(staging, F.when(some, tokens))
+    joined = F.array_join(F.transform(staging, lambda x: new(x["t"], x["k"])), "")
+    names = F.coalesce(F.filter(F.transform(staging, lambda x: x["k"]), lambda k: k != ""), F.array().cast("array<string>"))
     order = [c for c in docs.columns if c not in (found_col, count_col)]
-    out = staged.withColumn(text_col, F.when(F.col("_pii").isNotNull(), joined).otherwise(text)).withColumn(found_col, names)
+    out = staged.withColumn(text_col, F.when(F.col(staging).isNotNull(), joined).otherwise(text)).withColumn(found_col, names)
     return out.withColumn(count_col, F.size(found_col).cast("long")).select(*order, found_col, count_col)
 
 
