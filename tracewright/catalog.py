@@ -203,7 +203,7 @@ on(source("events"), "w09_sessions", """WITH m AS (SELECT *, CASE WHEN epoch_us(
   SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM g GROUP BY user_id, k""")(lambda e: series.sessions(e, "user_id", "ts", "event_id", 3600))
 on(source("events"), "w11_recency", """WITH g AS (SELECT user_id, max(epoch_us(ts)) AS t FROM events GROUP BY 1) SELECT user_id, round((t - min(t) OVER ()) / greatest(max(t) OVER () - min(t) OVER (), 1000000), 6) AS recency FROM g""")(lambda e: series.recency(e, "user_id", "ts"))
 on(T, "m01_m03_zscores", """WITH g AS (SELECT chain, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM transfers GROUP BY 1), z AS (SELECT tx_id, transfers.chain, abs(value - m) / d AS z FROM transfers JOIN g ON transfers.chain = g.chain WHERE n >= 100 AND d > 0)
-  SELECT tx_id, chain, round(z, 4) AS z, CASE WHEN z > 6 THEN 'CRITICAL' WHEN z > 4 THEN 'HIGH' WHEN z > 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity, round(least(0.95, 0.5 + z / 8 * 0.5), 4) AS confidence FROM z WHERE z > 2""")(lambda t: series.zscores(t, "chain", "tx_id", "value", 2.0, 100))
+  SELECT tx_id, chain, round(z, 4) AS z, CASE WHEN z > 4.5 THEN 'CRITICAL' WHEN z > 3 THEN 'HIGH' WHEN z > 2.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity, round(least(0.95, 0.5 + z / 6 * 0.5), 4) AS confidence FROM z WHERE z > 1.5""")(lambda t: series.zscores(t, "chain", "tx_id", "value", 1.5, 100))
 on(P, "m02_iqr_outliers", """WITH g AS (SELECT token, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM price_series GROUP BY 1),
   r AS (SELECT p.token, p.day, CASE WHEN price > q3 THEN price - q3 ELSE q1 - price END / (q3 - q1) AS off FROM price_series p JOIN g ON p.token = g.token WHERE q3 > q1) SELECT day, token, round(off, 4) AS score FROM r WHERE off > 1.5""")(lambda s: series.iqr_outliers(s, "token", "day", "price"))
 on(P, "m05_threshold_outliers", "WITH g AS (SELECT token, avg(price) AS m, stddev_samp(price) AS d FROM price_series GROUP BY 1) SELECT p.day, p.token FROM price_series p JOIN g ON p.token = g.token WHERE abs(price - m) > 3 * d")(lambda s: series.threshold_outliers(s, "token", "day", "price"))
@@ -277,18 +277,9 @@ query("k10_count_up", "SELECT user_id, CAST(count(*) + CASE WHEN user_id % 2 = 0
 
 # Retrieval and evidence
 
-_DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-query("v01_cosine_knn", f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({_DOT} / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) AS similarity
-    FROM embeddings v JOIN embeddings q ON q.vec_id < 3 AND v.label = q.label), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INT) AS rank FROM s) SELECT qid, rank, id, similarity FROM r WHERE rank <= 10 AND similarity >= 0.2""")(
-    lambda s, d: retrieval.nearest(
-        table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), table(s, d, "embeddings").filter("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("qlabel")), 10, 0.2, "label"
-    )
-)
 on(source("documents"), "v07_keyword_search", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0)) AS t, contains(lower(text), 'the and') AS direct FROM documents),
   s AS (SELECT doc_id, round(CASE WHEN direct THEN 0.9 WHEN len(list_intersect(t, ['the', 'and'])) > 0 THEN 0.5 + 0.4 * len(list_intersect(t, ['the', 'and'])) / 2 END, 6) AS score FROM w)
   SELECT doc_id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20""")(lambda t: retrieval.keyword_search(t, "the and", "doc_id", "text", 20))
-on(source("documents"), "v06_chunks", """WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 201) + 1, 800)) AS pos FROM documents WHERE length(text) > 0)
-  SELECT doc_id, CAST(pos // 800 AS INT) AS chunk_index, substr(text, CAST(pos + 1 AS INT), 1000) AS content FROM c""")(lambda t: retrieval.chunks(t, "doc_id", "text"))
 on(source("events"), "m14_evidence_quality", """SELECT event_id, round(0.5 + 0.2 * least(1, value / 100) + 0.1 * CASE event_type WHEN 'signup' THEN 0.9 WHEN 'purchase' THEN 0.8 ELSE 0.5 END + 0.2 * (0.4 * 1 + 0.4 * CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END + 0.2), 6) AS quality FROM events""")(
     lambda e: e.select("event_id", evaluation.evidence_quality(F.least(F.lit(1.0), F.col("value") / 100), F.when(F.col("event_type") == "signup", "human").when(F.col("event_type") == "purchase", "external").otherwise("llm"), F.lit(True), F.pmod("user_id", F.lit(2)) == 0, F.lit(True)).alias("quality"))
 )
@@ -316,4 +307,4 @@ def g36_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
-from tracewright import catalog_flows, catalog_graphs, catalog_loads  # noqa: E402, F401  they register their queries
+from tracewright import catalog_findings, catalog_flows, catalog_graphs, catalog_loads  # noqa: E402, F401  they register their queries

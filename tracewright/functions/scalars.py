@@ -75,3 +75,16 @@ def rule_severity(rules: dict[str, dict[str, float]], other: str = "LOW") -> Col
             hit = hit & (F.col(column) >= bound)
         found = F.when(hit, F.lit(name)).otherwise(found)
     return found
+
+
+def text_similarity(a: str, b: str) -> Column:
+    """1 less the edit distance over the longer length; 1 for two empty texts, null where one is null."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def vector_facts(v):
+    """(vec_id, total, last, high, positive, unit) of short vectors e: sum, last and largest component, whether all are over 0, the first over the length."""
+    e = F.col("e")
+    length = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
+    return v.select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.element_at(e, -1), 6).alias("last"), F.round(F.array_max(e), 6).alias("high"), F.forall(e, lambda x: x > 0).alias("positive"), F.round(F.try_divide(F.get(e, F.lit(0)), length), 5).alias("unit"))

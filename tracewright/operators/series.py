@@ -184,3 +184,11 @@ def seasonal_outliers(e: DataFrame, ts: str, c: float) -> DataFrame:
     q = quantiles(r, "_k", "_r", {"_a": 0.25, "_b": 0.75}).select("_a", "_b")
     out = r.drop("_k").crossJoin(F.broadcast(q)).filter((F.col("_r") > F.col("_b") + c * (F.col("_b") - F.col("_a"))) | (F.col("_r") < F.col("_a") - c * (F.col("_b") - F.col("_a"))))  # one row
     return out.select("hour", F.round("_r", 6).alias("residual"))
+
+
+def baselines(s: DataFrame, lookback: int, price_pct: float, volume_pct: float) -> DataFrame:
+    """(token, day, price_pct, volume_pct, pump): prices and volumes over the mean of the last lookback rows, this one included, once there are so many."""
+    w = Window.partitionBy("token").orderBy("day").rowsBetween(-(lookback - 1), 0)
+    p, v = 100 * (F.col("price") / F.avg("price").over(w) - 1), 100 * (F.col("volume") / F.avg("volume").over(w) - 1)
+    b = s.select("token", "day", p.alias("_p"), v.alias("_v"), F.count("*").over(w).alias("_n")).filter(F.col("_n") == lookback)
+    return b.select("token", "day", F.round("_p", 4).alias("price_pct"), F.round("_v", 4).alias("volume_pct"), ((F.col("_p") > price_pct) & (F.col("_v") > volume_pct)).alias("pump"))
