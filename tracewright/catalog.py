@@ -80,20 +80,20 @@ on(T, "a10_a14_flow_profile", """WITH o AS (SELECT src AS address, count(*) AS n
 on(T, FLAGSHIP, """WITH s AS (SELECT src AS address, 0.0 AS i, value AS o, chain, ts FROM transfers UNION ALL SELECT dst, value, 0.0, chain, ts FROM transfers),
   r AS (SELECT address, sum(i) AS i, sum(o) AS o, count(*) AS n_tx, sum(CASE WHEN i > 0 THEN 1 ELSE 0 END) AS n_in, sum(CASE WHEN o > 0 THEN 1 ELSE 0 END) AS n_out,
     string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains, count(DISTINCT chain) AS nc, min(ts) AS first_seen, max(ts) AS last_seen FROM s GROUP BY 1)
-  SELECT address, round(i, 2) AS in_usd, round(o, 2) AS out_usd, round(i - o, 2) AS net_usd, n_tx, chains, first_seen, last_seen,
+  SELECT address, round(i, 4) AS in_usd, round(o, 4) AS out_usd, round(i - o, 4) AS net_usd, n_tx, chains, first_seen, last_seen,
     CASE WHEN i - o > 0 AND i - o > 0.8 * i THEN 'ACCUMULATOR' WHEN i - o < 0 AND abs(i - o) > 0.8 * o THEN 'SOURCE' ELSE 'NEUTRAL' END AS label,
     CAST(least(100, CASE WHEN n_in >= 5 THEN least(20, n_in) ELSE 0 END + CASE WHEN n_out >= 5 THEN least(20, n_out) ELSE 0 END + CASE WHEN nc > 1 THEN 5 * nc ELSE 0 END
       + CASE WHEN i + o > 1e6 THEN 25 WHEN i + o > 1e5 THEN 15 WHEN i + o > 1e4 THEN 5 ELSE 0 END
       + CASE WHEN greatest(i, o) > 0 AND least(i, o) / greatest(i, o) > 0.9 THEN 20 WHEN greatest(i, o) > 0 AND least(i, o) / greatest(i, o) > 0.7 THEN 10 ELSE 0 END) AS BIGINT) AS risk FROM r""")(profiles.node_rollup)
 on(T, "a21_flow_metrics", """WITH m AS (SELECT sum(value) AS t, avg(value) AS a, max(value) AS x, count(*) AS n, count(DISTINCT chain) AS chains, count(DISTINCT (src, dst)) AS e, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS h FROM transfers),
   d AS (SELECT count(DISTINCT a) AS addresses FROM (SELECT src AS a FROM transfers UNION ALL SELECT dst FROM transfers))
-  SELECT round(t, 2) AS total_usd, round(a, 4) AS mean_usd, round(x, 2) AS max_usd, n, addresses, chains, round(h, 4) AS hours, round(n / h, 6) AS tx_per_hour, round(t / h, 4) AS usd_per_hour, round(e / (addresses * (addresses - 1)), 8) AS density FROM m, d""")(profiles.flow_metrics)
+  SELECT round(t, 4) AS total_usd, round(a, 4) AS mean_usd, round(x, 4) AS max_usd, n, addresses, chains, round(h, 4) AS hours, round(n / h, 6) AS tx_per_hour, round(t / h, 4) AS usd_per_hour, round(e / (addresses * (addresses - 1)), 8) AS density FROM m, d""")(profiles.flow_metrics)
 on(T, "a23_bridge_usage", """WITH b AS (SELECT *, CASE WHEN dst IN ('S1', 'S2', 'S3') THEN dst ELSE 'unknown' END AS bridge FROM transfers),
   g AS (SELECT chain, bridge, count(*) AS n, sum(value) AS s, avg(value) AS m, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY 1, 2)
-  SELECT chain, bridge, n, round(s, 2) AS total, round(m, 4) AS mean, first_ts, last_ts, CAST(least(100, CASE WHEN bridge = 'unknown' THEN 30 ELSE 0 END + CASE WHEN n > 10 THEN 20 WHEN n > 5 THEN 10 ELSE 0 END
+  SELECT chain, bridge, n, round(s, 4) AS total, round(m, 4) AS mean, first_ts, last_ts, CAST(least(100, CASE WHEN bridge = 'unknown' THEN 30 ELSE 0 END + CASE WHEN n > 10 THEN 20 WHEN n > 5 THEN 10 ELSE 0 END
     + CASE WHEN m > 50000 THEN 20 WHEN m > 10000 THEN 10 ELSE 0 END) AS BIGINT) AS risk FROM g""")(lambda t: profiles.bridge_usage(t, ["S1", "S2", "S3"]))
 on(T, "a24_whale_tiers", """WITH g AS (SELECT src AS wallet, sum(value) AS s, sum(CASE WHEN value >= 90000 THEN 1 ELSE 0 END)::BIGINT AS n_large, max(ts) AS last_active, count(DISTINCT chain) AS chains FROM transfers GROUP BY 1)
-  SELECT wallet, round(s, 2) AS total, n_large, last_active, chains, CASE WHEN s >= 2000000 THEN 'TIER1' WHEN s >= 1000000 THEN 'TIER2' ELSE 'ACTIVE' END AS tier FROM g WHERE s >= 1000000 OR n_large > 0""")(lambda t: profiles.whale_tiers(t, 2e6, 1e6, 9e4))
+  SELECT wallet, round(s, 4) AS total, n_large, last_active, chains, CASE WHEN s >= 2000000 THEN 'TIER1' WHEN s >= 1000000 THEN 'TIER2' ELSE 'ACTIVE' END AS tier FROM g WHERE s >= 1000000 OR n_large > 0""")(lambda t: profiles.whale_tiers(t, 2e6, 1e6, 9e4))
 on(T, "a25_movement_stats", """SELECT tx_type, chain, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, grouping(tx_type, chain)::BIGINT AS level FROM transfers GROUP BY CUBE (tx_type, chain)""")(profiles.movement_stats)
 on(B, "a28_a29_holder_concentration", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY amount, wallet) AS i, row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS k, count(*) OVER (PARTITION BY token) AS n FROM balances),
   g AS (SELECT token, max(n) AS holders, sum(amount) AS s, sum(i * amount) AS w, sum(CASE WHEN k <= greatest(1, floor(n * 0.01)) THEN amount ELSE 0.0 END) AS t1, sum(CASE WHEN k <= greatest(1, floor(n * 0.1)) THEN amount ELSE 0.0 END) AS t10 FROM r GROUP BY 1),
@@ -107,7 +107,7 @@ on(T, "a33_token_rollup", "SELECT token, round(sum(value), 4) AS volume, count(D
     lambda t: t.groupBy("token").agg(F.round(F.sum("value"), 4).alias("volume"), F.countDistinct("src").alias("senders"), F.countDistinct("dst").alias("receivers"))
 )
 on(T, "a43_net_positions", """WITH g AS (SELECT token, chain, sum(CASE WHEN tx_type = 'N' THEN value END) AS b, sum(CASE WHEN tx_type <> 'N' THEN value END) AS s, count(CASE WHEN tx_type = 'N' THEN 1 END) AS buys, count(CASE WHEN tx_type <> 'N' THEN 1 END) AS sells FROM transfers GROUP BY 1, 2)
-  SELECT token, chain, round(b, 2) AS bought, round(s, 2) AS sold, buys, sells FROM g WHERE buys > 1 AND sells > 1 AND abs(b - s) < 0.1 * greatest(b, s)""")(lambda t: profiles.net_positions(t, 1))
+  SELECT token, chain, round(b, 4) AS bought, round(s, 4) AS sold, buys, sells FROM g WHERE buys > 1 AND sells > 1 AND abs(b - s) < 0.1 * greatest(b, s)""")(lambda t: profiles.net_positions(t, 1))
 on(source("events"), "a48_latency", """SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS failed_share, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""")(
     lambda e: evaluation.latency(e, "user_id", "value", F.col("event_type") == "error")
 )

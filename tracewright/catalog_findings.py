@@ -106,8 +106,8 @@ _SYN = [("the", "article"), ("the", "determiner"), ("and", "conjunction"), ("ban
 query("v02_expansion", "SELECT * FROM (VALUES (1, 'the OR article OR determiner OR and OR conjunction'), (2, 'bank OR lender OR loan')) AS v(qid, expansion)")(
     lambda s, d: retrieval.expanded(s.createDataFrame([(1, "The AND"), (2, "bank loan")], "qid int, query string"), s.createDataFrame(_SYN, "word string, synonym string"))
 )
-query("v03_hybrid_rerank", "SELECT doc_id, round(least(1.0, (0.7 * least(1.0, n_chars / 20000.0) + 0.3 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END) * CASE lang WHEN 'de' THEN 1.2 WHEN 'fr' THEN 1.1 ELSE 1.0 END), 6) AS score FROM documents WHERE n_chars IS NOT NULL")(
-    lambda s, d: retrieval.rerank_hybrid(table(s, d, "documents").filter("n_chars IS NOT NULL").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 20000.0).alias("similarity"), F.when(F.col("lang") == "en", 1.0).otherwise(0.5).alias("overlap"), F.when(F.col("lang") == "de", "subgraph").when(F.col("lang") == "fr", "path").otherwise("node").alias("kind"))).select("doc_id", "score")
+query("v03_hybrid_rerank", "SELECT doc_id, round(least(1.0, (0.7 * least(1.0, n_chars / 20011.0) + 0.3 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END) * CASE lang WHEN 'de' THEN 1.2 WHEN 'fr' THEN 1.1 ELSE 1.0 END), 6) AS score FROM documents WHERE n_chars IS NOT NULL")(
+    lambda s, d: retrieval.rerank_hybrid(table(s, d, "documents").filter("n_chars IS NOT NULL").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 20011.0).alias("similarity"), F.when(F.col("lang") == "en", 1.0).otherwise(0.5).alias("overlap"), F.when(F.col("lang") == "de", "subgraph").when(F.col("lang") == "fr", "path").otherwise("node").alias("kind"))).select("doc_id", "score")
 )
 query("v03_recent_rerank", "WITH e AS (SELECT event_id, value / 100 AS s, epoch_us(ts) AS t FROM events), b AS (SELECT min(t) AS lo, max(t) AS hi FROM e) SELECT event_id, round(0.7 * s + 0.3 * (t - lo) / greatest(hi - lo, 1), 6) AS score FROM e, b")(
     lambda s, d: retrieval.rerank_recent(table(s, d, "events").select("event_id", (F.col("value") / 100).alias("similarity"), X.micros(F.col("ts")).alias("t"))).select("event_id", "score")

@@ -51,7 +51,7 @@ def node_rollup(t: DataFrame) -> DataFrame:
         + ladder(balance, [(0.9, 20), (0.7, 10)], 0)
     )
     label = F.when((net > 0) & (net > 0.8 * F.col("i")), "ACCUMULATOR").when((net < 0) & (F.abs(net) > 0.8 * F.col("o")), "SOURCE").otherwise("NEUTRAL")
-    return r.select("address", F.round("i", 2).alias("in_usd"), F.round("o", 2).alias("out_usd"), F.round(net, 2).alias("net_usd"), "n_tx", "chains", "first_seen", "last_seen", label.alias("label"), F.least(F.lit(100), risk).cast("long").alias("risk"))
+    return r.select("address", F.round("i", 4).alias("in_usd"), F.round("o", 4).alias("out_usd"), F.round(net, 4).alias("net_usd"), "n_tx", "chains", "first_seen", "last_seen", label.alias("label"), F.least(F.lit(100), risk).cast("long").alias("risk"))
 
 
 def flow_metrics(t: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def flow_metrics(t: DataFrame) -> DataFrame:
     ends = t.select(F.explode(F.array("src", "dst")).alias("a")).agg(F.countDistinct("a").alias("addresses"))
     m = t.agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.max("value").alias("largest"), F.count("*").alias("n"), F.countDistinct("chain").alias("chains"), F.countDistinct("src", "dst").alias("edges"), ((F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / HOUR_US).alias("hours"))
     return m.crossJoin(ends).select(  # one row each
-        F.round("total", 2).alias("total_usd"), F.round("mean", 4).alias("mean_usd"), F.round("largest", 2).alias("max_usd"), "n", "addresses", "chains", F.round("hours", 4).alias("hours"),
+        F.round("total", 4).alias("total_usd"), F.round("mean", 4).alias("mean_usd"), F.round("largest", 4).alias("max_usd"), "n", "addresses", "chains", F.round("hours", 4).alias("hours"),
         F.round(F.col("n") / F.nullif("hours", F.lit(0.0)), 6).alias("tx_per_hour"), F.round(F.col("total") / F.nullif("hours", F.lit(0.0)), 4).alias("usd_per_hour"),
         F.round(F.col("edges") / (F.col("addresses") * (F.col("addresses") - 1)), 8).alias("density"),
     )
@@ -121,14 +121,14 @@ def bridge_usage(t: DataFrame, known: list[str]) -> DataFrame:
     b = t.withColumn("bridge", F.when(F.col("dst").isin(known), F.col("dst")).otherwise(F.lit("unknown")))
     g = b.groupBy("chain", "bridge").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.avg("value").alias("m"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     risk = F.when(F.col("bridge") == "unknown", 30).otherwise(0) + ladder(F.col("n"), [(10, 20), (5, 10)], 0) + ladder(F.col("m"), [(50_000, 20), (10_000, 10)], 0)
-    return g.select("chain", "bridge", "n", F.round("s", 2).alias("total"), F.round("m", 4).alias("mean"), "first_ts", "last_ts", F.least(F.lit(100), risk).cast("long").alias("risk"))
+    return g.select("chain", "bridge", "n", F.round("s", 4).alias("total"), F.round("m", 4).alias("mean"), "first_ts", "last_ts", F.least(F.lit(100), risk).cast("long").alias("risk"))
 
 
 def whale_tiers(t: DataFrame, tier1: float, tier2: float, large: float) -> DataFrame:
     """Wallets by value moved: TIER1, TIER2, ACTIVE (a large transfer); others are left out."""
     g = t.groupBy(F.col("src").alias("wallet")).agg(F.sum("value").alias("s"), F.sum((F.col("value") >= large).cast("long")).alias("n_large"), F.max("ts").alias("last_active"), F.countDistinct("chain").alias("chains"))
     tier = F.when(F.col("s") >= tier1, "TIER1").when(F.col("s") >= tier2, "TIER2").when(F.col("n_large") > 0, "ACTIVE")
-    return g.select("wallet", F.round("s", 2).alias("total"), "n_large", "last_active", "chains", tier.alias("tier")).filter("tier is not null")
+    return g.select("wallet", F.round("s", 4).alias("total"), "n_large", "last_active", "chains", tier.alias("tier")).filter("tier is not null")
 
 
 def movement_stats(t: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def dominance(t: DataFrame, key: str) -> DataFrame:
     """Share of each key in the total, in percent."""
     g = t.groupBy(key).agg(F.sum("value").alias("s"))
     total = g.agg(F.sum("s").alias("all"))
-    return g.crossJoin(F.broadcast(total)).select(key, F.round("s", 2).alias("total"), F.round(100 * F.col("s") / F.col("all"), 4).alias("pct"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(key, F.round("s", 4).alias("total"), F.round(100 * F.col("s") / F.col("all"), 4).alias("pct"))  # one row
 
 
 def round_amounts(t: DataFrame, value: Column, least: float) -> DataFrame:
@@ -190,7 +190,7 @@ def net_positions(t: DataFrame, least: int) -> DataFrame:
         F.count(F.when(F.col("tx_type") == "N", 1)).alias("buys"), F.count(F.when(F.col("tx_type") != "N", 1)).alias("sells"),
     )
     even = F.abs(F.col("b") - F.col("s")) < 0.1 * F.greatest("b", "s")
-    return g.filter((F.col("buys") > least) & (F.col("sells") > least) & even).select("token", "chain", F.round("b", 2).alias("bought"), F.round("s", 2).alias("sold"), "buys", "sells")
+    return g.filter((F.col("buys") > least) & (F.col("sells") > least) & even).select("token", "chain", F.round("b", 4).alias("bought"), F.round("s", 4).alias("sold"), "buys", "sells")
 
 
 def of_tenant(t: DataFrame, column: str, tenant: object) -> DataFrame:
