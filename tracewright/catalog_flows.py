@@ -221,7 +221,7 @@ on(E, "m13_features", """SELECT event_id, round(ln(1 + value), 6) AS log_value,
     lambda e: e.select("event_id", F.round(F.log1p("value"), 6).alias("log_value"), F.round("value", 1).alias("rounded"), F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"))
 )
 on(P, "m05_level_shift", """WITH w AS (SELECT *, avg(price) OVER a AS x, avg(price) OVER b AS y, count(*) OVER a AS n, count(*) OVER b AS m FROM price_series WINDOW a AS (PARTITION BY token ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY token ORDER BY day ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
-  SELECT token, day, round(y - x, 8) AS shift FROM w WHERE n = 10 AND m = 10 AND abs(y - x) > 0.2 * x""")(lambda s: series.level_shifts(s, "token", "day", "price", 10, 0.2))
+  SELECT token, day, round((y - x) / x, 6) AS shift FROM w WHERE n = 10 AND m = 10 AND abs(y - x) > 0.2 * x""")(lambda s: series.level_shifts(s, "token", "day", "price", 10, 0.2))
 on(P, "m05_volatility_shift", """WITH w AS (SELECT *, stddev_samp(price) OVER a AS x, stddev_samp(price) OVER b AS y, count(*) OVER a AS n, count(*) OVER b AS m FROM price_series WINDOW a AS (PARTITION BY token ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY token ORDER BY day ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
   SELECT token, day, round(y / x, 4) AS ratio FROM w WHERE n = 10 AND m = 10 AND x > 0 AND y > 3 * x""")(lambda s: series.volatility_shifts(s, "token", "day", "price", 10, 3.0))
 on(E, "m05_seasonal", """WITH h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY 1), m AS (SELECT hour(t) AS h, avg(n) AS m FROM h GROUP BY 1), r AS (SELECT t, n - m AS r FROM h JOIN m ON hour(t) = m.h), q AS (SELECT quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.75) AS b FROM r) SELECT t AS hour, round(r, 6) AS residual FROM r, q WHERE r > b + 1.5 * (b - a) OR r < a - 1.5 * (b - a)""")(lambda e: series.seasonal_outliers(e, "ts", 1.5))

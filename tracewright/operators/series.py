@@ -167,8 +167,8 @@ def _sides(s: DataFrame, key: str, order: str, size: int, f, value: str) -> Data
 
 
 def level_shifts(s: DataFrame, key: str, order: str, value: str, size: int, share: float) -> DataFrame:
-    """Rows where the mean of the next size rows differs by a share from that of the size rows before."""
-    return _sides(s, key, order, size, F.avg, value).filter(F.abs(F.col("_y") - F.col("_x")) > share * F.col("_x")).select(key, order, F.round(F.col("_y") - F.col("_x"), 8).alias("shift"))
+    """Rows where the mean of the next size rows differs by a share from that of the size rows before; shift is that share."""
+    return _sides(s, key, order, size, F.avg, value).filter(F.abs(F.col("_y") - F.col("_x")) > share * F.col("_x")).select(key, order, F.round(F.try_divide(F.col("_y") - F.col("_x"), F.col("_x")), 6).alias("shift"))
 
 
 def volatility_shifts(s: DataFrame, key: str, order: str, value: str, size: int, times: float) -> DataFrame:
