@@ -69,8 +69,8 @@ def split_by_hash(df: DataFrame, key: str, shares: dict[str, float], seed: int =
 def oversampled(df: DataFrame, label: str, features: list[str], key: str, seed: int = 42) -> DataFrame:
     """(label, features, made): the rows, and new ones of rarer labels until all have about as many as the most frequent.
 
-    A new row lies between a row and the next one of its label in a seeded order inside a block of rows, at a seeded share of
-    the way, so that no label is gathered in one task.
+    A new row lies between a row and the next one of its label in a seeded order inside a block of rows (the last and the first
+    are neighbours), at a seeded share of the way, so that no label is gathered in one task.
     """
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     most = n.agg(F.max("_n").alias("_most"))
@@ -79,9 +79,9 @@ def oversampled(df: DataFrame, label: str, features: list[str], key: str, seed:
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(64))
     order = Window.partitionBy(label, "_block").orderBy(share(seed), key)
     rows = df.join(F.broadcast(want), label).withColumn("_block", block)  # a row for each label
-    rows = rows.withColumn("_next", F.lead(F.struct(*features)).over(order))
+    rows = rows.withColumn("_next", F.coalesce(F.lead(F.struct(*features)).over(order), F.first(F.struct(*features)).over(order)))
     copies = F.floor(F.col("_extra") + share(seed + 1)).cast("int")
-    made = rows.filter(F.col("_next").isNotNull() & (copies > 0)).withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
+    made = rows.filter(copies > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
     t = F.pmod(F.xxhash64(F.col(key), F.col("_k"), F.lit(seed)), F.lit(1_000_000)) / 1e6
     new = made.select(label, *[(F.col(f) + t * (F.col("_next")[f] - F.col(f))).alias(f) for f in features], F.lit(True).alias("made"))
     return df.select(label, *[F.col(f).cast("double").alias(f) for f in features], F.lit(False).alias("made")).unionByName(new)
