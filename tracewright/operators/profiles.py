@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.scalars import is_round_amount, just_below, ladder, micros, structuring_band
-from tracewright.operators.quantiles import quantiles
+from tracewright.operators.quantiles import counted, quantiles
 
 HOUR_US = 3_600_000_000
 
 
 def flow_profile(t: DataFrame) -> DataFrame:
-    """For each address: transfers and value out and in, net flow, distinct partners each way (0 where there are none)."""
-    out = t.groupBy(F.col("src").alias("address")).agg(F.count("*").alias("n_out"), F.sum("value").alias("out_value"), F.countDistinct("dst").alias("partners_out"))
-    in_ = t.groupBy(F.col("dst").alias("address")).agg(F.count("*").alias("n_in"), F.sum("value").alias("in_value"), F.countDistinct("src").alias("partners_in"))
-    both = out.join(in_, "address", "full_outer")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_out", "partners_out", "n_in", "partners_in")}
-    return both.select(
-        "address",
-        *[v.cast("long").alias(c) for c, v in zero.items()],
-        F.round(F.coalesce("out_value", F.lit(0.0)), 4).alias("out_value"),
-        F.round(F.coalesce("in_value", F.lit(0.0)), 4).alias("in_value"),
-        F.round(F.coalesce("in_value", F.lit(0.0)) - F.coalesce("out_value", F.lit(0.0)), 4).alias("net_flow"),
-    )
+    """For each address: transfers and value out and in, net flow, distinct partners each way (0 where there are none).
+
+    Both ends of a transfer come from one pass over t; sums by pair come first, so partners are counted without a distinct.
+    """
+    side = lambda own, other, o: F.struct(F.col(own).alias("address"), F.col(other).alias("partner"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"), F.col("value"))
+    ends = t.select(F.explode(F.array(side("src", "dst", 1), side("dst", "src", 0))).alias("e")).select("e.*").filter("address IS NOT NULL")
+    pairs = ends.groupBy("address", "partner").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.sum(F.col("o") * F.col("value")).alias("vo"), F.sum(F.col("i") * F.col("value")).alias("vi"))
+    there = F.col("partner").isNotNull()
+    g = pairs.groupBy("address").agg(
+        F.sum("o").cast("long").alias("n_out"), F.count_if(there & (F.col("o") > 0)).alias("partners_out"), F.sum("i").cast("long").alias("n_in"), F.count_if(there & (F.col("i") > 0)).alias("partners_in"),
+        F.coalesce(F.sum("vo"), F.lit(0.0)).alias("vo"), F.coalesce(F.sum("vi"), F.lit(0.0)).alias("vi"),
+    )
+    return g.select("address", "n_out", "partners_out", "n_in", "partners_in", F.round("vo", 4).alias("out_value"), F.round("vi", 4).alias("in_value"), F.round(F.col("vi") - F.col("vo"), 4).alias("net_flow"))
 
 
 def node_rollup(t: DataFrame) -> DataFrame:
@@ -138,16 +139,18 @@ def movement_stats(t: DataFrame) -> DataFrame:
 
 
 def holder_concentration(b: DataFrame) -> DataFrame:
-    """Of each token: holders, Gini index, shares of the top 1 % and 10 % of holders, and a ladder of risk."""
-    up = Window.partitionBy("token").orderBy("amount", "wallet")
-    down = Window.partitionBy("token").orderBy(F.desc("amount"), "wallet")
-    n = F.count("*").over(Window.partitionBy("token"))
-    r = b.withColumn("i", F.row_number().over(up)).withColumn("k", F.row_number().over(down)).withColumn("n", n)
+    """Of each token: holders, Gini index, shares of the top 1 % and 10 % of holders, and a ladder of risk.
+
+    Ranks come from counts of equal amounts in parts by range, so a token with many holders isn't one task.
+    """
+    n, amount = F.col("n"), F.col("amount")
+    above = F.col("total") - F.col("before") - n
 
     def top(share: float) -> Column:
-        return F.sum(F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.col("amount")).otherwise(0.0))
+        cut = F.greatest(F.lit(1), F.floor(F.col("total") * share))
+        return F.sum(F.greatest(F.lit(0), F.least(n, cut - above)) * amount)
 
-    g = r.groupBy("token").agg(F.max("n").alias("holders"), F.sum("amount").alias("s"), F.sum(F.col("i") * F.col("amount")).alias("w"), top(0.01).alias("t1"), top(0.1).alias("t10"))
+    g = counted(b, "token", "amount").groupBy("token").agg(F.max("total").alias("holders"), F.sum(n * amount).alias("s"), F.sum(amount * (n * F.col("before") + n * (n + 1) / 2)).alias("w"), top(0.01).alias("t1"), top(0.1).alias("t10"))
     gini = F.round(F.when(F.col("s") > 0, 2 * F.col("w") / (F.col("holders") * F.col("s")) - (F.col("holders") + 1) / F.col("holders")).otherwise(0.0), 4)
     out = g.select("token", "holders", gini.alias("gini"), F.round(100 * F.col("t1") / F.col("s"), 2).alias("top1_pct"), F.round(100 * F.col("t10") / F.col("s"), 2).alias("top10_pct"))
     risk = ladder(F.col("gini"), [(0.7, 5), (0.5, 3)], 0) + ladder(F.col("top1_pct"), [(50, 4), (20, 2)], 0) + ladder(F.col("top10_pct"), [(80, 3), (50, 1)], 0)
