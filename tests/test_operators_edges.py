@@ -175,7 +175,7 @@ def test_nearest_as_all_pairs(spark):
     assert got == sorted(want)
 
 
-def test_findings_and_streams(spark, sf_dir):
+def test_findings_and_streams(spark, sf_dir, tmp_path):
     items = spark.createDataFrame([(1, "a", "x", 0.5, ["t"]), (2, None, None, None, None)], "id int, category string, source string, confidence double, tags array<string>")
     assert [r["id"] for r in findings.evidence(items, tags=["t"]).collect()] == [1]
     assert [r["id"] for r in findings.text_search(items, "T", ["category"], "tags").collect()] == [1]
@@ -187,6 +187,9 @@ def test_findings_and_streams(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     twice = e.union(e).withColumn("ts", F.col("ts").cast("timestamp"))
     assert flows.once(twice, "ts", "event_id").count() == e.count()
+    twice.write.parquet(f"{tmp_path}/twice")
+    stream = flows.events_from(spark, f"file://{tmp_path}/twice", twice.schema)
+    assert flows.run_available(flows.once(stream, "ts", "event_id")).count() == e.count()
     assert flows.sessions(e, "ts", "user_id").agg(F.sum("n")).first()[0] == e.count()
 
 
@@ -203,3 +206,23 @@ def test_catalogues_reject_what_they_do_not_know(spark):
     (spec,) = catalogue.read_catalogue([plain])
     assert rows_of(catalogue.compile_specification(spec, nodes, edges), "a_id", "b_id") == [(1, 2), (2, 1)]
     assert catalogue.compile_specification(spec, nodes, edges.limit(0)).isEmpty()
+
+
+def test_extremes_go_one_by_one(spark):
+    import statistics
+
+    rng = random.Random(8)
+    values = {k: [rng.gauss(0, 1) for _ in range(30)] + [50.0, 20.0] for k in "ab"}
+    df = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)] + [("one", 0, 1.0), ("none", 0, None)], "k string, i int, v double")
+    got = {(r["k"], r["i"]): r["round"] for r in series.without_extremes(df, "k", "i", "v", 4, 3.0, lambda d: d).collect()}
+    want = {}
+    for k, vs in values.items():
+        left = dict(enumerate(vs))
+        for n in range(1, 5):
+            m, d = statistics.mean(left.values()), statistics.stdev(left.values())
+            far = max(left, key=lambda i: (round(abs(left[i] - m) / d, 9), -i))
+            if abs(left[far] - m) / d <= 3:
+                break
+            want[k, far] = n
+            del left[far]
+    assert got == want and len(want) >= 4

@@ -10,7 +10,8 @@ from tracewright import views
 from tracewright.functions import scalars as X
 from tracewright.operators import chunking, findings, retrieval, series
 from tracewright.operators.quantiles import quantiles
-from tracewright.plans import catalogue
+from tracewright.lineage import written
+from tracewright.plans import catalogue, patterns
 from tracewright.registry import on, query, source
 from tracewright.streaming import flows
 from tracewright.views import table
@@ -158,3 +159,21 @@ on(E, "st16_budget_alerts", "SELECT user_id, CAST(ts AS DATE) AS day, round(sum(
 on(E, "st17_timeouts", "SELECT event_id, CASE WHEN value > 50 THEN 'proceed' ELSE 'abort' END AS outcome FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-15 00:00:00'")(
     lambda e: findings.timed_out(e.withColumn("status", F.when(F.col("event_type") == "signup", "open").otherwise("done")).withColumn("timeout_at", F.col("ts").cast("timestamp")), F.lit("2024-01-15 00:00:00").cast("timestamp"), F.col("value") > 50).select("event_id", "outcome")
 )
+
+# Further features
+
+on(views.transfers, "f01_operators", "SELECT tx_id FROM transfers WHERE tx_type = 'R' AND status <> 'O' AND chain IN ('ASIA', 'EUROPE') AND value > 1000 AND value <= 60000 AND quantity >= 5 AND quantity < 45")(
+    lambda t: t.filter(patterns.predicates({"tx_type": "R", "status": {"$ne": "O"}, "chain": {"$in": ["ASIA", "EUROPE"]}, "value": {"$gt": 1000, "$lte": 60000}, "quantity": {"$gte": 5, "$lt": 45}})).select("tx_id")
+)
+on(views.transfers, "m12_flags", "SELECT tx_id, CAST(hour(ts) AS INT) AS hour, round(value / 1000) * 1000 = value AS rounded, (value > 9000 AND value < 10000) OR (value > 4500 AND value < 5000) AS just_below FROM transfers")(
+    lambda t: t.select("tx_id", F.hour("ts").alias("hour"), (F.round(F.col("value") / 1000) * 1000 == F.col("value")).alias("rounded"), X.just_below(F.col("value")).alias("just_below"))
+)
+on(E, "p10_typed_json", """SELECT event_id, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","user_id":' || user_id || '}' AS json FROM events""")(
+    lambda e: e.select("event_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "user_id")).alias("json"))
+)
+on(E, "x09_maps", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) AS entries, coalesce(max(CASE WHEN event_type = 'click' THEN n END), 0) AS clicks FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")(
+    lambda e: X.sorted_entries(e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m")), "user_id", "m", "click")
+)
+on(P, "m05_autoregression", """WITH p AS (SELECT *, lag(price) OVER (PARTITION BY token ORDER BY day) AS b FROM price_series), q AS (SELECT * FROM p WHERE b IS NOT NULL), l AS (SELECT token, regr_slope(price, b) AS s, regr_intercept(price, b) AS i FROM q GROUP BY 1),
+  r AS (SELECT q.token, day, price - (i + s * b) AS r FROM q JOIN l ON q.token = l.token), d AS (SELECT token, stddev_pop(r) AS d FROM r GROUP BY 1) SELECT r.token, day, round(r, 3) AS residual FROM r JOIN d ON r.token = d.token WHERE abs(r) > 3 * d""")(lambda s: series.autoregression_outliers(s, "token", "day", "price", 3))
+on(P, "m05_without_extremes", None)(lambda s: series.without_extremes(s, "token", "day", "price", 5, 3.0, written))

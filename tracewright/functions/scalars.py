@@ -88,3 +88,10 @@ def vector_facts(v):
     e = F.col("e")
     length = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
     return v.select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.element_at(e, -1), 6).alias("last"), F.round(F.array_max(e), 6).alias("high"), F.forall(e, lambda x: x > 0).alias("positive"), F.round(F.try_divide(F.get(e, F.lit(0)), length), 5).alias("unit"))
+
+
+def sorted_entries(df, key: str, column: str, wanted: str):
+    """(key, entries, <wanted>s): a map's entries as name=number, the largest first and then by name, and one entry with 0 where it is missing."""
+    by = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(column), by), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return df.select(key, text.alias("entries"), F.coalesce(F.try_element_at(F.col(column), F.lit(wanted)), F.lit(0)).alias(f"{wanted}s"))

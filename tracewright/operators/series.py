@@ -192,3 +192,30 @@ def baselines(s: DataFrame, lookback: int, price_pct: float, volume_pct: float)
     p, v = 100 * (F.col("price") / F.avg("price").over(w) - 1), 100 * (F.col("volume") / F.avg("volume").over(w) - 1)
     b = s.select("token", "day", p.alias("_p"), v.alias("_v"), F.count("*").over(w).alias("_n")).filter(F.col("_n") == lookback)
     return b.select("token", "day", F.round("_p", 4).alias("price_pct"), F.round("_v", 4).alias("volume_pct"), ((F.col("_p") > price_pct) & (F.col("_v") > volume_pct)).alias("pump"))
+
+
+def autoregression_outliers(s: DataFrame, key: str, order: str, value: str, k: float) -> DataFrame:
+    """(key, order, residual): rows beyond k deviations from what a line through (row before, row) of their key gives; the first row has none."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    pairs = s.withColumn("_b", before).filter(F.col("_b").isNotNull())
+    line = pairs.groupBy(key).agg(F.regr_slope(value, "_b").alias("_slope"), F.regr_intercept(value, "_b").alias("_start"))
+    off = pairs.join(line, key).withColumn("_r", F.col(value) - (F.col("_start") + F.col("_slope") * F.col("_b")))
+    spread = off.groupBy(key).agg(F.stddev_pop("_r").alias("_d"))
+    return off.join(spread, key).filter(F.abs("_r") > k * F.col("_d")).select(key, order, F.round("_r", 3).alias("residual"))
+
+
+def without_extremes(s: DataFrame, key: str, id_col: str, value: str, most: int, k: float, cut) -> DataFrame:
+    """(key, id, round): values taken out one by one, each time a key's farthest from its mean, while it lies beyond k sample deviations of what is left.
+
+    At most so many rounds; a round is a join of the rows with their key's mean and deviation. Of equally far values the smallest id goes.
+    """
+    left, found = s.select(key, id_col, value), None
+    for n in range(1, most + 1):
+        g = left.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d"))
+        far = left.join(g, key).filter(F.col("_d") > 0).withColumn("_z", F.round(F.abs(F.col(value) - F.col("_m")) / F.col("_d"), 9)).filter(F.col("_z") > k)
+        out = cut(far.groupBy(key).agg(F.min(F.struct(F.negate("_z").alias("z"), F.col(id_col).alias("i")))["i"].alias(id_col)).withColumn("round", F.lit(n)))
+        found = out if found is None else found.unionByName(out)
+        if out.isEmpty():
+            break
+        left = cut(left.join(out.select(key, id_col), [key, id_col], "left_anti"))
+    return found

@@ -51,6 +51,14 @@ def predicate(c: Column, wanted: object) -> Column:
     return found
 
 
+def predicates(wanted: dict) -> Column:
+    """All of several columns' predicates."""
+    found = F.lit(True)
+    for c, w in wanted.items():
+        found = found & predicate(F.col(c), w)
+    return found
+
+
 def compile_pattern(p: Pattern, t: DataFrame) -> DataFrame:
     """(pattern, risk, key, the named aggregates, actions): one row for each group that meets the pattern."""
     missing = ({*p.where, *p.group_by} | {c for _, c, _ in p.having.values() if c != "*"}) - {*t.columns}

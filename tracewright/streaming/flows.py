@@ -43,7 +43,9 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "60 seconds", late
 
 
 def once(stream: DataFrame, ts: str, key: str, late: str = "10 minutes") -> DataFrame:
-    """Rows without those whose key came before, within the watermark."""
+    """Rows without those whose key came before, within the watermark; of a table, one row for each key."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates([key])
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return timed.dropDuplicatesWithinWatermark([key]).drop("_ts")
 
