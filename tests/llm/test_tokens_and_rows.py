@@ -36,6 +36,30 @@ def test_byte_bpe_as_tiktoken(docs):
     assert sorted(map(tuple, byte_bpe.token_digests(df).collect())) == sorted(want)
 
 
+def test_long_words_and_ranks_in_any_order(spark, tmp_path):
+    import random
+
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(4)
+    words = ["a" * 100_000, "".join(rng.choice("abcdefghij") for _ in range(20_000)), "日本語" * 2000, "ha" * 5000, "-" * 700 + "=" * 77]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_at(path), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encode_documents(df, path, public_tokenizers.PATTERN).collect()} == {i: enc.encode_ordinary(w) for i, w in enumerate(words)}
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(70)})
+    rng.shuffle(pieces)
+    ranks = {p: i for i, p in enumerate([bytes([b]) for b in range(256)] + pieces)}
+    assert byte_bpe.reopening(ranks)
+    own = tmp_path / "own.tiktoken"
+    own.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % r for p, r in ranks.items()))
+    some = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 90))) for _ in range(200)]
+    folded = spark.createDataFrame([(w,) for w in some], "w string").select(byte_bpe.fold_merges(F.col("w"), byte_bpe.rank_literal(str(own))).alias("ids"))
+    enc = tiktoken.Encoding("odd", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    assert [list(r["ids"]) for r in folded.collect()] == [enc.encode_ordinary(w) for w in some]
+
+
 def test_token_files_as_tokenizers(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -129,6 +153,23 @@ def test_adjacent_numbers_hide_nothing(spark):
             assert value not in got[i]["text"] and got[i]["text"].count(other) == text.count(value)
 
 
+def test_no_two_names_or_social_numbers_share_a_pseudonym(spark):
+    import itertools
+    import string
+
+    names = [*string.ascii_lowercase, *map("".join, itertools.product(string.ascii_lowercase, repeat=2))]
+    df = spark.createDataFrame([(f"{n}@x.org", 1) for n in names], "text string, _pii int")
+    got = pseudonyms.pseudonymize(df, "k")
+    assert got.columns == ["text", "_pii", "pii_found", "n_pii"] and got.select("text").distinct().count() == len(names)
+    assert got.filter(r"text rlike '^[a-z]{1,2}@x\\.org$'").count() == len(names)
+    numbers = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for n in (1, 2, 9998, 9999)]
+    once = pseudonyms.pseudonymize(spark.createDataFrame([(n,) for n in numbers], "text string"), "k")
+    assert once.select("text").distinct().count() == len(numbers)
+    assert {tuple(r["pii_found"]) for r in pseudonyms.pseudonymize(once.select("text"), "k").collect()} == {("ssn",)}
+    cased = [r["text"] for r in pseudonyms.pseudonymize(spark.createDataFrame([("Jane.Doe@x.org",), ("jane.doe@x.org",)], "text string"), "k").collect()]
+    assert cased[0].lower() == cased[1] and cased[0] != cased[1]
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
