@@ -11,7 +11,7 @@ from tracewright.llm.base import fold_of, materialize, table
 from tracewright.llm.byte_bpe import token_digests
 from tracewright.llm.language import UNDETERMINED, fit_languages, predict_languages
 from tracewright.llm.mixing import mix_documents
-from tracewright.llm.near_duplicates import near_duplicates, one_of_each
+from tracewright.llm.near_duplicates import one_of_each
 from tracewright.llm.pseudonyms import DEMO_KEY, pseudonymize
 
 
@@ -28,10 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = one_of_each(near_duplicates(docs, carry=rest))
-    return kept.select(F.col("id").alias("doc_id"), "text", *(F.col("carried")[c].alias(c) for c in rest)).select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more) stays: that with the smallest id."""
+    return one_of_each(docs)
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@
 3. In each bucket, every class is paired with the smallest one. Pairs whose signatures agree well enough are confirmed on
    their full sets. The links give first components.
 4. Buckets still tie different components together. Classes outside the largest component of such a tie are held
-   against all others of the tie, block by block, again by signature first and on full sets then.
+   against all others of the tie, block by block: by signature alone first, and those with a likely partner on full sets then.
 5. Components of all links; the smallest id of each is its name.
 
-No group is gathered in one task: buckets give minima and joins, stars are salted, ties are cut into blocks.
+No group is gathered in one task: buckets give minima and joins, stars are salted, ties are cut into blocks. Sides that hold
+signatures or texts grow with the corpus and are marked for merge joins, so that small and large inputs have one plan.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ _A = (_RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint6
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)[:, None]
 #: Signatures may agree in so much less than the similarity asked for: over 4 standard deviations.
 SLACK = 0.15
-#: Members of a star, or of a tie, in one block.
-STAR_BLOCK, TIE_BLOCK = 400, 512
+#: Members of a star, of a tie with texts, and of a tie with signatures alone, in one block.
+STAR_BLOCK, TIE_BLOCK, SIGNATURE_BLOCK = 400, 512, 4096
 #: Of a broadcast that narrows texts down to candidates; beyond so many candidates it only narrows less.
 SLOTS = 1 << 20
 
@@ -143,21 +144,56 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     return rows.select("center", "role", "node", "text").mapInArrow(run, "node long, center long")
 
 
-def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between different components of a tie.
+def tie_blocks(tied: DataFrame, facts: DataFrame, data: list[str], size: int) -> DataFrame:
+    """(tie, x, y, role, data): a tie's classes outside its largest component, and all of its classes, each cut into blocks that meet pairwise.
 
-    tied: (tie, component, node). A tie's classes outside its largest component are cut into blocks, and so are all of its
-    classes; each pair of such blocks is a group of its own. In a group, a component that has been linked is not tried again.
+    tied: (tie, component, node). facts: node and the rest of data, which come with every copy.
     """
-    least = percent / 100 - SLACK
     per = tied.groupBy("tie", "component").count()
     largest = per.groupBy("tie").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("rest"))
-    largest = largest.select("tie", "main", F.ceil(F.col("all") / TIE_BLOCK).alias("ys"), F.ceil(F.col("rest") / (TIE_BLOCK // 2)).alias("xs"))
-    rows = tied.join(largest, "tie").join(candidates.hint("merge"), "node")
-    data = ["component", "node", "n", "sig", "text"]
+    largest = largest.select("tie", "main", F.ceil(F.col("all") / size).alias("ys"), F.ceil(F.col("rest") / (size // 2)).alias("xs"))
+    rows = tied.join(largest, "tie").join(facts.hint("merge"), "node")
     block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     x = rows.filter("component <> main").select("tie", F.pmod(block, F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"), F.lit(0).alias("role"), *data)
     y = rows.select("tie", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"), F.pmod(block, F.col("ys")).alias("y"), F.lit(1).alias("role"), *data)
+    return x.unionByName(y)
+
+
+def plausible(tied: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Those rows of tied whose signature and size fit some class of the tie in another component. Texts stay where they are.
+
+    Pages with much in common but too little to be linked tie many classes; hardly any of them gets past this.
+    """
+    least = percent / 100 - SLACK
+
+    def run(group: pa.Table) -> pa.Table:
+        role = group.column("role").to_numpy()
+        parts = [group.filter(pa.array(role == k)) for k in (0, 1)]
+        found: set[tuple[int, int]] = set()
+        if all(p.num_rows for p in parts):
+            comp, node, size = ([p.column(c).to_numpy() for p in parts] for c in ("component", "node", "n"))
+            sig = [_matrix(p.column("sig")) for p in parts]
+            for i in range(len(node[0])):
+                fits = (comp[1] != comp[0][i]) & (100 * np.minimum(size[1], size[0][i]) >= percent * np.maximum(size[1], size[0][i]))
+                other = np.flatnonzero(fits)
+                hit = other[(sig[1][other] == sig[0][i]).mean(axis=1) >= least] if len(other) else other
+                if len(hit):
+                    found.add((int(comp[0][i]), int(node[0][i])))
+                    found.update((int(comp[1][j]), int(node[1][j])) for j in hit)
+        tie = group.column("tie").slice(0, 1).to_pylist() * len(found)
+        return pa.table({"tie": pa.array(tie, pa.int64()), "component": pa.array([c for c, _ in found], pa.int64()), "node": pa.array([n for _, n in found], pa.int64())})
+
+    groups = tie_blocks(tied, candidates.select("node", "n", "sig"), ["component", "node", "n", "sig"], SIGNATURE_BLOCK)
+    return groups.groupBy("tie", "x", "y").applyInArrow(run, "tie long, component long, node long").distinct()
+
+
+def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components of a tie, confirmed on their full sets, a group for each pair of blocks.
+
+    In a group, a component that has been linked is not tried again.
+    """
+    least = percent / 100 - SLACK
+    groups = tie_blocks(tied, candidates, ["component", "node", "n", "sig", "text"], TIE_BLOCK)
 
     def run(group: pa.Table) -> pa.Table:
         role = group.column("role").to_numpy()
@@ -193,18 +229,35 @@ def confirm_ties(tied: DataFrame, candidates: DataFrame, words: int, percent: in
                         links.append((node[0][i], node[1][j]))
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
-    return x.unionByName(y).groupBy("tie", "x", "y").applyInArrow(run, "u long, v long")
+    return groups.groupBy("tie", "x", "y").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row, id, text, carried, n, component, component_id) for each input row; n is the size of its shingle set.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(row, id, n, component, component_id) for each input row; n is the size of its shingle set.
 
     Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
     links reach. Null and empty texts, and those without words, are linked with nothing and are their own component
     (component is null there); null ids are never the smallest unless a component has no other. Rows with equal ids are rows
-    of their own. row numbers the input rows of this call. carried is a struct of the columns in carry;
-    others are not read. An empty table gives an empty result.
+    of their own. row numbers the input rows of this call. Other columns are not read. An empty table gives an empty result.
     """
+    return _decided(docs, id_col, text_col, words, percent, ())[1]
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: of each component the row with its smallest id, the first if there are several, and all rows without words.
+
+    What stays is decided without texts, which are shuffled once, in the end.
+    """
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    described, found = _decided(docs, id_col, text_col, words, percent, rest)
+    named = found.filter(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
+    stays = named.groupBy("component").agg(F.min("row").alias("row")).select("row").union(found.filter(F.col("component").isNull()).select("row"))
+    kept = described.select("row", "id", "text", "carried").join(stays, "row", "left_semi")
+    return kept.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col("carried")[c].alias(c) for c in rest)).select(*docs.columns)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows as describe() gives them, and near_duplicates() of them, both read from the shared folder."""
     described = materialize(describe(docs, id_col, text_col, words, carry), "described")
     real = described.filter("n > 0")
     members = real.groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("id").alias("least"))
@@ -227,22 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = connected_components(bridges, "c1", "c2").select(F.col("node").alias("component"), F.col("component").alias("tie"))
     everyone = placed(candidates.select("node"), "node", "component")
     tied = materialize(everyone.join(ties, "component").select("tie", "component", "node"), "tied")
-    more = materialize(confirm_ties(tied, candidates, words, percent), "more")
+    close = materialize(plausible(tied, candidates, percent), "close")
+    more = materialize(confirm_ties(close, candidates, words, percent), "more")
     final = connected_components(links.select(F.col("node").alias("u"), F.col("center").alias("v")).unionByName(more))
 
     named = members.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("h1", "h2", "n", "component_id", "component")
-    rows = described.drop("sig").join(named, ["h1", "h2", "n"], "left")
-    return rows.select("row", "id", "text", "carried", "n", "component", F.coalesce("component_id", "id").alias("component_id"))
-
-
-def one_of_each(found: DataFrame) -> DataFrame:
-    """The rows of near_duplicates() that stay: of each component the row with its smallest id, the first if there are several, and all rows without words."""
-    named = found.filter(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
-    first = named.groupBy("component").agg(F.min("row").alias("row")).select("row")
-    alone = found.filter(F.col("component").isNull())
-    return found.join(first, "row", "left_semi").unionByName(alone)
+    rows = described.select("row", "id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    return described, materialize(rows.select("row", "id", "n", "component", F.coalesce("component_id", "id").alias("component_id")), "decided")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
