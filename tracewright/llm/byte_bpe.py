@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tracewright.llm.base import shared_dir, table
 
 #: Buckets of the rank map.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 #: Bytes by which the fold of a word advances.
 WINDOW = 32
 #: Pieces before a window that are merged with it, as many as it takes.
@@ -48,7 +48,6 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines) if piece}
 
 
-@lru_cache(maxsize=2)
 def ranks_at(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return read_ranks(f.read().splitlines())
@@ -77,14 +76,25 @@ def reopening(ranks: dict[bytes, int]) -> frozenset[bytes]:
     return frozenset(found)
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """An array of BUCKETS maps from pieces to twice their rank, and one more if reopening; from_json of a literal becomes a literal."""
+@lru_cache(maxsize=2)
+def bucketed(path: str) -> tuple[str, bool]:
+    """As JSON, an array of BUCKETS maps from pieces to twice their rank, and one more if reopening; and whether any is."""
+    ranks = ranks_at(path)
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the ranks lack a byte")
     again = reopening(ranks)
-    pieces = spark.createDataFrame([(k.decode("latin-1"), 2 * v + (k in again)) for k, v in ranks.items()], "piece string, value int")
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for r in pieces.select("piece", "value", F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")).collect():
-        buckets[r["bucket"]][r["piece"]] = r["value"]
-    return F.from_json(F.lit(json.dumps([b or None for b in buckets], separators=(",", ":"))), "array<map<string,int>>")
+    table_ = pa.table({"piece": pa.array([k.decode("latin-1") for k in ranks], pa.string()), "value": pa.array([2 * v + (k in again) for k, v in ranks.items()], pa.int32())})
+    pieces = SparkSession.active().createDataFrame(table_).withColumn("bucket", F.pmod(F.hash("piece"), F.lit(BUCKETS)))
+    maps = pieces.groupBy("bucket").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "value")))).alias("map")).toArrow()  # BUCKETS rows at most
+    texts = ["null"] * BUCKETS
+    for bucket, text in zip(maps.column("bucket").to_pylist(), maps.column("map").to_pylist(), strict=True):
+        texts[bucket] = text
+    return f"[{','.join(texts)}]", bool(again)
+
+
+def rank_literal(path: str) -> Column:
+    """The rank map; from_json of a literal becomes a literal."""
+    return F.from_json(F.lit(bucketed(path)[0]), "array<map<string,int>>")
 
 
 def fold_merges(word: Column, literal: Column, again: bool = True) -> Column:
@@ -293,16 +303,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     Null texts are empty and have no ids. Special tokens are ordinary text. Repeated rows get equal ids; columns of the
     two names are replaced. All 256 bytes must have ranks. A word is folded once, however many blocks have it.
     """
-    ranks = ranks_at(ranks_path)
-    if any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("the ranks lack a byte")
     bytes_col = f"{ids_col}_bytes"
     kept = [c for c in docs.columns if c not in (text_col, ids_col, bytes_col)]
     blocks = cut_blocks(docs, pattern, text_col, kept)
 
     dealt = blocks.select("block", F.inline("words")).repartition("part")
     words = dealt.select("block", "part", F.posexplode("words").alias("place", "word")).groupBy("part", "word").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    folded = words.select("part", "places", fold_merges(F.col("word"), rank_literal(docs.sparkSession, ranks), bool(reopening(ranks))).alias("ids"))
+    folded = words.select("part", "places", fold_merges(F.col("word"), rank_literal(ranks_path), bucketed(ranks_path)[1]).alias("ids"))
     back = folded.select("part", "ids", F.inline("places")).groupBy("block", "part").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
     ids = back.select("block", "part", F.transform("found", lambda f: F.size(f["ids"])).alias("sizes"), F.flatten(F.col("found.ids")).alias("ids"))
 
@@ -338,13 +345,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     return blocks.select("block", "docs", "refs").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(join, T.StructType(fields))
 
 
+@lru_cache(maxsize=2)
+def listed_pieces(path: str) -> str:
+    """As JSON, the pieces in order of rank; null where a rank has none."""
+    pieces = {rank: piece.decode("latin-1") for piece, rank in ranks_at(path).items()}
+    return json.dumps([pieces.get(i) for i in range(max(pieces) + 1)])
+
+
 def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with text_col (binary): the pieces of the ids, one after the other. Null ids decode to null.
 
     Pieces are joined as characters of the same number as their bytes, and become bytes in the end.
     """
-    pieces = {rank: piece.decode("latin-1") for piece, rank in ranks_at(ranks_path).items()}
-    literal = F.from_json(F.lit(json.dumps([pieces.get(i) for i in range(max(pieces) + 1)])), "array<string>")
+    literal = F.from_json(F.lit(listed_pieces(ranks_path)), "array<string>")
     text = let(literal, lambda known: F.array_join(F.transform(ids_col, lambda i: F.get(known, i)), ""))
     return encoded.withColumn(text_col, F.encode(text, "ISO-8859-1"))
 
