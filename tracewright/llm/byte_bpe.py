@@ -36,7 +36,7 @@ WINDOW = 32
 #: Pieces before a window that are merged with it, as many as it takes.
 TAILS = (2, 8, 64, 1 << 30)
 #: Characters of text in a block, after which its task starts another.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 24_000_000
 #: Parts that the words of a block are dealt to, by a hash of so many characters: words that begin alike compress together.
 PARTS, ALIKE = 2048, 5
 #: Bytes of ids in a batch that goes back to Spark.
@@ -244,6 +244,7 @@ class Block:
 
     def close(self, number: int, kept: list[str]) -> pa.RecordBatch:
         """One row; its words are in order of part and word, and numbered so."""
+        self.runs.clear()
         words = sorted(self.words)
         part = np.fromiter((zlib.crc32(w[:ALIKE].encode()) % PARTS for w in words), np.int32, len(words))
         order = np.argsort(part, kind="stable")
@@ -251,7 +252,11 @@ class Block:
         new = np.zeros(len(listed), np.uint32)
         new[np.fromiter(map(self.words.get, listed), np.int64, len(listed))] = np.arange(len(listed), dtype=np.uint32)
         counts = np.array([len(t) // 4 for t in self.texts], np.int32)
-        refs = new[np.frombuffer(b"".join(self.texts), "<u4")] if counts.sum() else np.zeros(0, np.uint32)
+        joined = b"".join(self.texts)
+        self.texts.clear()
+        self.words.clear()
+        refs = new[np.frombuffer(joined, "<u4")] if joined else np.zeros(0, np.uint32)
+        del joined
         starts = np.flatnonzero(np.diff(part, prepend=-1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array([*starts, len(listed)], pa.int32()), pa.array(listed, pa.string()))
         grouped = pa.StructArray.from_arrays([pa.array(part[starts], pa.int32()), lists], names=["part", "words"])
