@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import byte_bpe, chroma, language, mixing, near_duplicates, pseudonyms, quality, token_files, top_k, url_filter
+from tracewright.llm import byte_bpe, chroma, language, mixing, near_duplicates, pieces, pseudonyms, quality, token_files, top_k, url_filter
 
-MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files, byte_bpe, chroma)
+MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files, byte_bpe, chroma, pieces)
 
 
 def queries() -> dict:
