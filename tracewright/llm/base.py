@@ -45,3 +45,12 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None, per_file: int
 def fold_of(column: str, parts: int) -> Column:
     """The held-out rule of all queries here: crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an integer column as text: by the eight shifts of each byte (fixed value: the reflected polynomial)."""
+    bits = "c"
+    for _ in range(8):
+        bits = f"list_transform([{bits}], lambda c: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)[1]"
+    characters = f"list_transform(string_split({column}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {characters}), lambda s, b: list_transform([xor(s, b)], lambda c: {bits})[1]), 4294967295::BIGINT)"

@@ -15,7 +15,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.llm.base import fold_of, materialize, table
+from tracewright.llm.base import crc32_sql, fold_of, materialize, table
 from tracewright.llm.order import joined, numbered
 
 #: Fixed value: branches of a node.
@@ -290,14 +290,9 @@ def _sql() -> str:
     def leaf(text: str) -> str:
         return f"sha256({' || '.join(part(c if c != 'text' else text) for c in FIELDS)})"
 
-    step = "CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
-    bits = "c"
-    for _ in range(8):
-        bits = f"list_transform([{bits}], lambda c: {step})[1]"
-    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: list_transform([xor(s, b)], lambda c: {bits})[1]), 4294967295::BIGINT)"
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, '-') AS tree, {leaf("text")} AS leaf,
-    CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other,
+    CASE WHEN {crc32_sql('doc_id')} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other,
     row_number() OVER (PARTITION BY source ORDER BY doc_id, {leaf("text")}) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
 up(tree, source, level, pos, n, digest) AS (SELECT tree, source, 0, pos, n, leaf FROM d
   UNION ALL SELECT tree, any_value(source), level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, level, pos // 16),
