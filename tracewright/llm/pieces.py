@@ -26,8 +26,10 @@ from tracewright.llm.base import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Cuts of at most this many characters are remembered, as many as CACHED in a task.
-SHORT, CACHED = 48, 400_000
+#: Cuts of at most this many characters are remembered; of those, CACHED that came last and as many that came before them.
+SHORT, CACHED = 48, 600_000
+#: Characters of the texts that go to the library at once (a longer text goes alone).
+PORTION = 1_000_000
 
 
 class Agenda(dict):
@@ -35,6 +37,7 @@ class Agenda(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
@@ -68,11 +71,13 @@ class Agenda(dict):
         self.cuts = re.compile("(?s).+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
     def __missing__(self, cut: str) -> bytes:
-        found = self.merged(cut)
-        if len(cut) <= SHORT:
-            if len(self) >= CACHED:
-                self.clear()
-            self[cut] = found
+        if len(cut) > SHORT:
+            return self.merged(cut)
+        found = self.older.get(cut) or self.merged(cut)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[cut] = found
         return found
 
     def merged(self, cut: str) -> bytes:
@@ -128,11 +133,14 @@ class Agenda(dict):
         body = b"".join(map(self.__getitem__, self.cuts(self.prefix + text.replace(" ", SPACE)))) if text else b""
         return self.begin + body + self.end if ends else body
 
-    def agrees(self, text: str, packed: bytes, ends: bool) -> bool:
-        return np.array(self.library.encode(text, add_bos=ends, add_eos=ends), "<u4").tobytes() == packed
+    def checked(self, texts: list[str], ends: bool) -> Iterator[tuple[bytes, bool]]:
+        """Packed ids of each text, and whether the library gives the same."""
+        for text, ids in zip(texts, self.library.encode(texts, add_bos=ends, add_eos=ends, num_threads=1), strict=True):
+            packed = self.encode(text, ends)
+            yield packed, array("I", ids).tobytes() == packed
 
-    def decode(self, packed: bytes) -> str:
-        return self.library.decode(np.frombuffer(packed, "<u4").tolist())
+    def decode(self, packed: list[bytes]) -> list[str]:
+        return self.library.decode([array("I", x).tolist() for x in packed], num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -141,9 +149,18 @@ def agenda_at(path: str) -> Agenda:
     return Agenda(path)
 
 
-def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    """One text at a time, null as empty."""
-    return (x.as_py() or "" for x in batch.column(batch.schema.get_field_index(name)))
+def portions(batch: pa.RecordBatch, name: str) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, some at a time."""
+    some, size = [], 0
+    for x in batch.column(batch.schema.get_field_index(name)):
+        text = x.as_py() or ""
+        if some and size + len(text) > PORTION:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
 
 
 def _ids(packed: list[bytes]) -> pa.Array:
@@ -163,10 +180,8 @@ def encode_documents(docs: DataFrame, path: str, ends: bool = True, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = agenda_at(path)
         for batch in batches:
-            packed, same = [], []
-            for text in texts_of(batch, "_text"):
-                packed.append(agenda.encode(text, ends))
-                same.append(agenda.agrees(text, packed[-1], ends))
+            pairs = [pair for texts in portions(batch, "_text") for pair in agenda.checked(texts, ends)]
+            packed, same = [p for p, _ in pairs], [s for _, s in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids(packed), pa.array(same, pa.bool_())], names=[id_col, "ids", "agrees"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -192,12 +207,12 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         agenda = agenda_at(path)
         for batch in batches:
             sizes, ids, decoded, same = [], [], [], []
-            for text in texts_of(batch, "_text"):
-                packed = agenda.encode(text, True)
-                sizes.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(agenda.decode(packed).encode()).hexdigest())
-                same.append(agenda.agrees(text, packed, True))
+            for texts in portions(batch, "_text"):
+                pairs = list(agenda.checked(texts, True))
+                sizes += [len(p) // 4 for p, _ in pairs]
+                ids += [hashlib.sha256(p).hexdigest() for p, _ in pairs]
+                decoded += [hashlib.sha256(x.encode()).hexdigest() for x in agenda.decode([p for p, _ in pairs])]
+                same += [s for _, s in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
