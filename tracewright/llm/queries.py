@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.llm import byte_bpe, chroma, language, merkle, mixing, near_duplicates, pieces, pseudonyms, quality, token_files, top_k, url_filter
+from tracewright.llm import byte_bpe, chroma, language, merkle, mixing, near_duplicates, pieces, prefix_trie, pseudonyms, quality, token_files, top_k, url_filter
 
-MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files, byte_bpe, chroma, pieces, merkle)
+MODULES = (url_filter, mixing, language, quality, near_duplicates, top_k, pseudonyms, token_files, byte_bpe, chroma, pieces, merkle, prefix_trie)
 
 
 def queries() -> dict:
