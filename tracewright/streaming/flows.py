@@ -6,6 +6,8 @@ Each function takes and gives a DataFrame that may be a stream. run_available()
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -50,12 +52,14 @@ def once(stream: DataFrame, ts: str, key: str, late: str = "10 minutes") -> Data
     return timed.dropDuplicatesWithinWatermark([key]).drop("_ts")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
     """The result of a stream over all that is there, from a table in the shared folder, where its checkpoint is, too.
 
-    complete: every micro-batch replaces the table, so that windows that are still open are in it.
+    complete: every micro-batch replaces the table, so that windows that are still open are in it. place: a folder to go on from; what
+    an earlier run there has read isn't read again, and its state is kept.
     """
-    spark, place = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    place = place or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
     if mode == "complete":
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/rows")).start()
@@ -63,3 +67,15 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.format("parquet").option("path", f"{place}/rows").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """While a stream with arbitrary state starts: Spark asks for RocksDB then."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
