@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewright.lineage import written
 from tracewright.operators.quantiles import counted, quantiles
 
 
@@ -51,3 +52,27 @@ def pattern_risk(found: DataFrame) -> DataFrame:
     w = F.when(F.col("severity") == "CRITICAL", 1.0).when(F.col("severity") == "HIGH", 0.8).when(F.col("severity") == "MEDIUM", 0.5).otherwise(0.3)
     s = w * F.col("confidence") * F.least("n", F.lit(5)) / 5
     return found.groupBy("entity").agg(F.round(F.least(F.lit(0.95), F.avg(s)), 6).alias("risk"), F.count("*").alias("kinds"))
+
+
+def figures(rows: DataFrame, label: Column, names: list[str], threshold: float = 0.5) -> DataFrame:
+    """One row for each column of scores in `names`: model, n, accuracy, precision, recall, f1, auc and log_loss against a label of 0 or 1.
+
+    auc is the share of pairs of both classes in the right order, equal scores counting half; rows are counted by score first, and
+    ranks come from ranges of scores, so no task orders them all. It is null where a class is missing. Rows without label or score go.
+    """
+    columns = F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("p")) for n in names])
+    long = rows.withColumn("_y", label.cast("int")).select("_y", F.explode(columns).alias("m")).select("_y", "m.*").filter("_y IS NOT NULL AND p IS NOT NULL")
+    long = written(long)
+    yes, said = F.col("_y") == 1, F.col("p") >= threshold
+    p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    counts = long.groupBy("model").agg(
+        F.count("*").alias("n"), F.count_if(yes).alias("yes"), F.count_if(yes & said).alias("tp"), F.count_if(~yes & said).alias("fp"), F.avg((yes == said).cast("double")).alias("accuracy"), F.avg(F.when(yes, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss")
+    )
+    ranks = counted(long, "model", "p").select("model", F.col("p"), (F.col("before") + (F.col("n") - 1) / 2).alias("rank"))
+    positives = long.filter(yes).groupBy("model", "p").agg(F.count("*").alias("k"))
+    summed = positives.join(ranks, ["model", "p"]).groupBy("model").agg(F.sum(F.col("k") * F.col("rank")).alias("ranks"))
+    no = F.col("n") - F.col("yes")
+    auc = F.when((F.col("yes") > 0) & (no > 0), (F.col("ranks") - F.col("yes") * (F.col("yes") - 1) / 2) / (F.col("yes") * no))
+    precision, recall = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0), F.when(F.col("yes") > 0, F.col("tp") / F.col("yes")).otherwise(0.0)
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return counts.join(summed, "model", "left").select("model", "n", "accuracy", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), auc.alias("auc"), "log_loss")
