@@ -51,10 +51,13 @@ def test_random_texts_and_both_agendas(monkeypatch):
         agenda.clear()
         agenda.older.clear()
         monkeypatch.setattr(pieces, "CACHED", 50)
+        monkeypatch.setattr(pieces, "ROWS", 7)
         for n in (1, 2, 5, 30, 400):
             for _ in range(60):
                 text = "".join(rng.choice("ab  ▁\n1203é日本😀\0‍<s>. '’-the ing") for _ in range(n))
-                assert list(agenda.checked([text], True))[0][1], text
+                assert agenda.checked([text], True)[0][1], text
+        texts = ["".join(rng.choice("ab  ▁\n1203é日本😀\0‍<s>. '’-the ing") for _ in range(rng.randint(0, 90))) for _ in range(200)]
+        assert all(same for _, same in agenda.checked(texts, False))
 
 
 def test_equal_scores_and_characters_that_are_no_piece(tmp_path):
@@ -74,7 +77,7 @@ def test_equal_scores_and_characters_that_are_no_piece(tmp_path):
     assert agenda.cuts("▁a▁b") == ["▁a▁b"]
     for _ in range(400):
         text = "".join(rng.choice("abcd  ") for _ in range(rng.randint(1, 90)))
-        assert list(agenda.checked([text], False))[0][1], text
+        assert agenda.checked([text], False)[0][1], text
 
 
 def test_other_kinds_of_model_are_refused(tmp_path):

@@ -13,7 +13,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +29,8 @@ SPACE = "▁"
 SHORT, CACHED = 48, 600_000
 #: Characters of the texts that go to the library at once (a longer text goes alone).
 PORTION = 1_000_000
+#: Cuts that are merged at once.
+ROWS = 8192
 
 
 class Agenda(dict):
@@ -62,6 +63,11 @@ class Agenda(dict):
                 left, right = (symbol.get(x, self.n + ord(x) if len(x) == 1 else None) for x in (piece[:k], piece[k:]))
                 if left is not None and right is not None:
                     self.rank[left * self.base + right], self.made[left * self.base + right] = ranks[score], i
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.ranks = np.array([*map(self.rank.get, self.keys.tolist()), self.n], np.int32)  # the last: of no pair
+        self.makes = np.array([*map(self.made.get, self.keys.tolist()), -1], np.int32)
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + self.n
+        self.symbol_of[[*map(ord, self.chars)]] = [*self.chars.values()]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == byte} if kind.byte_fallback else {}
         self.unknown = self.library.unk_id()
         begin, end = self.library.bos_id(), self.library.eos_id()
@@ -70,22 +76,29 @@ class Agenda(dict):
         #: Where spaces only lead pieces, no merge reaches from a character to a space behind it.
         self.cuts = re.compile("(?s).+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
-    def __missing__(self, cut: str) -> bytes:
-        if len(cut) > SHORT:
-            return self.merged(cut)
-        found = self.older.get(cut) or self.merged(cut)
+    def learn(self, cuts: set[str]) -> None:
+        """Merges the short ones of the cuts that aren't remembered, all at once."""
         if len(self) >= CACHED:
             self.older = dict(self)
             self.clear()
-        self[cut] = found
-        return found
-
-    def merged(self, cut: str) -> bytes:
-        """Takes the best pair of neighbours from the agenda until none makes a piece."""
-        symbols = [self.chars.get(c, self.n + ord(c)) for c in cut]
-        (self._merge_few if len(cut) <= SHORT else self._merge_many)(symbols)
-        if max(symbols) < self.n:
-            return array("I", symbols).tobytes()
+        new = []
+        for cut in cuts:
+            if (found := self.older.get(cut)) is not None:
+                self[cut] = found
+            elif len(cut) <= SHORT:
+                new.append(cut)
+        new.sort(key=len)
+        for at in range(0, len(new), ROWS):
+            some = new[at : at + ROWS]
+            self.update(zip(some, self._merge_rows(some), strict=True))
+
+    def __missing__(self, cut: str) -> bytes:
+        """A long cut, or a short one that has not been learned."""
+        symbols = self.symbol_of[np.frombuffer(cut.encode("utf-32-le"), "<u4")].tolist()
+        self._merge_many(symbols)
+        return self._packed(symbols)
+
+    def _packed(self, symbols: list[int]) -> bytes:
         ids = array("I")
         for s in symbols:
             if s < self.n:
@@ -96,18 +109,47 @@ class Agenda(dict):
                 ids.append(self.unknown)
         return ids.tobytes()
 
-    def _merge_few(self, symbols: list[int]) -> None:
-        """The agenda is a list beside the symbols: one rank for each pair."""
-        rank, made, base, none = self.rank.get, self.made, self.base, self.n
-        agenda = [rank(a * base + b, none) for a, b in pairwise(symbols)]
-        while agenda and (best := min(agenda)) < none:
-            i = agenda.index(best)
-            symbols[i] = new = made[symbols[i] * base + symbols[i + 1]]
-            del symbols[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] * base + new, none)
-            if i < len(agenda):
-                agenda[i] = rank(new * base + symbols[i + 1], none)
+    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs are in keys; the end for those that make no piece."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, at, len(self.keys)) if len(self.keys) else np.zeros_like(at)
+
+    def _merge_rows(self, cuts: list[str]) -> list[bytes]:
+        """A row for each cut: its symbols, and beside them its agenda, a rank for each pair. Each round merges every row's best pair."""
+        sizes = np.array([len(c) for c in cuts])
+        width = int(sizes.max()) + 1
+        symbols = np.full((len(cuts), width), -1, np.int32)
+        symbols[np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(cuts).encode("utf-32-le"), "<u4")]
+        agenda = np.full((len(cuts), width), self.n, np.int32)
+        pairs = symbols[:, 1:] >= 0
+        agenda[:, :-1][pairs] = self.ranks[self._places(symbols[:, :-1][pairs], symbols[:, 1:][pairs])]
+        columns, open_rows, left, done = np.arange(width - 1), np.arange(len(cuts)), symbols, agenda
+        while len(open_rows):
+            at = done.argmin(axis=1)
+            more = done[np.arange(len(done)), at] < self.n
+            if not more.all():
+                symbols[open_rows[~more]] = left[~more]
+                open_rows, left, done, at = open_rows[more], left[more], done[more], at[more]
+            if not len(open_rows):
+                break
+            row = np.arange(len(left))
+            new = self.makes[self._places(left[row, at], left[row, at + 1])]
+            source = columns + (columns > at[:, None])
+            left[row, at] = new
+            left[:, :-1], done[:, :-1] = np.take_along_axis(left, source, 1), np.take_along_axis(done, source, 1)
+            left[:, -1], done[:, -1] = -1, self.n
+            after = left[row, at + 1]
+            done[row, at] = np.where(after < 0, self.n, self.ranks[self._places(new, np.maximum(after, 0))])
+            inner = at > 0
+            done[row[inner], at[inner] - 1] = self.ranks[self._places(left[row[inner], at[inner] - 1], new[inner])]
+        kept = symbols >= 0
+        flat, ends = symbols[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for i in np.flatnonzero(symbols.max(axis=1) >= self.n).tolist():
+            out[i] = self._packed([s for s in symbols[i].tolist() if s >= 0])
+        return out
 
     def _merge_many(self, symbols: list[int]) -> None:
         """The agenda is a heap; the symbols are linked, and one that has been merged into its left neighbour is -1."""
@@ -129,15 +171,17 @@ class Agenda(dict):
                 heapq.heappush(agenda, (rank[key], leader, key))
         symbols[:] = [s for s in symbols if s >= 0]
 
-    def encode(self, text: str, ends: bool) -> bytes:
-        body = b"".join(map(self.__getitem__, self.cuts(self.prefix + text.replace(" ", SPACE)))) if text else b""
-        return self.begin + body + self.end if ends else body
+    def encode(self, texts: list[str], ends: bool) -> list[bytes]:
+        """Packed ids of each text."""
+        listed = [self.cuts(self.prefix + text.replace(" ", SPACE)) if text else [] for text in texts]
+        self.learn({cut for cuts in listed for cut in cuts if cut not in self})
+        bodies = [b"".join(map(self.__getitem__, cuts)) for cuts in listed]
+        return [self.begin + body + self.end for body in bodies] if ends else bodies
 
-    def checked(self, texts: list[str], ends: bool) -> Iterator[tuple[bytes, bool]]:
+    def checked(self, texts: list[str], ends: bool) -> list[tuple[bytes, bool]]:
         """Packed ids of each text, and whether the library gives the same."""
-        for text, ids in zip(texts, self.library.encode(texts, add_bos=ends, add_eos=ends, num_threads=1), strict=True):
-            packed = self.encode(text, ends)
-            yield packed, array("I", ids).tobytes() == packed
+        theirs = self.library.encode(texts, add_bos=ends, add_eos=ends, num_threads=1)
+        return [(packed, array("I", ids).tobytes() == packed) for packed, ids in zip(self.encode(texts, ends), theirs, strict=True)]
 
     def decode(self, packed: list[bytes]) -> list[str]:
         return self.library.decode([array("I", x).tolist() for x in packed], num_threads=1)
@@ -208,7 +252,7 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             sizes, ids, decoded, same = [], [], [], []
             for texts in portions(batch, "_text"):
-                pairs = list(agenda.checked(texts, True))
+                pairs = agenda.checked(texts, True)
                 sizes += [len(p) // 4 for p, _ in pairs]
                 ids += [hashlib.sha256(p).hexdigest() for p, _ in pairs]
                 decoded += [hashlib.sha256(x.encode()).hexdigest() for x in agenda.decode([p for p, _ in pairs])]
