@@ -191,7 +191,9 @@ on(E, "a70_batch_rollup", "SELECT count(DISTINCT user_id) AS wallets, count(*) A
 
 # Windows, rankings and sets
 
-on(U, "w13_whale_windows", "SELECT a.event_id AS anchor, count(*) AS n, count(DISTINCT b.src) AS parties FROM user_flow a JOIN user_flow b ON b.ts >= a.ts AND epoch_us(b.ts) - epoch_us(a.ts) <= 3600000000 WHERE a.value >= 90 AND b.value >= 90 GROUP BY 1 HAVING count(*) >= 2")(
+on(U, "w13_whale_windows", """WITH RECURSIVE m AS (SELECT event_id, src, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS k FROM user_flow WHERE value >= 90),
+  x AS (SELECT a.k, (SELECT min(b.k) FROM m b WHERE b.us > a.us + 3600000000) AS next FROM m a), g(k, next) AS (SELECT k, next FROM x WHERE k = 1 UNION ALL SELECT x.k, x.next FROM g JOIN x ON x.k = g.next)
+  SELECT any_value(a.event_id) AS anchor, count(*) AS n, count(DISTINCT m.src) AS parties FROM g JOIN m a ON a.k = g.k JOIN m ON m.k >= g.k AND (g.next IS NULL OR m.k < g.next) GROUP BY g.k HAVING count(*) >= 2""")(
     lambda t: fraud.whale_windows(t.filter("value >= 90").select(F.col("event_id").alias("id"), F.col("src").alias("party"), "ts"), 3600, 2)
 )
 on(E, "w14_retained", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 3")(lambda e: fraud.newest_per_key(e, "user_id", [F.desc("ts"), F.desc("event_id")], 3).select("event_id", "user_id"))

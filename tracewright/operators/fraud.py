@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.functions.scalars import ladder, micros
 from tracewright.operators.interval import forward_join, renamed
+from tracewright.operators.ordering import greedy_windows
 
 
 def reciprocal_pairs(pairs: DataFrame, least: int, most: int) -> DataFrame:
@@ -104,13 +105,12 @@ def hourly_last(t: DataFrame, key: str, ts: str, id_col: str, price: str, volume
 
 
 def whale_windows(m: DataFrame, seconds: int, least: int) -> DataFrame:
-    """(anchor, n, parties): each movement with how many follow within so many seconds, itself included, and by how many parties.
+    """(anchor, n, parties): movements (id, party, ts) in greedy windows: each opens with the first movement that no earlier window holds.
 
-    m has id, party, ts. Movements are put into bins of the span; a bin meets itself and the next, so no window is unbounded.
+    n counts the window's movements, itself included, and parties those who make them; windows of fewer than `least` movements go.
     """
-    a, b = renamed(m.select("id", "ts").withColumn("g", F.lit(0)), "1"), renamed(m.select("party", "ts").withColumn("g", F.lit(0)), "2")
-    near = forward_join(a, b, [("g1", "g2")], "ts1", "ts2", seconds)
-    return near.groupBy(F.col("id1").alias("anchor")).agg(F.count("*").alias("n"), F.countDistinct("party2").alias("parties")).filter(F.col("n") >= least)
+    windows = greedy_windows(m.select("id", "party", "ts"), "id", "ts", seconds)
+    return windows.groupBy("anchor").agg(F.count("*").alias("n"), F.countDistinct("party").alias("parties")).filter(F.col("n") >= least)
 
 
 def coordination(t: DataFrame, seconds: int, rows: int, parties: int) -> DataFrame:
