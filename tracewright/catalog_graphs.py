@@ -33,8 +33,11 @@ on(U, "g06_rapid_paths", """WITH RECURSIVE p(start_, end_, a, z, chain, n) AS (S
   SELECT start_ AS start, end_ AS "end", n AS length, chain AS token FROM p WHERE n >= 2 AND start_ <> end_""")(lambda t: graph.rapid_paths(t.withColumn("token", F.col("chain")), 2, 6, 14_400))
 _CYCLES = """p(start_, end_, nodes, vals, n) AS (SELECT src, dst, [src, dst], [value], 1 FROM strong_flow WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), list_append(p.vals, e.value), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst)))),
   c AS (SELECT nodes[1:n] AS nodes, n, list_sum(vals) AS total, list_stddev_pop(vals) / list_avg(vals) < 0.2 AS balanced FROM p WHERE end_ = start_ AND n >= 2)"""
-on(S, "g08_flow_cycles", f"WITH RECURSIVE {_CYCLES} SELECT array_to_string(nodes, '>') AS path, n AS length, round(0.5 + 0.25 * least(1, (n - 2) / 5.0), 6) AS confidence FROM c WHERE n >= 3")(
-    lambda e: graph.cycles(e, 3, 5).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length", F.round(0.5 + 0.25 * F.least(F.lit(1.0), (F.col("length") - 2) / 5), 6).alias("confidence"))
+on(U, "g08_flow_cycles", """WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM user_flow WHERE value >= 95 AND src <> dst GROUP BY 1, 2),
+  p(start_, end_, nodes, a, z, n) AS (SELECT src, dst, [src, dst], a, z, 1 FROM e WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), least(p.a, e.a), greatest(p.z, e.z), p.n + 1 FROM p JOIN e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst)))),
+  c AS (SELECT nodes[1:n] AS nodes, n, greatest(0.0, 1 - (z - a) / 3600000000.0 / 24) AS quick, least(1, (n - 2) / 5.0) AS long FROM p WHERE end_ = start_ AND n >= 3)
+  SELECT array_to_string(nodes, '>') AS path, n AS length, round(0.5 + 0.25 * quick + 0.25 * long, 6) AS confidence, round(least(100.0, 60 + 20 * quick + 20 * long), 6) AS risk FROM c""")(
+    lambda t: graph.circular_flows(graph.cycles(t.filter("value >= 95"), 3, 5)).select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length", "confidence", "risk")
 )
 on(S, "g09_cycle_members", f"WITH RECURSIVE {_CYCLES} SELECT node, count(*) AS n FROM (SELECT unnest(nodes) AS node FROM c) GROUP BY 1 HAVING count(*) >= 2")(lambda e: graph.in_cycles(graph.cycles(e, 2, 5)))
 on(S, "a64_cycle_summary", f"WITH RECURSIVE {_CYCLES} SELECT count(*) AS cycles, count(CASE WHEN balanced THEN 1 END) AS balanced, round(sum(total), 2) AS total, round(avg(n), 6) AS mean_length FROM c")(
@@ -49,6 +52,14 @@ on(S, "g17_betweenness", None)(lambda e: graph.betweenness(e).select("node", F.r
 on(S, "g18_closeness", f"WITH RECURSIVE {_HOPS}, c AS (SELECT count(DISTINCT node) AS n FROM m) SELECT node, round(coalesce((count(*) - 1) * (count(*) - 1) / nullif(sum(hops) * (any_value(n) - 1), 0), 0.0), 8) AS closeness FROM m, c GROUP BY 1")(
     lambda e: graph.closeness(e).select("node", F.round("closeness", 8).alias("closeness"))
 )
+on(U, "g17_betweenness_sampled", None)(lambda t: graph.betweenness(t, sources=64))
+on(U, "g18_closeness_sketched", None)(graph.closeness_sketched)
+on(U, "g21_path_lengths_sketched", None)(graph.path_lengths_sketched)
+on(U, "g05_trails", """WITH RECURSIVE s AS MATERIALIZED (SELECT event_id AS id, src AS a, dst AS b FROM user_flow WHERE chain IN ('purchase', 'error') AND value >= 50 UNION ALL SELECT event_id, dst, src FROM user_flow WHERE chain IN ('purchase', 'error') AND value >= 50 AND src <> dst),
+  p(start_, end_, edges, n) AS (SELECT a, b, [id], 1 FROM s WHERE a IN (1, 2, 3) UNION ALL SELECT p.start_, s.b, list_append(p.edges, s.id), p.n + 1 FROM p JOIN s ON p.end_ = s.a WHERE p.n < 2 AND NOT list_contains(p.edges, s.id))
+  SELECT start_ AS start, end_ AS "end", array_to_string(edges, '>') AS edges, n AS length FROM p""")(
+    lambda t: graph.trails(t.filter("value >= 50").withColumn("kind", F.col("chain")), "event_id", 1, 2, "BOTH", ["purchase", "error"], t.sparkSession.createDataFrame([(1,), (2,), (3,)], "node long")).select("start", "end", F.array_join(F.transform("edges", lambda x: x.cast("string")), ">").alias("edges"), "length")
+)
 on(S, "g20_density", "WITH c AS (SELECT count(DISTINCT x) AS v FROM (SELECT src AS x FROM strong_flow UNION ALL SELECT dst FROM strong_flow)) SELECT v AS nodes, count(*) AS edges, round(count(*) / (v * (v - 1)), 8) AS density, round(2 * count(*) / v, 6) AS mean_degree FROM strong_flow, c GROUP BY v")(risk.density)
 on(N, "g21_path_lengths", """WITH RECURSIVE d(start_, node, hops) AS (SELECT DISTINCT src, src, 0 FROM nation_flow UNION SELECT d.start_, e.dst, d.hops + 1 FROM d JOIN nation_flow e ON d.node = e.src WHERE d.hops < 6), m AS (SELECT start_, node, min(hops) AS hops FROM d GROUP BY 1, 2), c AS (SELECT count(DISTINCT src) AS n FROM (SELECT src FROM nation_flow UNION SELECT dst FROM nation_flow))
   SELECT n AS nodes, CASE WHEN count(*) = n * n THEN round(sum(hops) / (n * (n - 1)), 6) END AS mean_length, CASE WHEN count(*) = n * n THEN max(hops) END AS diameter FROM m, c GROUP BY n""")(lambda e: graph.path_lengths(e).withColumn("mean_length", F.round("mean_length", 6)))
