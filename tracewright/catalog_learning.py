@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.operators import vector_index
+from tracewright import views
+from tracewright.lineage import written
+from tracewright.operators import element_vectors, vector_index
 from tracewright.registry import query
 from tracewright.views import table
 
@@ -19,3 +21,43 @@ def inverted_file(s: SparkSession, d: str) -> DataFrame:
     if index is None:
         return s.createDataFrame([], "qid long, rank int, id long, similarity double, looked long")
     return vector_index.search(items, vector_index.indexed(items, index), index, asked, 10)
+
+
+def _shown(v: str) -> Column:
+    return F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("v")
+
+
+_SIGN = "CASE WHEN substr(md5({c}), k, 1) >= '8' THEN 1000000 ELSE -1000000 END"
+_DESCRIBED = "SELECT id, label || ' of ' || nation || ' in ' || chain || coalesce(' for ' || segment, '') AS text FROM graph_nodes"
+_TEXTS = rf"""w AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) > 0))) AS w FROM described),
+  t AS (SELECT id, k, CAST(round(sum({_SIGN.format(c="w")}) / count(*)) AS BIGINT) AS v FROM w, range(1, 33) r(k) GROUP BY id, k), tv AS (SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS v FROM t GROUP BY id)"""
+_GRAPH = f"""b AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM transfers UNION ALL SELECT dst, src FROM transfers)),
+  v0 AS (SELECT node, k, {_SIGN.format(c="node")} AS v FROM (SELECT DISTINCT src AS node FROM b), range(1, 33) r(k)),
+  v1 AS MATERIALIZED (SELECT b.src AS node, k, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM b JOIN v0 ON v0.node = b.dst GROUP BY 1, 2),
+  v2 AS (SELECT b.src AS node, k, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM b JOIN v1 ON v1.node = b.dst GROUP BY 1, 2),
+  n AS MATERIALIZED (SELECT node, k, sum(v) AS v FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) GROUP BY 1, 2)"""
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    return views.graph_nodes(s, d).select("id", F.concat(F.col("label"), F.lit(" of "), F.col("nation"), F.lit(" in "), F.col("chain"), F.coalesce(F.concat(F.lit(" for "), F.col("segment")), F.lit(""))).alias("text"))
+
+
+@query("v05_v13_node_vectors", f"WITH described AS ({_DESCRIBED}), {_TEXTS} SELECT 'node_' || d.id || '_node' AS id, 'node' AS strategy, d.text, tv.v FROM described d JOIN tv ON tv.id = d.id UNION ALL SELECT * FROM (WITH {_GRAPH} SELECT 'node_' || node || '_neighbourhood', 'neighbourhood', (SELECT any_value(text) FROM described x WHERE x.id = node), string_agg(CAST(v AS BIGINT)::VARCHAR, ',' ORDER BY k) FROM n GROUP BY node)")
+def node_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Each account by its description, and by whom it deals with."""
+    texts, flow = _described(s, d), views.transfers(s, d).select("src", "dst")
+    own = element_vectors.elements("node", "node", element_vectors.text_vectors(texts, "id", "text"), "id", texts)
+    near = element_vectors.elements("node", "neighbourhood", element_vectors.neighbourhoods(flow).withColumnRenamed("node", "id"), "id", texts)
+    return own.unionByName(near).select("id", "strategy", "text", _shown("v"))
+
+
+@query("v13_edge_and_subgraph_vectors", f"WITH {_GRAPH}, m AS (SELECT 'edge_' || src || '>' || dst || '_edge' AS id, unnest([src, dst]) AS node FROM (SELECT DISTINCT src, dst FROM transfers) UNION ALL SELECT 'subgraph_' || src || '_subgraph', dst FROM b UNION ALL SELECT DISTINCT 'subgraph_' || src || '_subgraph', src FROM b), g AS (SELECT id, k, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM m JOIN n ON n.node = m.node GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS v FROM g GROUP BY id")
+def edge_and_subgraph_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Each pair that deals, by both ends; each account with all that it deals with."""
+    flow = written(views.transfers(s, d).select("src", "dst").distinct())
+    vectors = written(element_vectors.neighbourhoods(flow))
+    ends = flow.select(F.concat_ws(">", "src", "dst").alias("key"), F.explode(F.array("src", "dst")).alias("node"))
+    both = flow.unionByName(flow.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    balls = both.select(F.col("src").alias("key"), F.explode(F.array("src", "dst")).alias("node"))
+    found = [element_vectors.elements(kind, kind, element_vectors.mean_of(members, "key", vectors), "key") for kind, members in (("edge", ends), ("subgraph", balls))]
+    return found[0].unionByName(found[1]).select("id", _shown("v"))
