@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright import views
 from tracewright.lineage import written
-from tracewright.operators import element_vectors, vector_index
+from tracewright.operators import element_vectors, evaluation, graph_network, vector_index
 from tracewright.registry import query
 from tracewright.views import table
 
@@ -61,3 +61,48 @@ def edge_and_subgraph_vectors(s: SparkSession, d: str) -> DataFrame:
     balls = both.select(F.col("src").alias("key"), F.explode(F.array("src", "dst")).alias("node"))
     found = [element_vectors.elements(kind, kind, element_vectors.mean_of(members, "key", vectors), "key") for kind, members in (("edge", ends), ("subgraph", balls))]
     return found[0].unionByName(found[1]).select("id", _shown("v"))
+
+
+FEATURES = ["balance", "supplier", "transfers", "value"]
+
+
+def exposure(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Accounts (node, features of mean 0 and deviation 1, label, held_out) and pairs that deal (src, dst).
+
+    label: 1 if more of an account's partners than of all accounts' partners owe money, which its own features don't tell.
+    """
+    flow, known = views.transfers(s, d).select("src", "dst", "value"), views.graph_nodes(s, d).select("id", "label", "balance")
+    pairs = written(flow.select("src", "dst").distinct())
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    owes = both.join(known.select(F.col("id").alias("dst"), (F.col("balance") < 0).cast("int").alias("owes")), "dst").groupBy("src").agg(F.sum("owes").alias("owing"), F.count("*").alias("partners"))
+    ends = flow.select(F.col("src").alias("id"), "value").unionByName(flow.select(F.col("dst").alias("id"), "value")).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    rows = written(known.join(ends, "id").join(owes.withColumnRenamed("src", "id"), "id").select("id", F.col("balance").cast("double").alias("balance"), (F.col("label") == "Supplier").cast("double").alias("supplier"), F.log1p("n").alias("transfers"), F.log1p("v").alias("value"), "owing", "partners"))
+    stats = rows.agg(F.sum("owing").alias("o"), F.sum("partners").alias("p"), *[x.alias(f"{k}_{f}") for f in FEATURES for k, x in (("m", F.round(F.avg(f), 9)), ("s", F.round(F.stddev_pop(f), 9)))]).first()
+    scaled = [((F.col(f) - F.lit(stats[f"m_{f}"] or 0.0)) / F.lit(stats[f"s_{f}"] or 1.0)).alias(f) for f in FEATURES]
+    share = (stats["o"] or 0) / stats["p"] if stats["p"] else 0.0
+    held_out = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(5)) == 0
+    return rows.select(F.col("id").alias("node"), *scaled, (F.col("owing") / F.col("partners") > share).cast("int").alias("label"), held_out.alias("held_out")), pairs
+
+
+def graph_networks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Probabilities of all accounts by the network and by its twin without neighbours; and the accounts."""
+    nodes, pairs = exposure(s, d)
+    made = graph_network.blocks(nodes, pairs, FEATURES, 40)
+    learn = written(made.join(nodes.filter("NOT held_out").select("node", F.col("label").cast("double").alias("_y"), F.lit(1.0).alias("_w")), "node"))
+    nets = {name: graph_network.fit(learn, 2 * len(FEATURES), 12, 60, near=near)[0] for name, near in (("network", True), ("alone", False))}
+    return written(graph_network.predicted(made, nets)), nodes
+
+
+@query("g40_graph_network", None)
+def graph_network_figures(s: SparkSession, d: str) -> DataFrame:
+    """Figures on held-out accounts of the network and of its twin that sees a node's own features alone."""
+    scores, nodes = graph_networks(s, d)
+    held = scores.join(nodes.filter("held_out").select("node", "label"), "node")
+    return evaluation.figures(held, F.col("label"), ["network", "alone"])
+
+
+@query("g44_network_ranking", None)
+def network_ranking(s: SparkSession, d: str) -> DataFrame:
+    """Every account's probability, whether it is flagged, and its band."""
+    scores, _ = graph_networks(s, d)
+    return graph_network.ranked(scores.select("node", "network"), "network")
