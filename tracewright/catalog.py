@@ -220,6 +220,7 @@ query("g02_reach", """WITH RECURSIVE r(node, hop) AS (SELECT 0, 0 UNION SELECT e
     lambda s, d: graph.reach(N(s, d), s.createDataFrame([(0,)], "node int"), 3)
 )
 S = views.strong_flow
+A = views.pair_flow
 on(S, "g05_paths", """WITH RECURSIVE p(start_, end_, nodes, n) AS (SELECT src, dst, [src, dst], 1 FROM strong_flow UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 4 AND NOT list_contains(p.nodes, e.dst))
   SELECT start_ AS start, end_ AS "end", array_to_string(nodes, '>') AS path, n AS length FROM p WHERE n >= 2""")(lambda e: graph.simple_paths(e, 2, 4).select("start", "end", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "length"))
 on(S, "g07_cycles", """WITH RECURSIVE p(start_, end_, nodes, vals, n) AS (SELECT src, dst, [src, dst], [value], 1 FROM strong_flow WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), list_append(p.vals, e.value), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst))))
@@ -234,8 +235,8 @@ on(U, "g10_peel_chains", """WITH RECURSIVE p(start_, end_, nodes, last, last_ts,
 on(U, "g11_hubs", """WITH i AS (SELECT dst AS node, count(*) AS n_in, sum(value) AS vi, epoch_us(min(ts)) AS i0, epoch_us(max(ts)) AS i1 FROM user_flow GROUP BY 1), o AS (SELECT src AS node, count(*) AS n_out, sum(value) AS vo, epoch_us(min(ts)) AS o0, epoch_us(max(ts)) AS o1 FROM user_flow GROUP BY 1),
   b AS (SELECT i.node, n_in, n_out, least(vi, vo) / greatest(vi, vo) AS r, CASE WHEN i1 <= o0 THEN 0.9 ELSE 0.7 * (1 - greatest(0, least(i1, o1) - greatest(i0, o0)) / (greatest(i1, o1) - least(i0, o0))) END AS c FROM i JOIN o ON i.node = o.node WHERE n_in >= 2 AND n_out >= 2)
   SELECT node, n_in, n_out, round(r, 6) AS ratio, round(c, 6) AS confidence, round(least(100, 50 + 30 * c + 20 * r), 2) AS risk FROM b WHERE c >= 0.0001 AND r >= 0.7""")(lambda t: graph.hubs(t, ratio=0.7, sure=0.0001))
-_RANKS = ", ".join(f"i{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS idle FROM r{k} WHERE node NOT IN (SELECT src FROM k)), r{k + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(got, 0) + idle / n) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM strong_flow e JOIN k ON e.src = k.src JOIN r{k} ON r{k}.node = e.src GROUP BY 1) g ON nodes.node = g.dst, c, i{k})" for k in range(40))
-on(S, "g13_pagerank", f"""WITH nodes AS MATERIALIZED (SELECT src AS node FROM strong_flow UNION SELECT dst FROM strong_flow), k AS MATERIALIZED (SELECT src, count(*) AS k FROM strong_flow GROUP BY 1), c AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM nodes, c), {_RANKS} SELECT node, round(rank, 6) AS rank FROM r40""")(
+_RANKS = ", ".join(f"i{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS idle FROM r{k} WHERE node NOT IN (SELECT src FROM k)), r{k + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(got, 0) + idle / n) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM pair_flow e JOIN k ON e.src = k.src JOIN r{k} ON r{k}.node = e.src GROUP BY 1) g ON nodes.node = g.dst, c, i{k})" for k in range(40))
+on(A, "g13_pagerank", f"""WITH nodes AS MATERIALIZED (SELECT src AS node FROM pair_flow UNION SELECT dst FROM pair_flow), k AS MATERIALIZED (SELECT src, count(*) AS k FROM pair_flow GROUP BY 1), c AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM nodes, c), {_RANKS} SELECT node, round(rank, 6) AS rank FROM r40""")(
     lambda e: graph.pagerank(e, tolerance=1e-10).select("node", F.round("rank", 6).alias("rank"))
 )
 query("g15_risk_spread", """WITH nodes AS (SELECT src AS node FROM nation_flow UNION SELECT dst FROM nation_flow), k AS (SELECT src, count(*) AS k FROM nation_flow GROUP BY 1), s AS (SELECT node, CASE WHEN node IN (1, 5) THEN 1.0 ELSE 0.0 END AS seed FROM nodes),
@@ -247,7 +248,7 @@ query("g15_risk_spread", """WITH nodes AS (SELECT src AS node FROM nation_flow U
 on(N, "g19_triangles", """WITH u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM nation_flow), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
   c AS (SELECT node, count(*) AS triangles FROM (SELECT p AS node FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY 1)
   SELECT d.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS clustering FROM d LEFT JOIN c ON d.node = c.node""")(graph.triangles)
-on(N, "g22_components", """WITH RECURSIVE b AS (SELECT src, dst FROM nation_flow UNION SELECT dst, src FROM nation_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")(lambda e: graph.components(e))
+on(A, "g22_components", """WITH RECURSIVE b AS (SELECT src, dst FROM pair_flow UNION SELECT dst, src FROM pair_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")(lambda e: graph.components(e))
 query("a47_label_pairs", """SELECT a.r_name AS from_label, b.r_name AS to_label, count(*) AS n FROM nation_flow e JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) a ON e.src = a.n_nationkey
   JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) b ON e.dst = b.n_nationkey GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 100""")(
     lambda s, d: graph.label_pairs(N(s, d), table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("node"), F.col("r_name").alias("label")))

@@ -95,8 +95,8 @@ on(E, "x06_times", "SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS
 on(E, "x07_numbers", "SELECT event_id, round(sqrt(value), 6) AS root, round(ln(1 + value), 6) AS log_value, greatest(value, 50) AS high, least(value, 50) AS low, abs(value - 50) % 7 AS rest FROM events")(
     lambda e: e.select("event_id", F.round(F.sqrt("value"), 6).alias("root"), F.round(F.log1p("value"), 6).alias("log_value"), F.greatest("value", F.lit(50.0)).alias("high"), F.least("value", F.lit(50.0)).alias("low"), (F.abs(F.col("value") - 50) % 7).alias("rest"))
 )
-query("x08_x13_vectors", """WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_sum(e), 5) AS total, round(e[4], 6) AS last, round(list_max(e), 6) AS high, len(list_filter(e, lambda x: x > 0)) = len(e) AS positive, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS unit FROM v""")(
-    lambda s, d: X.vector_facts(table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("e")))
+query("x08_x13_vectors", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_sum(e), 5) AS total, round(e[-1], 6) AS last, round(list_max(e), 6) AS high, len(list_filter(e, lambda x: x > 0)) = len(e) AS positive, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS unit FROM v""")(
+    lambda s, d: X.vector_facts(table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")))
 )
 on(E, "x10_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_array_length('[1,2,3]') AS n FROM events""")(lambda e: e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.json_array_length(F.lit("[1,2,3]")).cast("long").alias("n")))
 on(E, "x11_conversions", "SELECT event_id, lower(hex(event_id)) AS hexed, event_id / 100.0 AS scaled FROM events".replace("lower(hex(event_id))", "printf('%x', event_id)"))(lambda e: e.select("event_id", F.lower(F.hex("event_id")).alias("hexed"), (F.col("event_id") / 100.0).alias("scaled")))
@@ -129,9 +129,9 @@ query("v01_cosine_knn", f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, r
     lambda s, d: retrieval.nearest(*_vectors(s, d), 10, 0.2, "label", 4)
 )
 on(source("documents"), "v06_chunks", None)(lambda t: chunking.chunk_documents(t, "doc_id", "text"))
-query("v08_word_rerank", r"""WITH w AS (SELECT doc_id, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS t, list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS u FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL)
-  SELECT doc_id, round(0.6 * least(1.0, n_chars / 20000.0) + 0.3 * len(list_intersect(t, ['the', 'and'])) / 2 + 0.1 * len(list_intersect(u, ['the', 'and'])) / 2, 6) AS score FROM w""")(
-    lambda s, d: retrieval.rerank_by_words(table(s, d, "documents").filter("text IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL").withColumn("similarity", F.least(F.lit(1.0), F.col("n_chars") / 20000.0)), "the and", "text", "source").select("doc_id", "score")
+query("v08_word_rerank", r"""WITH w AS (SELECT doc_id, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS t, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS u FROM documents)
+  SELECT doc_id, round(0.6 * least(1.0, coalesce(n_chars, 0) / 20000.0) + 0.3 * len(list_intersect(t, ['the', 'and'])) / 2 + 0.1 * len(list_intersect(u, ['the', 'and'])) / 2, 6) AS score FROM w""")(
+    lambda s, d: retrieval.rerank_by_words(table(s, d, "documents").withColumn("similarity", F.least(F.lit(1.0), F.coalesce("n_chars", F.lit(0)) / 20000.0)), "the and", "text", "source").select("doc_id", "score")
 )
 query("v09_merged_chunks", None)(lambda s, d: chunking.merge_chunks(chunking.chunk_documents(table(s, d, "documents"), "doc_id", "text").withColumn("score", F.col("start") * 1.0), "score"))
 query("v10_fallback", "SELECT qid, id, found_by FROM (SELECT user_id AS qid, event_id AS id, 'vector' AS found_by FROM events WHERE value > 99 UNION ALL SELECT user_id, event_id, 'keyword' FROM events WHERE event_type = 'error' AND value <= 99 AND value > 90 AND user_id NOT IN (SELECT user_id FROM events WHERE value > 99 GROUP BY 1 HAVING count(*) >= 2))")(

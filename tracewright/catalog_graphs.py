@@ -9,8 +9,9 @@ from tracewright.operators import evaluation, graph, risk
 from tracewright.registry import on, query
 from tracewright.views import table
 
-S, U, N, T, G = views.strong_flow, views.user_flow, views.nation_flow, views.transfers, views.graph_nodes
+S, A, U, N, T, G = views.strong_flow, views.pair_flow, views.user_flow, views.nation_flow, views.transfers, views.graph_nodes
 _BOTH = "SELECT src, dst FROM strong_flow UNION SELECT dst, src FROM strong_flow"
+_ALL = "SELECT src, dst FROM pair_flow UNION SELECT dst, src FROM pair_flow"
 _HOPS = "d(start_, node, hops) AS (SELECT DISTINCT src, src, 0 FROM (SELECT src FROM strong_flow UNION SELECT dst FROM strong_flow) UNION SELECT d.start_, e.dst, d.hops + 1 FROM d JOIN strong_flow e ON d.node = e.src WHERE d.hops < 14), m AS (SELECT start_, node, min(hops) AS hops FROM d GROUP BY 1, 2)"
 
 
@@ -22,15 +23,15 @@ def _ids(spark: SparkSession, *ids: int) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "node long")
 
 
-query("g03_subgraph", f"WITH RECURSIVE b AS ({_BOTH}), r(node, hop) AS (SELECT 1, 0 UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON r.node = b.src WHERE r.hop < 2) SELECT src, dst, value FROM strong_flow WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")(
-    lambda s, d: graph.subgraph(S(s, d), _ids(s, 1), 2).select("src", "dst", "value")
+query("g03_subgraph", f"WITH RECURSIVE b AS ({_ALL}), r(node, hop) AS (SELECT 1, 0 UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON r.node = b.src WHERE r.hop < 2) SELECT src, dst, value FROM pair_flow WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")(
+    lambda s, d: graph.subgraph(A(s, d), _ids(s, 1), 2).select("src", "dst", "value")
 )
 query("g04_shortest_paths", f"""WITH RECURSIVE b AS ({_BOTH}), w AS (SELECT DISTINCT src AS start_, 1 AS end_ FROM strong_flow WHERE src <> 1), r(node, hop) AS (SELECT 1, 0 UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON r.node = b.src WHERE r.hop < 6)
   SELECT start_ AS start, CAST(1 AS BIGINT) AS "end", min(hop) AS length FROM w JOIN r ON r.node = start_ GROUP BY 1""")(
     lambda s, d: graph.shortest_paths(S(s, d), S(s, d).filter("src <> 1").select(F.col("src").alias("start"), F.lit(1).cast("long").alias("end")), 6).select("start", "end", "length")
 )
-on(U, "g06_rapid_paths", """WITH RECURSIVE p(start_, end_, a, z, chain, n) AS (SELECT src, dst, ts, ts, chain, 1 FROM user_flow UNION ALL SELECT p.start_, e.dst, p.a, e.ts, p.chain, p.n + 1 FROM p JOIN user_flow e ON e.src = p.end_ AND e.chain = p.chain AND e.ts > p.z AND epoch_us(e.ts) - epoch_us(p.a) <= 14400000000 WHERE p.n < 6)
-  SELECT start_ AS start, end_ AS "end", n AS length, chain AS token FROM p WHERE n >= 2 AND start_ <> end_""")(lambda t: graph.rapid_paths(t.withColumn("token", F.col("chain")), 2, 6, 14_400))
+on(U, "g06_rapid_paths", """WITH RECURSIVE p(start_, end_, a, z, chain, n) AS (SELECT src, dst, ts, ts, chain, 1 FROM user_flow UNION ALL SELECT p.start_, e.dst, p.a, e.ts, p.chain, p.n + 1 FROM p JOIN user_flow e ON e.src = p.end_ AND e.chain = p.chain AND e.ts > p.z AND epoch_us(e.ts) - epoch_us(p.a) <= 3600000000 WHERE p.n < 10)
+  SELECT start_ AS start, end_ AS "end", n AS length, chain AS token FROM p WHERE n >= 3 AND start_ <> end_""")(lambda t: graph.rapid_paths(t.withColumn("token", F.col("chain")), 3, 10, 3_600))
 _CYCLES = """p(start_, end_, nodes, vals, n) AS (SELECT src, dst, [src, dst], [value], 1 FROM strong_flow WHERE src < dst UNION ALL SELECT p.start_, e.dst, list_append(p.nodes, e.dst), list_append(p.vals, e.value), p.n + 1 FROM p JOIN strong_flow e ON p.end_ = e.src WHERE p.n < 5 AND p.end_ <> p.start_ AND (e.dst = p.start_ OR (e.dst > p.start_ AND NOT list_contains(p.nodes, e.dst)))),
   c AS (SELECT nodes[1:n] AS nodes, n, list_sum(vals) AS total, list_stddev_pop(vals) / list_avg(vals) < 0.2 AS balanced FROM p WHERE end_ = start_ AND n >= 2)"""
 on(U, "g08_flow_cycles", """WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM user_flow WHERE value >= 95 AND src <> dst GROUP BY 1, 2),
@@ -60,15 +61,15 @@ on(U, "g05_trails", """WITH RECURSIVE s AS MATERIALIZED (SELECT event_id AS id,
   SELECT start_ AS start, end_ AS "end", array_to_string(edges, '>') AS edges, n AS length FROM p""")(
     lambda t: graph.trails(t.filter("value >= 50").withColumn("kind", F.col("chain")), "event_id", 1, 2, "BOTH", ["purchase", "error"], t.sparkSession.createDataFrame([(1,), (2,), (3,)], "node long")).select("start", "end", F.array_join(F.transform("edges", lambda x: x.cast("string")), ">").alias("edges"), "length")
 )
-on(S, "g20_density", "WITH c AS (SELECT count(DISTINCT x) AS v FROM (SELECT src AS x FROM strong_flow UNION ALL SELECT dst FROM strong_flow)) SELECT v AS nodes, count(*) AS edges, round(count(*) / (v * (v - 1)), 8) AS density, round(2 * count(*) / v, 6) AS mean_degree FROM strong_flow, c GROUP BY v")(risk.density)
+on(A, "g20_density", "WITH c AS (SELECT count(DISTINCT x) AS v FROM (SELECT src AS x FROM pair_flow UNION ALL SELECT dst FROM pair_flow)) SELECT v AS nodes, count(*) AS edges, round(count(*) / (v * (v - 1)), 8) AS density, round(2 * count(*) / v, 6) AS mean_degree FROM pair_flow, c GROUP BY v")(risk.density)
 on(N, "g21_path_lengths", """WITH RECURSIVE d(start_, node, hops) AS (SELECT DISTINCT src, src, 0 FROM nation_flow UNION SELECT d.start_, e.dst, d.hops + 1 FROM d JOIN nation_flow e ON d.node = e.src WHERE d.hops < 6), m AS (SELECT start_, node, min(hops) AS hops FROM d GROUP BY 1, 2), c AS (SELECT count(DISTINCT src) AS n FROM (SELECT src FROM nation_flow UNION SELECT dst FROM nation_flow))
   SELECT n AS nodes, CASE WHEN count(*) = n * n THEN round(sum(hops) / (n * (n - 1)), 6) END AS mean_length, CASE WHEN count(*) = n * n THEN max(hops) END AS diameter FROM m, c GROUP BY n""")(lambda e: graph.path_lengths(e).withColumn("mean_length", F.round("mean_length", 6)))
-on(S, "g23_strong_components", """WITH RECURSIVE v AS (SELECT src AS node FROM strong_flow UNION SELECT dst FROM strong_flow), r(a, b) AS (SELECT node, node FROM v UNION SELECT r.a, e.dst FROM r JOIN strong_flow e ON r.b = e.src) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")(graph.strong_components)
+on(A, "g23_strong_components", """WITH RECURSIVE v AS (SELECT src AS node FROM pair_flow UNION SELECT dst FROM pair_flow), r(a, b) AS (SELECT node, node FROM v UNION SELECT r.a, e.dst FROM r JOIN pair_flow e ON r.b = e.src) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")(graph.strong_components)
 on(S, "g24_louvain", None)(graph.louvain)
 query("g24_modularity", """WITH p AS (SELECT e.value AS w, a.n_regionkey AS a, b.n_regionkey AS b FROM nation_flow e JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey), d AS (SELECT c, sum(w) AS d FROM (SELECT a AS c, w FROM p UNION ALL SELECT b, w FROM p) GROUP BY 1)
   SELECT round((SELECT sum(w) FROM p WHERE a = b) / (SELECT sum(w) FROM p) - (SELECT sum(d * d) FROM d) / (4 * (SELECT sum(w) FROM p) * (SELECT sum(w) FROM p)), 8) AS modularity""")(lambda s, d: graph.modularity(N(s, d), _regions(s, d)).select(F.round("modularity", 8).alias("modularity")))
 _VOTES = ", ".join(f"l{k + 1} AS MATERIALIZED (SELECT src AS node, c FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, c) AS r FROM b JOIN l{k} ON dst = node GROUP BY src, c) WHERE r = 1)" for k in range(5))
-on(S, "g25_label_propagation", f"WITH b AS MATERIALIZED ({_BOTH}), l0 AS (SELECT DISTINCT src AS node, src AS c FROM b), {_VOTES} SELECT node, c AS community FROM l5")(lambda e: graph.label_propagation(e, 5))
+on(A, "g25_label_propagation", f"WITH b AS MATERIALIZED ({_ALL}), l0 AS (SELECT DISTINCT src AS node, src AS c FROM b), {_VOTES} SELECT node, c AS community FROM l5")(lambda e: graph.label_propagation(e, 5))
 query("g26_communities", """SELECT a.n_regionkey AS community, count(*) AS n, round(sum(value), 0) AS value FROM nation_flow e JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey WHERE a.n_regionkey = b.n_regionkey GROUP BY 1""")(
     lambda s, d: graph.inner_edges(N(s, d), _regions(s, d)).withColumn("value", F.round("value", 0))
 )
@@ -88,15 +89,15 @@ query("g29_node_features", """WITH o AS (SELECT src AS id, count(*) AS n_out, co
 query("g30_shared_clusters", """WITH p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM user_flow WHERE src <> dst GROUP BY 1, 2 HAVING count(*) >= 2), f AS (SELECT b AS node FROM p WHERE a = 1 UNION SELECT a FROM p WHERE b = 1) SELECT DISTINCT x AS node FROM (SELECT node AS x FROM f UNION SELECT b FROM p JOIN f ON a = node UNION SELECT a FROM p JOIN f ON b = node)""")(
     lambda s, d: risk.shared_clusters(U(s, d), _ids(s, 1), 2, 2)
 )
-query("g31_clusters", """WITH RECURSIVE v AS (SELECT user_id AS node, sum(value) AS value, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1), b AS (SELECT src, dst FROM strong_flow UNION SELECT dst, src FROM strong_flow), r(node, c) AS (SELECT node, node FROM v UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src), c AS (SELECT node, min(c) AS component FROM r GROUP BY 1)
+query("g31_clusters", """WITH RECURSIVE v AS (SELECT user_id AS node, sum(value) AS value, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1), b AS (SELECT src, dst FROM pair_flow UNION SELECT dst, src FROM pair_flow), r(node, c) AS (SELECT node, node FROM v UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src), c AS (SELECT node, min(c) AS component FROM r GROUP BY 1)
   SELECT component, count(*) AS size, round(sum(value), 2) AS value, min(a) AS first_ts, max(z) AS last_ts FROM c JOIN v ON c.node = v.node GROUP BY 1""")(
-    lambda s, d: graph.clusters(S(s, d), table(s, d, "events").select(F.col("user_id").alias("node"), "value", F.col("ts").cast("timestamp").alias("ts"))).withColumn("value", F.round("value", 2))
+    lambda s, d: graph.clusters(A(s, d), table(s, d, "events").select(F.col("user_id").alias("node"), "value", F.col("ts").cast("timestamp").alias("ts"))).withColumn("value", F.round("value", 2))
 )
 query("g32_feature_matrix", """WITH o AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ordinal FROM (SELECT DISTINCT user_id FROM events)) SELECT o.user_id, ordinal, round(coalesce(sum(CASE WHEN event_type = 'click' THEN value END), 0.0), 4) AS click, round(coalesce(sum(CASE WHEN event_type = 'error' THEN value END), 0.0), 4) AS error FROM o JOIN events e ON e.user_id = o.user_id GROUP BY 1, 2""")(
     lambda s, d: (e := table(s, d, "events")).groupBy("user_id").pivot("event_type", ["click", "error"]).agg(F.round(F.sum("value"), 4)).fillna(0.0, ["click", "error"]).join(graph.ordinals(e, "user_id"), "user_id")
 )
-query("j30_edge_index", """WITH o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT src AS x FROM strong_flow UNION SELECT dst FROM strong_flow)) SELECT a.i AS src_index, b.i AS dst_index FROM strong_flow JOIN o a ON a.x = src JOIN o b ON b.x = dst""")(
-    lambda s, d: risk.edge_index(S(s, d))
+query("j30_edge_index", """WITH o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT src AS x FROM pair_flow UNION SELECT dst FROM pair_flow)) SELECT a.i AS src_index, b.i AS dst_index FROM pair_flow JOIN o a ON a.x = src JOIN o b ON b.x = dst""")(
+    lambda s, d: risk.edge_index(A(s, d))
 )
 on(U, "g34_flow_risk", """WITH m AS (SELECT count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS h, count(CASE WHEN value >= 90 THEN 1 END) AS big, count(DISTINCT (src, dst)) AS e FROM user_flow), v AS (SELECT count(*) AS n FROM (SELECT src FROM user_flow UNION SELECT dst FROM user_flow)),
   c AS (SELECT count(*) AS k FROM (SELECT src FROM user_flow GROUP BY 1 HAVING count(DISTINCT chain) > 1)) SELECT round(greatest(0, least(100, 0.5 * 80 + least(25, 5 * big) + CASE WHEN e / (v.n * (v.n - 1)) < 0.1 AND v.n >= 10 THEN 10 ELSE 0 END + CASE WHEN k >= 3 THEN 15 ELSE 0 END + CASE WHEN m.n / h >= 10 THEN 15 ELSE 0 END)), 4) AS risk FROM m, v, c""")(lambda t: risk.flow_risk(t, 80.0, 90.0))
@@ -111,9 +112,9 @@ on(views.transfers, "g37_pattern_risk", """WITH f AS (SELECT src AS entity, 'HIG
         .unionByName(t.filter("value > 60000").groupBy(F.col("src").alias("entity")).agg(F.count("*").alias("n")).select("entity", F.lit("MEDIUM").alias("severity"), F.lit(0.5).alias("confidence"), "n"))
     )
 )
-query("g43_identities", """WITH RECURSIVE b AS (SELECT src, dst FROM strong_flow UNION SELECT dst, src FROM strong_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src), k AS (SELECT node, min(c) AS component FROM r GROUP BY 1)
+query("g43_identities", """WITH RECURSIVE b AS (SELECT src, dst FROM pair_flow UNION SELECT dst, src FROM pair_flow), r(node, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node = b.src), k AS (SELECT node, min(c) AS component FROM r GROUP BY 1)
   SELECT component, count(DISTINCT node) AS wallets, count(*) AS moves, count(DISTINCT chain) AS chains, round(sum(value), 2) AS value FROM k JOIN user_flow ON src = node GROUP BY 1""")(
-    lambda s, d: graph.components(S(s, d)).join(U(s, d).select(F.col("src").alias("node"), "chain", "value"), "node").groupBy("component").agg(F.countDistinct("node").alias("wallets"), F.count("*").alias("moves"), F.countDistinct("chain").alias("chains"), F.round(F.sum("value"), 2).alias("value"))
+    lambda s, d: graph.components(A(s, d)).join(U(s, d).select(F.col("src").alias("node"), "chain", "value"), "node").groupBy("component").agg(F.countDistinct("node").alias("wallets"), F.count("*").alias("moves"), F.countDistinct("chain").alias("chains"), F.round(F.sum("value"), 2).alias("value"))
 )
 query("g45_element", "SELECT 'node' AS kind, id AS a, label AS b FROM graph_nodes WHERE id = 'C1' UNION ALL SELECT 'edge', src, dst FROM transfers WHERE src = 'C1'")(
     lambda s, d: G(s, d).filter("id = 'C1'").select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b")).unionByName(T(s, d).filter("src = 'C1'").select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))

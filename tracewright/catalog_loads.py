@@ -115,7 +115,7 @@ on(R, "k11_routing", """SELECT chain, CASE kind WHEN 'send' THEN 'SENT' WHEN 're
 @query("k12_write_by_type", "SELECT kind, count(*) AS n FROM raw_transfers GROUP BY 1")
 def k12_write_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
-    R(spark, sf_dir).repartition("kind", "chain").write.partitionBy("kind").parquet(path)
+    R(spark, sf_dir).hint("rebalance", "kind").write.partitionBy("kind").parquet(path)
     return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -146,8 +146,8 @@ query("k23_two_part_keys", """WITH o AS (SELECT chain, src AS address, min(value
         t.filter("tx_type = 'R'").groupBy("chain", F.col("src").alias("address")).agg(F.lit(None).cast("double").alias("low"), F.max("value").alias("high")), ["chain", "address"],
     ).select("chain", "address", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 )
-query("k24_replace_documents", """WITH o AS (SELECT doc_id, 0 AS chunk_index, substr(text, 1, 50) AS content FROM documents), n AS (SELECT doc_id, 1 AS chunk_index, 'new' AS content FROM documents WHERE lang = 'de')
+query("k24_replace_documents", """WITH o AS (SELECT doc_id, 0 AS chunk_index, text AS content FROM documents), n AS (SELECT doc_id, 1 AS chunk_index, 'new' AS content FROM documents WHERE lang = 'de')
   SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""")(
-    lambda s, d: loading.replace_rows((t := table(s, d, "documents")).select("doc_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 50).alias("content")), t.filter("lang = 'de'").select("doc_id", F.lit(1).alias("chunk_index"), F.lit("new").alias("content")), "doc_id")
+    lambda s, d: loading.replace_rows((t := table(s, d, "documents")).select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content")), t.filter("lang = 'de'").select("doc_id", F.lit(1).alias("chunk_index"), F.lit("new").alias("content")), "doc_id")
 )
 on(source("events"), "k25_delete_events", "SELECT event_type, count(*) AS kept FROM events WHERE NOT (event_type = 'error' AND value < 50) GROUP BY 1")(lambda e: e.filter(~F.coalesce((F.col("event_type") == "error") & (F.col("value") < 50), F.lit(False))).groupBy("event_type").agg(F.count("*").alias("kept")))

@@ -32,10 +32,20 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each day, every event and the user of the next one: event_id, src, dst, value, ts, chain."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    nxt = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return events.select("event_id", F.col("user_id").alias("src"), nxt.alias("dst"), "value", "ts", F.col("event_type").alias("chain")).filter("dst is not null")
+    """Of each day, every event and the user of the next one: event_id, src, dst, value, ts, chain.
+
+    A window runs within each minute; the last event of a minute gets the first of the day's next minute that has any, from a table of
+    one row for each minute.
+    """
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_minute", F.date_trunc("minute", "ts"))
+    nxt = F.lead("user_id").over(Window.partitionBy("_minute").orderBy("ts", "event_id"))
+    last = F.lead("event_id").over(Window.partitionBy("_minute").orderBy("ts", "event_id")).isNull()
+    firsts = events.groupBy("_minute").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("_user"))
+    later = F.lead("_user").over(Window.partitionBy(F.to_date("_minute")).orderBy("_minute"))  # 1,440 rows a day at most
+    firsts = firsts.select(F.col("_minute").alias("_of"), later.alias("_later"))
+    joined = events.withColumns({"_next": nxt, "_last": last}).join(firsts, F.col("_minute").eqNullSafe(F.col("_of")))
+    dst = F.when(F.col("_last"), F.col("_later")).otherwise(F.col("_next"))
+    return joined.select("event_id", F.col("user_id").alias("src"), dst.alias("dst"), "value", "ts", F.col("event_type").alias("chain")).filter("dst is not null")
 
 
 def nation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +67,11 @@ def strong_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.min("ts").alias("ts"))
 
 
+def pair_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flows between users: src, dst, n, value, ts (the first); no loops."""
+    return user_flow(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.min("ts").alias("ts"))
+
+
 def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean unit price and volume of each brand: token, day, price, volume."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
@@ -123,6 +138,7 @@ SQL = {
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
       WHERE c_nationkey <> s_nationkey GROUP BY 1, 2""",
     "strong_flow": """SELECT src, dst, count(*) AS n, round(sum(value), 2) AS value, min(ts) AS ts FROM user_flow WHERE value >= 95 AND src <> dst GROUP BY 1, 2""",
+    "pair_flow": """SELECT src, dst, count(*) AS n, round(sum(value), 2) AS value, min(ts) AS ts FROM user_flow WHERE src <> dst GROUP BY 1, 2""",
     "price_series": """SELECT p_brand AS token, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS price, sum(l_quantity) AS volume
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "raw_transfers": """SELECT CASE WHEN event_id % 29 = 0 THEN NULL ELSE '0x' || md5(CAST(event_id AS VARCHAR)) END AS hash,
@@ -143,8 +159,8 @@ SQL = {
 
 def with_views(sql: str) -> str:
     """Puts the views that a query names before it, as common table expressions."""
-    below = {"transfers": "balances", "user_flow": "strong_flow"}
-    used = [v for v in SQL if v in sql or (v in below and below[v] in sql)]
+    above = {"transfers": ("balances",), "user_flow": ("strong_flow", "pair_flow")}
+    used = [v for v in SQL if v in sql or any(x in sql for x in above.get(v, ()))]
     ctes = ", ".join(f"{v} AS ({SQL[v]})" for v in used)
     body = sql.strip()
     if not ctes:
