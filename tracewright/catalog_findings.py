@@ -115,7 +115,7 @@ query("v03_recent_rerank", "WITH e AS (SELECT event_id, value / 100 AS s, epoch_
 )
 _COS = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
 query("v04_search_pages", f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS k FROM s) SELECT qid, id, similarity FROM r WHERE k > 5 AND k <= 10""")(
-    lambda s, d: retrieval.page(retrieval.nearest(*_vectors(s, d), 10, -2.0, "label", 4), "qid", ["rank"], 5, 5).select("qid", "id", "similarity")
+    lambda s, d: retrieval.page(retrieval.nearest(*_vectors(s, d), 10, -2.0, "label"), "qid", ["rank"], 5, 5).select("qid", "id", "similarity")
 )
 
 
@@ -126,7 +126,7 @@ def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 query("v01_cosine_knn", f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.label = q.label), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INT) AS rank FROM s) SELECT qid, rank, id, similarity FROM r WHERE rank <= 10 AND similarity >= 0.2""")(
-    lambda s, d: retrieval.nearest(*_vectors(s, d), 10, 0.2, "label", 4)
+    lambda s, d: retrieval.nearest(*_vectors(s, d), 10, 0.2, "label")
 )
 on(source("documents"), "v06_chunks", None)(lambda t: chunking.chunk_documents(t, "doc_id", "text"))
 query("v08_word_rerank", r"""WITH w AS (SELECT doc_id, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS t, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)) AS u FROM documents)
@@ -153,7 +153,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 query("st09_stream_filter", "SELECT event_id, user_id, event_type AS kind, value, ts FROM events WHERE event_type IN ('purchase', 'error') AND value > 50")(lambda s, d: flows.run_available(flows.high_risk(_stream(s, d), ["purchase", "error"], 50)))
-query("st10_stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda s, d: flows.run_available(flows.tumbling(_stream(s, d), "ts", ["event_type"]), "complete"))
+query("st10_stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda s, d: flows.run_available(flows.tumbling(_stream(s, d), "ts", ["event_type"]), "update", keys=["start", "event_type"]))
 query("st13_stream_alerts", "SELECT event_id, user_id, value, CASE WHEN value >= 90 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM events WHERE value >= 60")(lambda s, d: flows.run_available(flows.alerts(_stream(s, d), 60, 1.5)))
 on(E, "st16_budget_alerts", "SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 4) AS spent, CASE WHEN sum(value) >= 150 THEN 'EXCEEDED' ELSE 'WARNING' END AS level FROM events GROUP BY 1, 2 HAVING sum(value) >= 120")(lambda e: findings.budget_alerts(e, "user_id", "ts", F.col("value"), 150, 0.8))
 on(E, "st17_timeouts", "SELECT event_id, CASE WHEN value > 50 THEN 'proceed' ELSE 'abort' END AS outcome FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-15 00:00:00'")(
@@ -177,3 +177,4 @@ on(E, "x09_maps", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER
 on(P, "m05_autoregression", """WITH p AS (SELECT *, lag(price) OVER (PARTITION BY token ORDER BY day) AS b FROM price_series), q AS (SELECT * FROM p WHERE b IS NOT NULL), l AS (SELECT token, regr_slope(price, b) AS s, regr_intercept(price, b) AS i FROM q GROUP BY 1),
   r AS (SELECT q.token, day, price - (i + s * b) AS r FROM q JOIN l ON q.token = l.token), d AS (SELECT token, stddev_pop(r) AS d FROM r GROUP BY 1) SELECT r.token, day, round(r, 3) AS residual FROM r JOIN d ON r.token = d.token WHERE abs(r) > 3 * d""")(lambda s: series.autoregression_outliers(s, "token", "day", "price", 3))
 on(P, "m05_without_extremes", None)(lambda s: series.without_extremes(s, "token", "day", "price", 5, 3.0, written))
+on(P, "m05_generalised_esd", None)(lambda s: series.generalised_esd(s, "token", "day", "price", 5, 0.05, written))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.scalars import ladder, micros
+from tracewright.lineage import written
 from tracewright.operators.interval import forward_join, renamed
 
 
@@ -62,12 +63,25 @@ def rings(e: DataFrame, least: float) -> DataFrame:
 def sandwiches(t: DataFrame) -> DataFrame:
     """In one block and pool: a trade before and one after another's, by one trader, in opposite directions; counted by trader.
 
-    t has block, pool, place, trader and side.
+    t has block, pool, place (unique), trader and side (buy or sell); rows with a null in one of them are no trades. With C(x) others' trades of a side before x, a trader's pair (a, b)
+    holds C(b) - C(a) of them; summed over the pairs of each b this needs running sums alone, so a busy pool is sorted and not joined with
+    itself. Victims of a trader and side are those who trade on it between its first such trade and its last on the other.
     """
-    a, v, b = (renamed(t, str(k)) for k in (1, 2, 3))
-    pair = a.join(b, (F.col("block1") == F.col("block3")) & (F.col("pool1") == F.col("pool3")) & (F.col("trader1") == F.col("trader3")) & (F.col("place1") < F.col("place3")) & (F.col("side1") != F.col("side3")))
-    found = pair.join(v, (F.col("block1") == F.col("block2")) & (F.col("pool1") == F.col("pool2")) & (F.col("place1") < F.col("place2")) & (F.col("place2") < F.col("place3")) & (F.col("trader2") != F.col("trader1")) & (F.col("side2") == F.col("side1")))
-    return found.groupBy(F.col("trader1").alias("trader")).agg(F.count("*").alias("n"), F.countDistinct("trader2").alias("victims"))
+    pool = Window.partitionBy("block", "pool").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("block", "pool", "trader").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    is_side = {s: (F.col("side") == s).cast("long") for s in ("buy", "sell")}
+    rows = t.select("block", "pool", "place", "trader", "side").dropna().filter(F.col("side").isin("buy", "sell"))
+    rows = rows.withColumns({f"_c_{s}": F.coalesce(F.sum(x).over(pool), F.lit(0)) for s, x in is_side.items()})
+    rows = rows.withColumns({f"_c_{s}": F.col(f"_c_{s}") - F.coalesce(F.sum(x).over(own), F.lit(0)) for s, x in is_side.items()})
+    before = lambda s: (F.coalesce(F.sum(is_side[s]).over(own), F.lit(0)), F.coalesce(F.sum(is_side[s] * F.col(f"_c_{s}")).over(own), F.lit(0)))
+    held = [F.when(F.col("side") != s, before(s)[0] * F.col(f"_c_{s}") - before(s)[1]).otherwise(0) for s in ("buy", "sell")]
+    counts = rows.withColumn("_held", held[0] + held[1]).groupBy("trader").agg(F.sum("_held").alias("n")).filter("n > 0")
+    spans = rows.groupBy("block", "pool", F.col("trader").alias("_by")).agg(*[f(F.when(F.col("side") == s, F.col("place"))).alias(f"{n}_{s}") for s in ("buy", "sell") for n, f in (("first", F.min), ("last", F.max))])
+    sides = spans.select("block", "pool", "_by", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"first_{s}").alias("a"), F.col(f"last_{o}").alias("b")) for s, o in (("buy", "sell"), ("sell", "buy"))])).alias("s"))
+    sides = sides.select("block", "pool", "_by", "s.*").filter("a < b")
+    hit = sides.join(rows.select("block", "pool", "side", "place", "trader"), ["block", "pool", "side"]).filter((F.col("place") > F.col("a")) & (F.col("place") < F.col("b")) & (F.col("trader") != F.col("_by")))
+    victims = hit.groupBy("_by").agg(F.countDistinct("trader").alias("victims"))
+    return counts.join(victims, F.col("trader") == F.col("_by")).select("trader", "n", "victims")
 
 
 def reversed_structuring(deposits: DataFrame, withdrawals: DataFrame, small: float, large: float, least: int) -> DataFrame:
@@ -93,11 +107,19 @@ def dust_then_reply(t: DataFrame, dust: float, days: int, id_col: str) -> DataFr
 
 
 def overlapping_holders(b: DataFrame, least: int) -> DataFrame:
-    """Pairs of wallets that share tokens: common, overlap over the larger set, Jaccard. Pairs come from shared tokens alone."""
-    n = b.groupBy("wallet").agg(F.countDistinct("token").alias("n"))
-    one = b.select("wallet", "token").distinct()
-    pair = renamed(one, "1").join(renamed(one, "2"), F.col("token1") == F.col("token2")).filter("wallet1 < wallet2")
-    c = pair.groupBy("wallet1", "wallet2").agg(F.count("*").alias("common")).filter(F.col("common") >= least)
+    """Pairs of wallets that share at least so many tokens: common, overlap over the larger set, Jaccard.
+
+    Tokens go from rare to common. Two wallets that share `least` tokens share one even without the least - 1 commonest of each, so
+    pairs are looked for among the others, and a token that everybody holds brings hardly any; shared tokens are then counted for those pairs alone.
+    """
+    one = written(b.select("wallet", "token").distinct().filter("wallet IS NOT NULL AND token IS NOT NULL"))
+    n = one.groupBy("wallet").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    common = one.groupBy("token").agg(F.count("*").alias("_f"))
+    rank = F.row_number().over(Window.partitionBy("wallet").orderBy(F.desc("_f"), F.desc("token")))
+    rare = written(one.join(n, "wallet").join(common, "token").withColumn("_r", rank).filter(F.col("_r") >= least).select("wallet", "token"))
+    pairs = written(renamed(rare, "1").join(renamed(rare, "2"), F.col("token1") == F.col("token2")).filter("wallet1 < wallet2").select("wallet1", "wallet2").distinct())
+    held = pairs.join(one.withColumnRenamed("wallet", "wallet1"), "wallet1").join(one.withColumnRenamed("wallet", "wallet2"), ["wallet2", "token"])
+    c = held.groupBy("wallet1", "wallet2").agg(F.count("*").alias("common")).filter(F.col("common") >= least)
     c = c.join(renamed(n, "1").select("wallet1", "n1"), "wallet1").join(renamed(n, "2").select("wallet2", "n2"), "wallet2")
     return c.select("wallet1", "wallet2", "common", F.round(F.col("common") / F.greatest("n1", "n2"), 6).alias("overlap"), F.round(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")), 6).alias("jaccard"))
 

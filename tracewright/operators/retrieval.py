@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Vectors of a block.
+BLOCK = 5_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -13,17 +16,20 @@ def nearest(items: DataFrame, query: DataFrame, k: int, least: float, tag: str |
     """(qid, rank, id, similarity): rows of items (id, v, optionally a tag) nearest to each query (qid, qv) by cosine: the k best, and of those the ones over least.
 
     A stated set of queries meets all items in blocks: both are dealt to blocks by a hash, each pair of blocks of one tag is a
-    group, and a group hands on the k best of each of its queries. Nothing is broadcast, and no task holds more than two blocks.
+    group, and a group hands on the k best of each of its queries. Nothing is broadcast, and no task holds more than two blocks. blocks:
+    how many for each tag; without, as many as its items need for BLOCK in one.
     Vectors that are null, of no length or of another length than the query's have no similarity. Ties go to the smaller id.
     """
     import numpy as np
     import pyarrow as pa
 
-    n = blocks or 1
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    n = F.col("_n")
+    part = lambda c: F.pmod(F.xxhash64(c), n).cast("int")
     tag_of = lambda c: F.col(c) if c else F.lit(0)
-    x = items.filter("v IS NOT NULL").select(tag_of(tag).alias("tag"), part("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(0).alias("role"), F.col("id").cast("long").alias("id"), F.transform("v", lambda e: e.cast("double")).alias("v"))
-    q = query.filter("qv IS NOT NULL").select(tag_of(f"q{tag}" if tag else None).alias("tag"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), part("qid").alias("j"), F.lit(1).alias("role"), F.col("qid").cast("long").alias("id"), F.transform("qv", lambda e: e.cast("double")).alias("v"))
+    cuts = items.filter("v IS NOT NULL").groupBy(tag_of(tag).alias("_t")).agg((F.ceil(F.count("*") / BLOCK) if blocks is None else F.lit(blocks)).cast("int").alias("_n"))
+    at = lambda df, c: df.join(cuts, tag_of(c) == F.col("_t"))
+    x = at(items.filter("v IS NOT NULL"), tag).select(tag_of(tag).alias("tag"), part("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(0).alias("role"), F.col("id").cast("long").alias("id"), F.transform("v", lambda e: e.cast("double")).alias("v"))
+    q = at(query.filter("qv IS NOT NULL"), f"q{tag}" if tag else None).select(tag_of(f"q{tag}" if tag else None).alias("tag"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), part("qid").alias("j"), F.lit(1).alias("role"), F.col("qid").cast("long").alias("id"), F.transform("qv", lambda e: e.cast("double")).alias("v"))
 
     def best(group: pa.Table) -> pa.Table:
         role = group.column("role").to_numpy()

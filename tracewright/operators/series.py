@@ -219,3 +219,36 @@ def without_extremes(s: DataFrame, key: str, id_col: str, value: str, most: int,
             break
         left = cut(left.join(out.select(key, id_col), [key, id_col], "left_anti"))
     return found
+
+
+def generalised_esd(s: DataFrame, key: str, id_col: str, value: str, most: int, alpha: float, cut) -> DataFrame:
+    """(key, id, round, deviate, critical): outliers by the generalised extreme studentized deviate test, at most `most` of each key.
+
+    Each round takes out the value farthest from its key's mean (of equally far ones that with the smallest id) and notes its distance
+    in sample deviations of what was left. The outliers are all that were taken up to the last round whose distance is over the critical
+    value, which Student's t gives for the key's number of values. Null values are no values; a key without spread has no outliers.
+    """
+    left = cut(s.filter(F.col(value).isNotNull()).select(key, id_col, value))
+    sizes, taken = left.groupBy(key).agg(F.count("*").alias("_n")), None
+    for n in range(1, most + 1):
+        g = left.groupBy(F.col(key).alias("_k")).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d"))
+        far = left.join(g, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("_d") > 0).select(key, id_col, F.round(F.abs(F.col(value) - F.col("_m")) / F.col("_d"), 9).alias("_z"))
+        out = cut(far.groupBy(key).agg(F.min(F.struct(F.negate("_z").alias("z"), F.col(id_col).alias("i"))).alias("_o")).select(key, F.col("_o.i").alias(id_col), F.lit(n).alias("round"), F.negate("_o.z").alias("deviate")))
+        taken = out if taken is None else taken.unionByName(out)
+        if out.isEmpty():
+            break
+        left = cut(left.join(out.select(F.col(key).alias("_k"), F.col(id_col).alias("_i")), F.col(key).eqNullSafe(F.col("_k")) & (F.col(id_col) == F.col("_i")), "left_anti"))
+
+    def critical(parts):
+        from tracewright.functions.student import esd_critical
+
+        known = {}
+        for part in parts:
+            pairs = list(zip(part["_n"].tolist(), part["round"].tolist(), strict=True))
+            known |= {p: esd_critical(*p, alpha) for p in set(pairs) - known.keys()}
+            yield part.drop(columns="_n").assign(critical=[known[p] for p in pairs])
+
+    kinds = {f.name: f.dataType.simpleString() for f in taken.schema}
+    judged = cut(taken.join(sizes.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).select(*taken.columns, "_n").mapInPandas(critical, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", critical double"))
+    last = judged.filter("deviate > critical").groupBy(F.col(key).alias("_k")).agg(F.max("round").alias("_last"))
+    return judged.join(last, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("round") <= F.col("_last")).select(key, id_col, "round", "deviate", F.round("critical", 9).alias("critical"))

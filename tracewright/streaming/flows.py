@@ -52,21 +52,24 @@ def once(stream: DataFrame, ts: str, key: str, late: str = "10 minutes") -> Data
     return timed.dropDuplicatesWithinWatermark([key]).drop("_ts")
 
 
-def run_available(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", place: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """The result of a stream over all that is there, from a table in the shared folder, where its checkpoint is, too.
 
-    complete: every micro-batch replaces the table, so that windows that are still open are in it. place: a folder to go on from; what
-    an earlier run there has read isn't read again, and its state is kept.
+    update: rows that a micro-batch has changed go to a folder named by its number, and of each of the `keys` the newest row counts; what
+    the watermark has passed leaves the state. place: a folder to go on from; what an earlier run there has read isn't read again.
     """
     spark = stream.sparkSession
     place = place or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
-    if mode == "complete":
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/rows")).start()
+    if mode == "update":
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/rows/batch={n}")).start()
     else:
         query = writer.format("parquet").option("path", f"{place}/rows").start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    rows = spark.read.parquet(f"{place}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_r")).select("_r.*")
 
 
 @contextmanager
