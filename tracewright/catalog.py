@@ -308,4 +308,4 @@ def g36_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
-from tracewright import catalog_findings, catalog_flows, catalog_graphs, catalog_learning, catalog_loads, catalog_models, catalog_streams  # noqa: E402, F401  they register their queries
+from tracewright import catalog_findings, catalog_flows, catalog_graphs, catalog_learning, catalog_loads, catalog_models, catalog_records, catalog_streams  # noqa: E402, F401  they register their queries
