@@ -30,21 +30,35 @@ def _pattern(name: str, s: SparkSession, d: str) -> DataFrame:
     return catalogue.compile_specification(spec, nodes, edges)
 
 
-query("s17_pattern_catalogue", "SELECT * FROM (VALUES ('STRUCT_001', 'STRUCTURING', 'HIGH'), ('LAYER_001', 'LAYERING', 'HIGH'), ('MIXER_001', 'MIXING', 'MEDIUM')) AS v(id, category, risk)")(lambda s, d: catalogue.catalogue_table(s, demonstration()).select("id", "category", "risk"))
-query("f22_pattern_search", "SELECT * FROM (VALUES ('LAYER_001')) AS v(id)")(lambda s, d: catalogue.search(catalogue.catalogue_table(s, demonstration()), risk="HIGH", tags=("chain", "none"), regulations=("SAR",)).select("id"))
-query("g36_layering_spec", """WITH RECURSIVE p(a, z, v0, v1, t0, t1, n) AS (SELECT src, dst, value, value, ts, ts, 1 FROM user_flow UNION ALL SELECT p.a, e.dst, p.v0, e.value, p.t0, e.ts, p.n + 1 FROM p JOIN user_flow e ON e.src = p.z AND e.ts > p.t1 AND epoch_us(e.ts) - epoch_us(p.t0) <= 7200000000 WHERE p.n < 4)
-  SELECT 'LAYER_001' AS pattern, 'HIGH' AS risk, a AS a_id, z AS z_id, n AS p_length, v0 AS p_first, v1 AS p_last, t0 AS p_from, t1 AS p_to FROM p WHERE n >= 3 AND v1 >= 0.9 * v0""")(lambda s, d: _pattern("LAYER_001", s, d))
-query("g36_mixer_spec", """SELECT 'MIXER_001' AS pattern, 'MEDIUM' AS risk, x.src AS a_id, x.dst AS m_id, count(*) AS n FROM user_flow x JOIN user_flow y ON x.dst = y.src AND x.event_id <> y.event_id WHERE x.dst IN (3, 5) AND y.value >= 50 AND x.ts < y.ts GROUP BY x.src, x.dst
-  HAVING count(*) >= 2 AND (epoch_us(max(y.ts)) - epoch_us(min(y.ts))) / 1000000.0 <= 25 * 86400""")(lambda s, d: _pattern("MIXER_001", s, d))
+_LAYER = """WITH RECURSIVE p(a, z, v0, v1, t0, t1, n) AS (SELECT src, dst, value, value, ts, ts, 1 FROM user_flow UNION ALL SELECT p.a, e.dst, p.v0, e.value, p.t0, e.ts, p.n + 1 FROM p JOIN user_flow e ON e.src = p.z AND e.ts > p.t1 AND epoch_us(e.ts) - epoch_us(p.t0) <= 7200000000 WHERE p.n < 4)
+  SELECT 'LAYER_001' AS pattern, 'HIGH' AS risk, a AS a_id, z AS z_id, n AS p_length, v0 AS p_first, v1 AS p_last, t0 AS p_from, t1 AS p_to FROM p WHERE n >= 3 AND v1 >= 0.9 * v0"""
+_MIXER = """SELECT 'MIXER_001' AS pattern, 'MEDIUM' AS risk, x.src AS a_id, x.dst AS m_id, count(*) AS n FROM user_flow x JOIN user_flow y ON x.dst = y.src AND x.event_id <> y.event_id WHERE x.dst IN (3, 5) AND y.value >= 50 AND x.ts < y.ts GROUP BY x.src, x.dst
+  HAVING count(*) >= 2 AND (epoch_us(max(y.ts)) - epoch_us(min(y.ts))) / 1000000.0 <= 25 * 86400"""
+_STRUCT = """SELECT 'STRUCT_001' AS pattern, 'HIGH' AS risk, src AS e_src, count(*) AS n, round(sum(value), 4) AS total FROM transfers WHERE value >= 8000 AND value < 10000 AND epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM transfers) - 1500 * 86400000000 GROUP BY src HAVING count(*) >= 2"""
+query("g36_layering_spec", _LAYER)(lambda s, d: _pattern("LAYER_001", s, d))
+query("g36_mixer_spec", _MIXER)(lambda s, d: _pattern("MIXER_001", s, d))
 
 
-@query("g36_structuring_spec", """SELECT 'STRUCT_001' AS pattern, 'HIGH' AS risk, src AS e_src, count(*) AS n, round(sum(value), 4) AS total FROM transfers WHERE value >= 8000 AND value < 10000 AND epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM transfers) - 1500 * 86400000000 GROUP BY src HAVING count(*) >= 2""")
+@query("g36_structuring_spec", _STRUCT)
 def g36_structuring_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.transfers(spark, sf_dir).select(F.col("tx_id").alias("edge_id"), "src", "dst", F.col("tx_type").alias("type"), "value", "ts")
     spec = next(p for p in demonstration() if p.id == "STRUCT_001")
     return catalogue.compile_specification(spec, G(spark, sf_dir).select("id", "label"), t).withColumn("total", F.round("total", 4))
 
 
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    """(id, n): how often each pattern of the catalogue is found, those without a match too."""
+    found = [_pattern("LAYER_001", s, d), _pattern("MIXER_001", s, d), g36_structuring_spec(s, d)]
+    counts = [f.groupBy(F.col("pattern").alias("_p")).agg(F.count("*").alias("n")) for f in found]
+    known = catalogue.catalogue_table(s, demonstration())
+    return known.join(counts[0].unionByName(counts[1]).unionByName(counts[2]), F.col("id") == F.col("_p"), "left").drop("_p").fillna(0, ["n"])
+
+
+_FOUND = f"(VALUES ('STRUCT_001', 'STRUCTURING', 'HIGH', (SELECT count(*) FROM ({_STRUCT}))), ('LAYER_001', 'LAYERING', 'HIGH', (SELECT count(*) FROM ({_LAYER}))), ('MIXER_001', 'MIXING', 'MEDIUM', (SELECT count(*) FROM ({_MIXER})))) AS v(id, category, risk, n)"
+query("s17_pattern_catalogue", f"SELECT * FROM {_FOUND}")(lambda s, d: _matches(s, d).select("id", "category", "risk", "n"))
+query("f22_pattern_search", f"SELECT id, n FROM {_FOUND} WHERE id = 'LAYER_001'")(lambda s, d: catalogue.search(_matches(s, d), risk="HIGH", tags=("chain", "none"), regulations=("SAR",)).select("id", "n"))
+
+
 # Evidence: events as items
 
 _ITEMS = "SELECT event_id AS id, event_type AS category, CASE WHEN user_id % 2 = 0 THEN 'api' ELSE 'human' END AS source, value / 100 AS confidence, ['k' || (user_id % 3), event_type] AS tags FROM events"
@@ -104,8 +118,10 @@ on(E, "x11_conversions", "SELECT event_id, lower(hex(event_id)) AS hexed, event_
 # Retrieval
 
 _SYN = [("the", "article"), ("the", "determiner"), ("and", "conjunction"), ("bank", "lender")]
-query("v02_expansion", "SELECT * FROM (VALUES (1, 'the OR article OR determiner OR and OR conjunction'), (2, 'bank OR lender OR loan')) AS v(qid, expansion)")(
-    lambda s, d: retrieval.expanded(s.createDataFrame([(1, "The AND"), (2, "bank loan")], "qid int, query string"), s.createDataFrame(_SYN, "word string, synonym string"))
+query("v02_expansion", r"""WITH l AS (SELECT item_id AS qid, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0) AS ws FROM benchmark), w AS (SELECT qid, word, min(place) AS place FROM (SELECT qid, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM l) GROUP BY 1, 2),
+  e AS (SELECT qid, word AS term, place, 0 AS kind FROM w UNION ALL SELECT qid, synonym, place, 1 FROM w JOIN (VALUES ('the', 'article'), ('the', 'determiner'), ('and', 'conjunction'), ('bank', 'lender')) v(word, synonym) ON v.word = w.word),
+  t AS (SELECT qid, term, min((place, kind)) AS pos FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, term) AS k FROM t) SELECT qid, string_agg(term, ' OR ' ORDER BY k) AS expansion FROM r WHERE k <= 20 GROUP BY 1""")(
+    lambda s, d: retrieval.expanded(table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), s.createDataFrame(_SYN, "word string, synonym string"))
 )
 query("v03_hybrid_rerank", "SELECT doc_id, round(least(1.0, (0.7 * least(1.0, n_chars / 20011.0) + 0.3 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END) * CASE lang WHEN 'de' THEN 1.2 WHEN 'fr' THEN 1.1 ELSE 1.0 END), 6) AS score FROM documents WHERE n_chars IS NOT NULL")(
     lambda s, d: retrieval.rerank_hybrid(table(s, d, "documents").filter("n_chars IS NOT NULL").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 20011.0).alias("similarity"), F.when(F.col("lang") == "en", 1.0).otherwise(0.5).alias("overlap"), F.when(F.col("lang") == "de", "subgraph").when(F.col("lang") == "fr", "path").otherwise("node").alias("kind"))).select("doc_id", "score")
