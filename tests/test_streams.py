@@ -188,6 +188,12 @@ def test_death_between_two_sinks_loses_and_repeats_nothing(spark, tmp_path, monk
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(i, ["x", "y", None][i % 3], None if i % 10 == 0 else i) for i in sorted(bad)]
 
 
+def test_messages_keep_microseconds(spark):
+    rows = spark.sql("SELECT id, CAST('2024-01-30 10:11:12.345678' AS TIMESTAMP) + make_interval(0, 0, 0, 0, 0, 0, id / 1000000) AS ts, CAST('2024-01-30 10:11:12.000001' AS TIMESTAMP_NTZ) AS plain FROM range(3) UNION ALL SELECT 3, NULL, NULL")
+    back = log.decoded(rows.select(log.message(rows.columns).alias("m")), "m", rows.schema)
+    assert sorted(back.collect(), key=lambda r: r["id"]) == sorted(rows.collect(), key=lambda r: r["id"])
+
+
 def test_handlers_in_order_of_priority_each_row_once(spark, tmp_path):
     stream, calls = events(spark, tmp_path, files=2), []
 

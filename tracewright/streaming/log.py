@@ -88,8 +88,9 @@ def trim(spark: SparkSession, log: str, keep: int) -> None:
 
 
 def message(columns: list[str]) -> Column:
-    """A row as text; null fields stay in it."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    """A row as text; null fields stay in it, and times keep their microseconds."""
+    at = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": f"{at}XXX", "timestampNTZFormat": at})
 
 
 def decoded(rows: DataFrame, column: str, schema: StructType) -> DataFrame:
