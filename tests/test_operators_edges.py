@@ -226,3 +226,11 @@ def test_extremes_go_one_by_one(spark):
             want[k, far] = n
             del left[far]
     assert got == want and len(want) >= 4
+
+
+def test_budget_sums_right_at_the_limit_in_any_order(spark):
+    costs, odd = [51.33, 78.07, 20.6], [float("inf"), None, 1e20]  # 150, or a little less where floats are added from the left
+    rows = [(k, c) for k, order in enumerate(itertools.permutations(costs)) for c in order] + [(9, c) for c in odd] + [(10, None)]
+    e = spark.createDataFrame([(k, START, c) for k, c in rows], "k long, ts timestamp, c double").coalesce(1)
+    got = {r["k"]: (r["spent"], r["level"]) for r in findings.budget_alerts(e, "k", "ts", F.col("c"), 150, 0.8).collect()}
+    assert got == {**{k: (150.0, "EXCEEDED") for k in range(6)}, 9: (float("inf"), "EXCEEDED")}
