@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tracewright import catalog
 from tracewright.operators import graph
 
 START = datetime(2024, 1, 1)
@@ -151,3 +152,12 @@ def test_sampled_betweenness_within_the_bound(spark):
 def test_sketches_of_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert graph.closeness_sketched(none).isEmpty() and graph.path_lengths_sketched(none).first()["nodes"] == 0
+
+
+def test_rapid_paths_of_two_hops_and_four_hours(spark, sf_dir):
+    t = spark.createDataFrame([(a, a + 1, START + timedelta(minutes=m), "x") for a, m in enumerate((0, 30, 60, 235))], "src long, dst long, ts timestamp, token string")
+    got = sorted((r["start"], r["end"], r["length"], r["micros"] // 60_000_000) for r in graph.rapid_paths(t, 2, 10, 14_400).collect())
+    assert got == [(0, 2, 2, 30), (0, 3, 3, 60), (0, 4, 4, 235), (1, 3, 2, 30), (1, 4, 3, 205), (2, 4, 2, 175)]
+    assert graph.rapid_paths(t, 2, 1, 60).isEmpty()
+    rows = catalog.QUERIES["g06_rapid_paths"](spark, sf_dir.replace("sf0.001", "sf0.01"))
+    assert rows.filter("length = 2").count() > 0 and rows.filter("rapid").count() == rows.filter("rapid AND length >= 3").count() < rows.count()
