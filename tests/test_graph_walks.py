@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tracewright import catalog
+from tracewright.lineage import written
 from tracewright.operators import graph
 
 START = datetime(2024, 1, 1)
@@ -161,3 +162,31 @@ def test_rapid_paths_of_two_hops_and_four_hours(spark, sf_dir):
     assert graph.rapid_paths(t, 2, 1, 60).isEmpty()
     rows = catalog.QUERIES["g06_rapid_paths"](spark, sf_dir.replace("sf0.001", "sf0.01"))
     assert rows.filter("length = 2").count() > 0 and rows.filter("rapid").count() == rows.filter("rapid AND length >= 3").count() < rows.count()
+
+
+def test_shortest_paths_search_from_the_fewer_ends(spark):
+    rng, sizes = random.Random(4), []
+    edges = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70)) if a != b}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    best = {1: (1,)}  # of each node the smallest of its shortest paths to 1
+    front = [1]
+    while front:
+        grown = {}
+        for v in front:
+            for w in near[v] - best.keys():
+                grown[w] = min(grown.get(w, (w, *best[v])), (w, *best[v]))
+        best |= grown
+        front = list(grown)
+
+    def cut(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    pairs = spark.createDataFrame([(v, 1) for v in range(40)] + [(None, 1), (3, None)], "start long, end long")
+    got = {r["start"]: (r["end"], r["length"], tuple(r["nodes"])) for r in graph.shortest_paths(spark.createDataFrame(list(edges), "src long, dst long"), pairs, 30, cut).collect()}
+    assert got == {v: (1, len(p) - 1, p) for v, p in best.items()}
+    assert max(sizes) <= 2 * len(edges)  # edges or nodes, not pairs of nodes
