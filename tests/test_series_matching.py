@@ -85,3 +85,17 @@ def test_overlapping_holders_with_a_token_that_all_hold(spark, least):
     want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= least}
     got = {(r["wallet1"], r["wallet2"]): r["common"] for r in matching.overlapping_holders(spark.createDataFrame(rows, "wallet long, token string").repartition(3), least).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("hot", [1, 6, 1000])
+def test_overlapping_holders_order_and_hot_tokens(spark, hot, monkeypatch):
+    rng, sizes, real = random.Random(8), [], matching.written
+    rows = {(f"w{rng.randrange(30)}", f"t{min(rng.randrange(60), rng.randrange(60))}") for _ in range(260)}
+    held = defaultdict(set)
+    for w, t in rows:
+        held[w].add(t)
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= 3}
+    monkeypatch.setattr(matching, "written", lambda df: (out := real(df), sizes.append(out.count()))[0])
+    got = {(r["wallet1"], r["wallet2"]): r["common"] for r in matching.overlapping_holders(spark.createDataFrame(list(rows), "wallet string, token string"), 3, hot).collect()}
+    assert got == want
+    assert hot < 1000 or max(sizes) <= len(rows)  # holdings, not pairs
