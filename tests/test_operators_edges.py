@@ -3,6 +3,7 @@
 import itertools
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,16 @@ def test_budget_sums_right_at_the_limit_in_any_order(spark):
     e = spark.createDataFrame([(k, START, c) for k, c in rows], "k long, ts timestamp, c double").coalesce(1)
     got = {r["k"]: (r["spent"], r["level"]) for r in findings.budget_alerts(e, "k", "ts", F.col("c"), 150, 0.8).collect()}
     assert got == {**{k: (150.0, "EXCEEDED") for k in range(6)}, 9: (float("inf"), "EXCEEDED")}
+
+
+def test_closeness_in_portions_that_leave_nothing_behind(spark):
+    n, edges = 12, random_edges(3, 12, 26)
+    e, dist = spark.createDataFrame(edges, "src long, dst long"), shortest(edges, 12)[0]
+    there = {v for x in edges for v in x if x[0] != x[1]}
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    for rows in (40, 50_000_000):
+        got = {r["node"]: r["closeness"] for r in graph.closeness(e, rows=rows).collect()}
+        into = {v: [d for (s, t), d in dist.items() if t == v and s in there] for v in there}
+        assert got == pytest.approx({v: (len(d) - 1) ** 2 / (sum(d) * (len(there) - 1)) if sum(d) else 0.0 for v, d in into.items()})
+    assert not list(folder.glob("scratch-*")) and n >= len(there)
+    assert graph.closeness(e.limit(0)).isEmpty()
