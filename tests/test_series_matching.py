@@ -9,7 +9,7 @@ import pytest
 
 from tracewright.functions.student import esd_critical, t_quantile
 from tracewright.lineage import written
-from tracewright.operators import matching, series
+from tracewright.operators import fraud, matching, series
 
 
 def test_student_quantiles_of_printed_tables():
@@ -99,3 +99,21 @@ def test_overlapping_holders_order_and_hot_tokens(spark, hot, monkeypatch):
     got = {(r["wallet1"], r["wallet2"]): r["common"] for r in matching.overlapping_holders(spark.createDataFrame(list(rows), "wallet string, token string"), 3, hot).collect()}
     assert got == want
     assert hot < 1000 or max(sizes) <= len(rows)  # holdings, not pairs
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_price_manipulation_counts_without_a_row_for_each_trade_between(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([1, 2, None] if k % 40 == 0 else [1, 2]), rnd.choice("de"), rnd.choice([1, 2, 3, 4, 5, 6, None]), rnd.randrange(60), rnd.choice(["A", "B", "C", None]), rnd.choice("ABC")) for k in range(150)]
+    df = spark.createDataFrame(rows, "block int, dex string, trader long, place long, bought string, sold string")
+    n, victims = Counter(), defaultdict(set)
+    for a in rows:
+        for b in rows:
+            if None not in (*a[:3], *a[4:]) and a[4] != a[5] and a[:3] == b[:3] and (a[4], a[5]) == (b[5], b[4]) and a[3] < b[3]:
+                for m in rows:
+                    if m[:2] == a[:2] and m[2] not in (None, a[2]) and a[3] < m[3] < b[3]:
+                        n[a[2], a[0]] += 1
+                        victims[a[2], a[0]].add(m[2])
+    got = fraud.price_manipulation(df)
+    assert {(r["trader"], r["block"]): (r["n"], r["victims"]) for r in got.collect()} == {k: (n[k], len(victims[k])) for k in n} != {}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
