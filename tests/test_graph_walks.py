@@ -150,6 +150,14 @@ def test_sampled_betweenness_within_the_bound(spark):
     assert all(abs(all_of[x] - exact[x]) < 1e-9 for x in exact)
 
 
+def test_betweenness_in_portions_of_starts(spark):
+    rng = random.Random(10)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(110)}
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "src long, dst long")
+    whole, parts = ({r["node"]: r["betweenness"] for r in graph.betweenness(df, rows=rows).collect()} for rows in (10**6, 500))
+    assert max(whole.values()) > 0 and whole == pytest.approx(parts, abs=1e-12)
+
+
 def test_sketches_of_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert graph.closeness_sketched(none).isEmpty() and graph.path_lengths_sketched(none).first()["nodes"] == 0
