@@ -248,3 +248,13 @@ def test_closeness_in_portions_that_leave_nothing_behind(spark):
         assert got == pytest.approx({v: (len(d) - 1) ** 2 / (sum(d) * (len(there) - 1)) if sum(d) else 0.0 for v, d in into.items()})
     assert not list(folder.glob("scratch-*")) and n >= len(there)
     assert graph.closeness(e.limit(0)).isEmpty()
+
+
+def test_parts_of_transfers_grow_with_the_table(spark, sf_dir):
+    from tracewright import catalog, views
+
+    line = views.table(spark, sf_dir, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    assert views.parts(line) == cores and views.parts(line, 100) == -(-line.count() // 100) > cores
+    for name in ("g12_degrees", "g27_unusual_share", "u05_idle_parties", "p12_top_holdings", "a15_token_counts", "a10_a14_flow_profile"):
+        assert "REPARTITION_BY_NUM" in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
