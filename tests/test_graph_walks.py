@@ -62,6 +62,17 @@ def test_cycles_of_nothing_and_without_times(spark):
     assert [(r["nodes"], r["hours"], r["confidence"], r["risk"]) for r in one] == [([1, 2], None, 0.5, 60.0)]
 
 
+def test_walks_of_cycles_and_paths_write_nodes_alone_and_not_the_longest(spark):
+    rows, kept = frame(spark, multigraph(4)), []
+
+    def cut(df):
+        kept.append(df.cache())
+        return kept[-1]
+
+    graph.cycles(rows, 2, 5, cut).collect()
+    assert [set(df.columns) & {"edges", "more"} for df in kept[1:]] == [set()] * 2  # walks of two edges out and back
+
+
 def plain_trails(rows, least, most, direction, kinds, starts):
     steps = defaultdict(list)
     for i, a, b, _, _, kind in rows:
