@@ -71,6 +71,11 @@ def test_walks_of_cycles_and_paths_write_nodes_alone_and_not_the_longest(spark):
 
     graph.cycles(rows, 2, 5, cut).collect()
     assert [set(df.columns) & {"edges", "more"} for df in kept[1:]] == [set()] * 2  # walks of two edges out and back
+    kept.clear()
+    found = graph.simple_paths(rows.filter("src <> dst").select("src", "dst").distinct(), 2, 4, cut).collect()
+    assert len(kept) == 3 and {len(r["nodes"]) for df in kept[1:] for r in df.collect()} == {3, 4}
+    assert len({tuple(r["nodes"]) for r in found}) == len(found) and {r["length"] for r in found} == {2, 3, 4}
+    assert all((r["start"], r["end"]) == (r["nodes"][0], r["nodes"][-1]) for r in found)
 
 
 def plain_trails(rows, least, most, direction, kinds, starts):
