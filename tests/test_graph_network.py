@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,16 @@ def test_held_out_accounts(spark):
     got = {r["model"]: r for r in catalog_learning.graph_network_figures(spark, "/root/testdata/sf0.01").collect()}
     print({k: v["auc"] for k, v in got.items()})
     assert got["network"]["auc"] > got["alone"]["auc"] + 0.1 and got["network"]["auc"] > 0.7
+
+
+def test_without_neighbours_they_are_not_read(spark):
+    rows = spark.createDataFrame([([float(i), 0.0], float(i % 2), 1.0) for i in range(20)], "own array<double>, _y double, _w double")
+    spoilt = rows.withColumn("around", F.raise_error(F.lit("read")).cast("array<double>"))
+    assert len(gn.fit(spoilt, 2, 3, 2, near=False)[1]) == 2
+
+
+def test_arrays_of_batches_as_matrices_of_rows():
+    part = pd.DataFrame({"own": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], "around": [[1.0, 2.0, 3.0, 4.0], [], [5.0, 6.0]]})
+    batch = pa.RecordBatch.from_pandas(part)
+    for a, b in ((batch, part), (batch.slice(1, 2), part.iloc[1:])):
+        assert all(np.array_equal(x, y) for x, y in zip(gn._arrays(a, 2), gn._matrices(b, 2), strict=True))

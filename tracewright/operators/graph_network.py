@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.lineage import written
@@ -42,30 +44,32 @@ class Network:
         return [w1.reshape(i, h), b1, w2, b2]
 
     def _forward(self, own: np.ndarray, around: np.ndarray, rows: np.ndarray) -> tuple:
-        """own: nodes x inputs; around: all sampled neighbours x inputs; rows: the node of each neighbour."""
+        """own: nodes x inputs; around: all sampled neighbours x inputs; rows: the node of each neighbour, ascending."""
         w1, b1, w2, b2 = self.parts(self.weights)
         if not self.near:
             own, around, rows = own * (np.arange(self.inputs) < self.inputs // 2), around[:0], rows[:0]
-        a, b = own @ w1 + b1, around @ w1 + b1
-        counts = np.maximum(np.bincount(rows, minlength=len(own)), 1)[:, None]
-        mean = np.zeros((len(own), self.hidden))
-        np.add.at(mean, rows, np.maximum(b, 0))
+        a, b = own @ w1 + b1, w1.T @ around.T + b1[:, None]  # b has a row for each hidden unit, along which neighbours are summed
+        n = np.bincount(rows, minlength=len(own))
+        counts, mean, starts = np.maximum(n, 1)[:, None], np.zeros((len(own), self.hidden)), np.cumsum(n) - n
+        if len(rows):
+            mean[n > 0] = np.add.reduceat(np.maximum(b, 0), starts[n > 0], axis=1).T  # a node's neighbours stand together
         mean /= counts
         p = 1 / (1 + np.exp(-(np.maximum(a, 0) @ w2[: self.hidden] + mean @ w2[self.hidden :] + b2)))
-        return own, around, rows, a, b, counts, mean, p
+        return own, around, n, a, b, counts, mean, p
 
     def probability(self, own: np.ndarray, around: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self._forward(own, around, rows)[-1]
 
     def gradient(self, own: np.ndarray, around: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
         """Sum of the weighted logistic losses, and its gradient by the weights."""
-        own, around, rows, a, b, counts, mean, p = self._forward(own, around, rows)
+        own, around, n, a, b, counts, mean, p = self._forward(own, around, rows)
         w2, h = self.parts(self.weights)[2], self.hidden
         loss = float(-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-300)).sum())
         d = weight * (p - y)
         da = d[:, None] * w2[:h] * (a > 0)
-        db = (d[:, None] * w2[h:] / counts)[rows] * (b > 0)
-        return loss, np.concatenate([(own.T @ da + around.T @ db).ravel(), da.sum(axis=0) + db.sum(axis=0), d @ np.maximum(a, 0), d @ mean, [d.sum()]])
+        db = np.repeat(np.ascontiguousarray((d[:, None] * w2[h:] / counts).T), n, axis=1)
+        db *= b > 0
+        return loss, np.concatenate([(own.T @ da + (db @ around).T).ravel(), da.sum(axis=0) + db.sum(axis=1), d @ np.maximum(a, 0), d @ mean, [d.sum()]])
 
 
 def blocks(nodes: DataFrame, edges: DataFrame, features: list[str], sample: int = 16) -> DataFrame:
@@ -97,10 +101,20 @@ def _matrices(part: pd.DataFrame, inputs: int) -> tuple[np.ndarray, np.ndarray,
     return own, around, np.repeat(np.arange(len(own)), counts)
 
 
+def _arrays(batch: pa.RecordBatch, inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _matrices(), without an object for each row. A batch without around has no neighbours."""
+    own = batch.column("own").flatten().to_numpy(zero_copy_only=False).reshape(-1, inputs)
+    if "around" not in batch.schema.names:
+        return own, np.zeros((0, inputs)), np.zeros(0, np.int64)
+    around = batch.column("around")
+    counts = pc.list_value_length(around).to_numpy(zero_copy_only=False) // inputs
+    return own, around.flatten().to_numpy(zero_copy_only=False).reshape(-1, inputs), np.repeat(np.arange(len(own)), counts)
+
+
 def fit(rows: DataFrame, inputs: int, hidden: int = 8, steps: int = 40, rate: float = 0.05, decay: float = 1e-4, near: bool = True, seed: int = 5) -> tuple[Network, list[float]]:
     """rows: own, around, _y (0 or 1) and _w, in the shared folder. The network, and the mean loss before each step (Adam over all rows).
 
-    near False: the same network over a node's own features alone. Without rows, the network that it starts with.
+    near False: the same network over a node's own features alone; around isn't read. Without rows, the network that it starts with.
     """
     net = Network.start(inputs, hidden, seed, near)
     total = rows.agg(F.sum("_w").alias("w")).first()["w"]
@@ -108,14 +122,18 @@ def fit(rows: DataFrame, inputs: int, hidden: int = 8, steps: int = 40, rate: fl
     for step in range(1, steps + 1 if total else 1):
         now = net
 
-        def add_up(parts: Iterator[pd.DataFrame], now: Network = now) -> Iterator[pd.DataFrame]:
+        def add_up(parts: Iterator[pa.RecordBatch], now: Network = now) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(now.weights) + 1, np.int64)
-            for part in parts:
-                loss, g = now.gradient(*_matrices(part, inputs), part["_y"].to_numpy(), part["_w"].to_numpy())
-                sums += np.rint(np.append(g, loss) * UNIT).astype(np.int64)
-            yield pd.DataFrame({"k": np.arange(len(sums), dtype=np.int32), "g": sums})
-
-        summed = rows.select("own", "around", "_y", "_w").mapInPandas(add_up, "k int, g long").groupBy("k").agg(F.sum("g").alias("g")).collect()  # one row for each weight
+            for whole in parts:
+                found = np.zeros(len(sums))
+                for at in range(0, whole.num_rows, 500):  # few enough for a core's cache
+                    part = whole.slice(at, 500)
+                    loss, g = now.gradient(*_arrays(part, inputs), part.column("_y").to_numpy(), part.column("_w").to_numpy())
+                    found += np.append(g, loss)
+                sums += np.rint(found * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["k", "g"])
+
+        summed = rows.select(*(["own", "around"] if near else ["own"]), "_y", "_w").mapInArrow(add_up, "k int, g long").groupBy("k").agg(F.sum("g").alias("g")).collect()  # one row for each weight
         found = np.zeros(len(net.weights) + 1)
         for r in summed:
             found[r["k"]] = r["g"] / UNIT / total
