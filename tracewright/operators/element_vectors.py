@@ -42,18 +42,16 @@ def text_vectors(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def neighbourhoods(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """(node, v): the sum over the rounds of a node's vector, each round the mean of its distinct neighbours' (either direction, no loops).
 
-    Nodes start with the signs of their names. A round is one join and one aggregate with partial sums, so a hub's neighbours are added
-    up where they are.
+    Nodes start with the signs of their names, so the first round needs no join: pairs go to their node as names, and signs are made and
+    summed there. A later round is one join and one aggregate with partial sums, so a hub's neighbours are added up where they are.
     """
     pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     both = written(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    nodes = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_k"))
-    now = nodes.select("node", *signs(F.col("node")))
-    total = None
-    for _ in range(rounds):
-        sums = both.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.round(F.sum(n) / F.count("*")).cast("long").alias(n) for n in NAMES])
-        now = written(sums)
-        total = now if total is None else total.unionByName(now)
+    mean = [F.round(F.sum(n) / F.count("*")).cast("long").alias(n) for n in NAMES]
+    now = total = written(both.repartition("src").select(F.col("src").alias("node"), *signs(F.col("dst"))).groupBy("node").agg(*mean))
+    for _ in range(1, rounds):
+        now = written(both.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*mean))
+        total = total.unionByName(now)
     return total.groupBy("node").agg(*[F.sum(n).alias(n) for n in NAMES]).select("node", array_of().alias("v"))
 
 
