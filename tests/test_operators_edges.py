@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,20 @@ def test_budget_sums_right_at_the_limit_in_any_order(spark):
     assert got == {**{k: (150.0, "EXCEEDED") for k in range(6)}, 9: (float("inf"), "EXCEEDED")}
 
 
+def test_budget_query_right_at_the_limit_as_its_sql(spark, tmp_path):
+    from tracewright import catalog
+
+    costs = [[c for c in order] for order in itertools.permutations([51.33, 78.07, 20.6])] + [[33.61, 54.3, 25.1, 6.99], [70.82, 42.26, 6.92], [149.0, 1.0], [float("inf")], [None], [1e20, -1e20, 150.0]]
+    rows = [(i * 100 + k, START + timedelta(minutes=k), k if k else None, "view", c, "") for k, cs in enumerate(costs) for i, c in enumerate(cs)]
+    spark.createDataFrame(sorted(rows), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(str, (tuple(r) for r in catalog.QUERIES["st16_budget_alerts"](spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == sorted(map(str, con.execute(catalog.ORACLES["st16_budget_alerts"]).fetchall()))
+    assert {r.split("'")[1] for r in got} == {"WARNING", "EXCEEDED"}  # some permutations are a little less than 150
+
+
 def test_closeness_in_portions_that_leave_nothing_behind(spark):
     n, edges = 12, random_edges(3, 12, 26)
     e, dist = spark.createDataFrame(edges, "src long, dst long"), shortest(edges, 12)[0]
