@@ -37,6 +37,8 @@ def plain(n, edges, starts):
 def test_paths_longer_than_any_bound(spark):
     n = 130
     chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    scale = (n - 1) * (n - 2)
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(chain).collect()} == pytest.approx({i: i * (n - 1 - i) / scale for i in range(n)})
     assert {r["node"]: r["closeness"] for r in graph.closeness(chain).collect()} == pytest.approx({i: i * i / (i * (i + 1) / 2 * (n - 1)) if i else 0.0 for i in range(n)})
 
 
