@@ -67,3 +67,30 @@ def test_texts_means_and_names(spark):
 def test_nothing(spark):
     assert ev.neighbourhoods(spark.createDataFrame([("a", "a")], "src string, dst string")).isEmpty()
     assert ev.text_vectors(spark.createDataFrame([], "id long, text string"), "id", "text").isEmpty()
+
+
+def test_blocks_of_pairs_with_loops_both_ways_and_hubs(spark):
+    edges = [*communities(spark, 3), *[("hub", f"n{k}") for k in range(60)], *[(f"n{k}", "hub") for k in range(0, 60, 7)], ("n1", "n1"), ("lone", "lone")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    vectors = ev.neighbourhoods(df).persist()
+    kept = {(a, b) for a, b in edges if a is not None and b is not None}
+    v = {r["node"]: list(r["v"]) for r in vectors.collect()}
+    mean = lambda names: [rounded(sum(v[n][k] for n in names) / len(names)) for k in range(32)]
+    near = {n: {n} | {b for a, b in kept if a == n} | {a for a, b in kept if b == n} for n in v}
+    for n in (1, 3, 9):
+        cells = ev.blocks(df, n)
+        assert {r["node"]: list(r["v"]) for r in ev.neighbourhoods(None, cells=cells).collect()} == v
+        rows = ev.edge_means(cells, vectors).collect()
+        got = {r["key"]: list(r["v"]) for r in rows}
+        assert len(rows) == len(got) and got == {f"{a}>{b}": mean({a, b}) for a, b in kept if a in v}
+        assert {r["key"]: list(r["v"]) for r in ev.ball_means(cells, vectors).collect()} == {n: mean(near[n]) for n in v}
+
+
+def test_vectors_do_not_go_along_edges(spark):
+    from test_registers import shuffled
+
+    from tracewright import catalog
+
+    before = shuffled(spark)
+    assert catalog.QUERIES["v13_edge_and_subgraph_vectors"](spark, "/root/testdata/sf0.01").count() > 50_000
+    assert shuffled(spark) - before < 6_000_000  # 16 MB with vectors along edges

@@ -47,20 +47,18 @@ def node_vectors(s: SparkSession, d: str) -> DataFrame:
     """Each account by its description, and by whom it deals with."""
     texts, flow = _described(s, d), views.transfers(s, d).select("src", "dst")
     own = element_vectors.elements("node", "node", element_vectors.text_vectors(texts, "id", "text"), "id", texts)
-    near = element_vectors.elements("node", "neighbourhood", element_vectors.neighbourhoods(flow).withColumnRenamed("node", "id"), "id", texts)
+    near = element_vectors.elements("node", "neighbourhood", element_vectors.neighbourhoods(flow, cells=element_vectors.blocks(flow, views.parts(views.table(s, d, "lineitem")))).withColumnRenamed("node", "id"), "id", texts)
     return own.unionByName(near).select("id", "strategy", "text", _shown("v"))
 
 
 @query("v13_edge_and_subgraph_vectors", f"WITH {_GRAPH}, m AS (SELECT 'edge_' || src || '>' || dst || '_edge' AS id, unnest([src, dst]) AS node FROM (SELECT DISTINCT src, dst FROM transfers) UNION ALL SELECT 'subgraph_' || src || '_subgraph', dst FROM b UNION ALL SELECT DISTINCT 'subgraph_' || src || '_subgraph', src FROM b), g AS (SELECT id, k, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM m JOIN n ON n.node = m.node GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS v FROM g GROUP BY id")
 def edge_and_subgraph_vectors(s: SparkSession, d: str) -> DataFrame:
     """Each pair that deals, by both ends; each account with all that it deals with."""
-    flow = written(views.transfers(s, d).select("src", "dst").distinct())
-    vectors = written(element_vectors.neighbourhoods(flow))
-    ends = flow.select(F.concat_ws(">", "src", "dst").alias("key"), F.explode(F.array("src", "dst")).alias("node"))
-    both = flow.unionByName(flow.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    balls = both.select(F.col("src").alias("key"), F.explode(F.array("src", "dst")).alias("node"))
-    found = [element_vectors.elements(kind, kind, element_vectors.mean_of(members, "key", vectors), "key") for kind, members in (("edge", ends), ("subgraph", balls))]
-    return found[0].unionByName(found[1]).select("id", _shown("v"))
+    cells = element_vectors.blocks(views.transfers(s, d).select("src", "dst"), views.parts(views.table(s, d, "lineitem")))
+    vectors = written(element_vectors.neighbourhoods(None, cells=cells))
+    means = {"edge": element_vectors.edge_means(cells, vectors), "subgraph": element_vectors.ball_means(cells, vectors)}
+    found = [element_vectors.elements(kind, kind, mean, "key").select("id", _shown("v")) for kind, mean in means.items()]
+    return found[0].unionByName(found[1])
 
 
 FEATURES = ["balance", "supplier", "transfers", "value"]
